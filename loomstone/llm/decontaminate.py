@@ -94,11 +94,11 @@ def op4_decontaminate(spark, sf_dir: str) -> DataFrame:
 
 _SHINGLES_SQL = f"""
     SELECT id, unnest(CASE WHEN len(w) >= {SHINGLE}
-        THEN list_transform(range(1, len(w) - {SHINGLE - 2}), i -> array_to_string(list_slice(w, i, i + {SHINGLE - 1}), ' '))
+        THEN list_transform(range(1, len(w) - {SHINGLE - 2}), lambda i: array_to_string(list_slice(w, i, i + {SHINGLE - 1}), ' '))
         WHEN len(w) > 0 THEN [array_to_string(w, ' ')] ELSE [] END) AS s
     FROM (SELECT id, list_filter(regexp_split_to_array(
         translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
-        '[\\x20\\x09-\\x0D]+'), x -> x <> '') AS w FROM {{src}})
+        '[\\x20\\x09-\\x0D]+'), lambda x: x <> '') AS w FROM {{src}})
 """
 ORACLE = f"""
 WITH d AS (SELECT DISTINCT * FROM ({_SHINGLES_SQL.format(src="(SELECT doc_id AS id, text FROM documents)")})),

@@ -2,12 +2,16 @@
 
 from __future__ import annotations
 
-from loomstone.llm import decontaminate, rules, secrets, sharding
+from loomstone.llm import chat, classifier, decontaminate, rules, secrets, sentencepieces, sharding, tokens
 
 QUERIES = {
+    "op1_token_counts": tokens.op1_token_counts,
     "op2_quality_rules": rules.op2_quality_rules,
     "op4_decontaminate": decontaminate.op4_decontaminate,
+    "op5_sentencepiece": sentencepieces.op5_sentencepiece,
+    "op7_quality_classifier": classifier.op7_quality_classifier,
+    "op8_chat_format": chat.op8_chat_format,
     "op9_secrets": secrets.op9_secrets,
     "op10_sharding": sharding.op10_sharding,
 }
-ORACLES = {"op4_decontaminate": decontaminate.ORACLE}
+ORACLES = {"op4_decontaminate": decontaminate.ORACLE, "op8_chat_format": chat.ORACLE}
