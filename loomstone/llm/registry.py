@@ -2,13 +2,15 @@
 
 from __future__ import annotations
 
-from loomstone.llm import chat, classifier, decontaminate, rules, secrets, sentencepieces, sharding, tokens
+from loomstone.llm import chat, classifier, decontaminate, neardup, repeats, rules, secrets, sentencepieces, sharding, tokens
 
 QUERIES = {
     "op1_token_counts": tokens.op1_token_counts,
     "op2_quality_rules": rules.op2_quality_rules,
+    "op3_near_duplicates": neardup.op3_near_duplicates,
     "op4_decontaminate": decontaminate.op4_decontaminate,
     "op5_sentencepiece": sentencepieces.op5_sentencepiece,
+    "op6_repeats": repeats.op6_repeats,
     "op7_quality_classifier": classifier.op7_quality_classifier,
     "op8_chat_format": chat.op8_chat_format,
     "op9_secrets": secrets.op9_secrets,
