@@ -4,10 +4,21 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from loomstone.llm import decontaminate, secrets
+from loomstone.llm import classifier, decontaminate, neardup, secrets, sentencepieces
 from loomstone.session import Scratch, load
 
 
+def classifier_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that the quality classifier keeps; it is fitted on labelled documents of ``docs``."""
+    model = classifier.train(docs, load(spark, sf_dir, "labels"))
+    return classifier.classify(docs, model).filter("kept").select(*docs.columns)
+
+
+def neardup_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of each group of near-duplicates."""
+    return neardup.drop_near_duplicates(docs)
+
+
 def decontaminate_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that contain no benchmark item."""
     return decontaminate.remove_contaminated(docs, load(spark, sf_dir, "benchmark"))
@@ -18,9 +29,17 @@ def secrets_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
     return secrets.redact(docs)
 
 
+def sentencepiece_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Each document's pieces, their number and digest, and whether decoding gives the text back."""
+    return sentencepieces.encode(docs)
+
+
 STAGES = [
+    ("quality classifier", classifier_stage),
+    ("MinHash near-dedup", neardup_stage),
     ("benchmark decontamination", decontaminate_stage),
     ("secret scans", secrets_stage),
+    ("SentencePiece encoding and decoding", sentencepiece_stage),
 ]
 
 #: The learned classifier, the signatures and the tokenizer are beyond SQL; a
