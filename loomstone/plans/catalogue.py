@@ -2,5 +2,7 @@
 
 from __future__ import annotations
 
-QUERIES: dict = {}
-ORACLES: dict = {}
+from loomstone.plans import text_queries  # noqa: F401
+from loomstone.plans.base import ORACLES, QUERIES
+
+__all__ = ["ORACLES", "QUERIES"]
