@@ -40,8 +40,8 @@ from pyspark.sql import functions as F
 from loomstone.session import Scratch, load
 
 WIDTH, GRAM = 100, 32
-#: Starts that a run has at most.
-RUN = 64
+#: Starts that a run has at most: its first and last string then hold all its bytes. More than a choice can reach over only come from periodic text.
+RUN = WIDTH
 #: Bytes of text treated at a time, and of batches whose equal runs are found before a shuffle.
 STEP = 1 << 21
 #: Different runs of one choice in a batch above which it is spread.
