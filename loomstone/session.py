@@ -43,12 +43,14 @@ class Scratch:
 
     def write(self, df: DataFrame, name: str) -> DataFrame:
         path = f"{self.root}/{name}"
+        schema = df.schema
         df.write.mode("overwrite").parquet(path)
+        del df
         # The shuffles behind a written table are of no more use; Spark removes
         # their files once the collector has seen that nothing refers to them.
         gc.collect()
         self.spark.sparkContext._jvm.System.gc()
-        return self.spark.read.schema(df.schema).parquet(path)
+        return self.spark.read.schema(schema).parquet(path)
 
     def drop(self, *names: str) -> None:
         jvm = self.spark.sparkContext._jvm
