@@ -28,6 +28,7 @@ import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType, IntegerType
 
 from loomstone.session import load
 
@@ -271,7 +272,7 @@ def encode(df: DataFrame, path: str | None = None, text_col: str = "text", keep_
     """
     path = path or default_path()
     others = [c for c in df.columns if c != text_col]
-    made = {"ids": "array<int>", "n_tokens": "long", "ids_sha256": "string", "round_trip": "boolean"}
+    made = {"ids": ArrayType(IntegerType()), "n_tokens": "long", "ids_sha256": "string", "round_trip": "boolean"}
     if not keep_ids:
         del made["ids"]
     schema = df.select(*others).schema
