@@ -14,10 +14,11 @@ choice make a run, which is described by its choice, and by the identifiers of
 its first and last string. Equal strings make equal choices, so it is enough to
 compare runs of one choice: runs that are equal throughout are told apart by
 their place, and only where runs of one choice differ are the single starts
-compared. Before each of these shuffles a task keeps the first of its equal
-runs or starts alone: a passage that a third of all documents share takes a
-row for each task. A choice with many different runs in a task is spread by
-the runs' own identifiers.
+compared. Before the first shuffle a task keeps the first of its equal runs
+alone: a passage that a third of all documents share takes a row for each task.
+A choice with many different runs in a task is spread by the runs' own
+identifiers, and its single starts by theirs; there, too, a task keeps the
+first of equal ones.
 
 Strings are told apart by two 64-bit identifiers together.
 
@@ -223,7 +224,7 @@ def _gathered(batches: Iterator[pa.RecordBatch]) -> tuple[list[np.ndarray], pa.R
 
 
 def _resolve(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Within all runs of the choices that came here: kind 0 spans go, kind 1 runs need their starts compared."""
+    """Within all runs of the choices that came here: kind 0 spans go, kind 1 runs need their starts compared, kind 2 as well, of choices with many runs."""
     got = _gathered(batches)
     if got is None:
         return
@@ -237,8 +238,9 @@ def _resolve(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     fresh = np.concatenate([[True], g[1:] != g[:-1]])
     group = np.cumsum(fresh) - 1
     told = np.bincount(group, weights=(n == 0)) > 0
-    needs = (_different(g, first & (n > 0)) > 1) | told[group] | edge
-    kind = np.where(~first, 0, 1)
+    different = _different(g, first & (n > 0))
+    needs = (different > 1) | told[group] | edge
+    kind = np.where(~first, 0, np.where((different > SPREAD) | told[group], 2, 1))
     kept = (n > 0) & (~first | needs)
     yield _batch({"doc": doc[kept], "copy": copy[kept], "lo": lo[kept], "n": np.where(kind[kept] == 0, n[kept] + WIDTH - 1, n[kept]), "kind": kind[kept], "g": g[kept].view(np.int64)}, _SPANS)
 
@@ -258,24 +260,32 @@ def _merge(doc: np.ndarray, copy: np.ndarray, lo: np.ndarray, hi: np.ndarray) ->
     return doc[first], copy[first], lo[first], top[np.concatenate([first[1:], [len(doc)]]) - 1]
 
 
-def _starts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Single starts of the runs (array ``runs`` of each text); equal ones after a batch's first are spans that go."""
+#: Starts of a run as one row: ``w`` has the 8-byte identifier of each; of a spread choice, a row for each start, dealt by its identifier ``s``.
+_STARTS = "g long, s long, doc long, copy int, lo int, n int, spread boolean, w binary"
+_START_SCHEMA = pa.schema([("g", pa.int64()), ("s", pa.int64()), ("doc", pa.int64()), ("copy", pa.int32()), ("lo", pa.int32()), ("n", pa.int32()), ("spread", pa.bool_()), ("w", pa.binary())])
 
-    def settled(parts: list[tuple]) -> pa.RecordBatch:
-        g, w, doc, copy, lo = _stacked(parts)
-        order, first = _firsts(g, w, doc, copy, lo)
-        g, w, doc, copy, lo = (x[order] for x in (g, w, doc, copy, lo))
-        gone = _merge(doc[~first], copy[~first], lo[~first], lo[~first] + WIDTH)
-        one = np.ones(int(first.sum()), np.int64)
-        return _rows((g[first], w[first], doc[first], copy[first], lo[first], one, one < 0, one > 0), gone)
 
-    parts, size = [], 0
+def _starts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Single starts of the runs (array ``runs`` of each text). Of a spread choice, equal ones after a batch's first are spans that go."""
+
+    def settled(whole: list[tuple], parts: list[tuple]) -> pa.RecordBatch:
+        rows = [(g, 0, doc, copy, lo, n, False, w) for g, doc, copy, lo, n, w in whole]
+        if parts:
+            g, w, doc, copy, lo = _stacked(parts)
+            order, first = _firsts(g, w, doc, copy, lo)
+            g, w, doc, copy, lo = (x[order] for x in (g, w, doc, copy, lo))
+            gone = _merge(doc[~first], copy[~first], lo[~first], lo[~first] + WIDTH)
+            rows += [(0, d, d, c, a, a - z, True, None) for d, c, a, z in zip(*(x.tolist() for x in gone))]
+            rows += [(*x, 1, True, y.tobytes()) for *x, y in zip(g[first].view(np.int64).tolist(), w[first].view(np.int64).tolist(), doc[first].tolist(), copy[first].tolist(), lo[first].tolist(), w[first])]
+        return _batch(dict(zip(_START_SCHEMA.names, zip(*rows))) if rows else {n: [] for n in _START_SCHEMA.names}, _START_SCHEMA)
+
+    whole, parts, size = [], [], 0
     for batch in batches:
         docs, copies = batch.column("doc").to_pylist(), batch.column("copy").to_pylist()
         texts = batch.column("text").cast(pa.binary()).to_pylist()
         for doc, copy, text, own in zip(docs, copies, texts, batch.column("runs").to_pylist()):
             b = np.frombuffer(text, np.uint8)
-            own = sorted((r["lo"], r["n"], r["g"]) for r in own)
+            own = sorted((r["lo"], r["n"], r["g"], r["kind"]) for r in own)
             at = 0
             while at < len(own):
                 # Runs near each other are refined together, and a long text in steps.
@@ -284,28 +294,40 @@ def _starts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                     end += 1
                 base = own[at][0]
                 _, wide = buckets(b[base : own[end - 1][0] + own[end - 1][1] + WIDTH - 1])
-                n = np.array([r[1] for r in own[at:end]])
-                lo = np.repeat(np.array([r[0] for r in own[at:end]]), n) + np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
-                g = np.repeat(np.array([r[2] for r in own[at:end]], np.int64).view(np.uint64), n)
-                parts.append((g, wide[lo - base], np.full(len(lo), doc, np.int64), np.full(len(lo), copy, np.int32), lo))
-                size += len(lo)
+                for lo, n, g, kind in own[at:end]:
+                    w = wide[lo - base : lo - base + n]
+                    if kind == 1:
+                        whole.append((g, doc, copy, lo, n, w.tobytes()))
+                    else:
+                        full = lambda x, t: np.full(n, x, t)  # noqa: B023, E731
+                        parts.append((full(g, np.int64).view(np.uint64), w, full(doc, np.int64), full(copy, np.int32), lo + np.arange(n)))
+                    size += n
                 at = end
-            if size >= 16 * STEP // 8:
-                yield settled(parts)
-                parts, size = [], 0
-    if parts:
-        yield settled(parts)
+            if size >= STEP:
+                yield settled(whole, parts)
+                whole, parts, size = [], [], 0
+    if whole or parts:
+        yield settled(whole, parts)
 
 
 def _equal_starts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Of equal starts that came here, all but the first go: their spans, with those already known."""
-    got = _gathered(batches)
-    if got is None:
+    parts, ids = [], []
+    for batch in batches:
+        parts.append([batch.column(c).to_numpy(zero_copy_only=False) for c in ("doc", "copy", "lo", "n", "g")])
+        ids += [x for x in batch.column("w").to_pylist() if x is not None]
+    if not parts:
         return
-    yield got[1]
-    doc, copy, lo, _, g, w, _ = got[0]
+    doc, copy, lo, n, g = _stacked(parts)
+    known = n < 0
+    zero = np.zeros(int(known.sum()), np.int64)
+    yield _batch({"doc": doc[known], "copy": copy[known], "lo": lo[known], "n": -n[known], "kind": zero, "g": zero}, _SPANS)
+    doc, copy, lo, n, g = (x[~known] for x in (doc, copy, lo, n, g))
     if not len(g):
         return
+    w = np.frombuffer(b"".join(ids), np.uint64)
+    k = np.arange(len(w)) - np.repeat(np.cumsum(n) - n, n)
+    g, doc, copy, lo = np.repeat(g, n).view(np.uint64), np.repeat(doc, n), np.repeat(copy, n), np.repeat(lo, n) + k
     order, first = _firsts(g, w, doc, copy, lo)
     gone = order[~first]
     doc, copy, lo, hi = _merge(doc[gone], copy[gone], lo[gone].astype(np.int64), lo[gone].astype(np.int64) + WIDTH)
@@ -323,8 +345,8 @@ def repeated_spans(df: DataFrame, scratch: Scratch) -> DataFrame:
     ``df`` has doc, copy and text; (doc, copy) gives the order of texts.
     """
     found = scratch.write(_dealt(df.mapInArrow(_first_pass, _RUNS)).mapInArrow(_resolve, _SPAN_DDL), "found")
-    edges = found.filter("kind = 1").groupBy("doc", "copy").agg(F.collect_list(F.struct("lo", "n", "g")).alias("runs"))
-    last = scratch.write(_dealt(df.join(edges, ["doc", "copy"]).mapInArrow(_starts, _RUNS)).mapInArrow(_equal_starts, _SPAN_DDL), "last")
+    edges = found.filter("kind > 0").groupBy("doc", "copy").agg(F.collect_list(F.struct("lo", "n", "g", "kind")).alias("runs"))
+    last = scratch.write(_dealt(df.join(edges, ["doc", "copy"]).mapInArrow(_starts, _STARTS)).mapInArrow(_equal_starts, _SPAN_DDL), "last")
     spans = found.filter("kind = 0").unionByName(last)
     return spans.groupBy("doc", "copy").agg(F.collect_list(F.struct("lo", "n")).alias("spans"))
 
