@@ -1,0 +1,43 @@
+"""Seconds per query over $BENCH_SF_DIR on local[$BENCH_CPUS]; one JSON line."""
+
+import json
+import os
+import time
+
+from pyspark.sql import SparkSession
+
+from loomstone.plans.catalogue import QUERIES
+
+SF = os.environ.get("BENCH_SF_DIR", "/root/testdata/sf0.1")
+CPUS = os.environ.get("BENCH_CPUS", "8")
+HEADLINE = [
+    "x02_fold_key", "x18_extract_title", "w03_dedup_runs", "w05_chunks", "f03_phrase", "f05_bm25_topk", "f07_expand", "a01_stats", "a05_canonical", "j07_suggestions",
+    "j08_edges", "a07_degree", "a08_components", "w01_date_anomaly", "j09_adjudicate", "j10_witnesses", "a23_divergence", "j11_place_resolve", "j15_quote_verify",
+    "j18_sync_plan", "h04_schedule", "a13_spine", "a15_swimlanes", "a16_places_map", "a18_lowercase", "t01_dated", "v15_corpus_shape",
+]
+
+
+def main() -> None:
+    spark = (
+        SparkSession.builder.master(f"local[{CPUS}]")
+        .config("spark.sql.shuffle.partitions", CPUS)
+        .config("spark.driver.memory", "16g")
+        .config("spark.ui.enabled", "false")
+        .config("spark.ui.showConsoleProgress", "false")
+        .config("spark.sql.session.timeZone", "UTC")
+        .getOrCreate()
+    )
+    spark.sparkContext.setLogLevel("ERROR")
+    run = lambda q: QUERIES[q](spark, SF).write.format("noop").mode("overwrite").save()
+    run("x02_fold_key")  # starts the JVM's compiled code and the table readers
+    seconds = {}
+    for q in HEADLINE:
+        began = time.time()
+        run(q)
+        seconds[q] = round(time.time() - began, 3)
+    print(json.dumps({"metric": "headline_queries_total", "value": round(sum(seconds.values()), 3), "unit": "sec", "queries": seconds, "sf": SF}))
+    spark.stop()
+
+
+if __name__ == "__main__":
+    main()
