@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from loomstone.plans import data_queries, record_queries, text_queries  # noqa: F401
+from loomstone.plans import data_queries, more_queries, record_queries, text_queries  # noqa: F401
 from loomstone.plans.base import ORACLES, QUERIES
 
 __all__ = ["ORACLES", "QUERIES"]

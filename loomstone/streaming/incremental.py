@@ -1,4 +1,4 @@
-"""Incremental ingestion, an extension: the reference's own tools rebuild from nothing.
+"""Incremental ingestion: an extension beside the batch index, which is rebuilt from nothing.
 
 New transcripts are chunked as they arrive; captured snapshots are upserted by
 URL batch by batch, so that a re-run of a batch changes nothing.
