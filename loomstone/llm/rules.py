@@ -27,7 +27,7 @@ REPEAT = 8
 #: The bound of the labelled sample: rows with the smallest hashes of their id.
 MAX_TRAIN_ROWS = 20_000
 #: Terms of the learned list of terms that mark toxic rows.
-MAX_TERMS = 64
+MAX_TERMS = 256
 FEATURES = ["n_words", "mean_chars", "symbol_share", "dup_line_share", "repeat_share", "distinct_share", "n_terms", "mark_share"]
 
 
@@ -180,7 +180,7 @@ def learn_terms(labelled: DataFrame) -> list[str]:
     seen = labelled.select("toxic", F.explode(F.array_distinct(F.transform(words(F.coalesce("text", F.lit(""))), lambda w: F.lower(F.btrim(w, F.lit(MARKS)))))).alias("term"))
     counts = seen.filter("term <> ''").groupBy("term").agg(F.sum("toxic").alias("hits"), F.count(F.lit(1)).alias("n"))
     total = labelled.agg(F.sum("toxic")).first()[0] or 0
-    least = max(5, total // 20)
+    least = max(5, total // 100)
     found = counts.filter((F.col("hits") >= least) & (F.col("hits") >= 0.95 * F.col("n"))).orderBy(F.desc("hits"), "term").limit(MAX_TERMS)
     return [r["term"] for r in found.collect()]
 
