@@ -213,7 +213,7 @@ def _first_pass(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def _gathered(batches: Iterator[pa.RecordBatch]) -> tuple[list[np.ndarray], pa.RecordBatch] | None:
     """The rows of a task: columns of its runs, and the spans already known."""
-    parts = [[b.column(c).to_numpy(zero_copy_only=False) for c in ("doc", "copy", "lo", "n", "g", "s", "edge")] for b in batches]
+    parts = [[b.column(c).to_numpy(zero_copy_only=False) for c in ("doc", "copy", "lo", "n", "g", "s", "edge", "spread")] for b in batches]
     if not parts:
         return None
     columns = _stacked(parts)
@@ -224,20 +224,26 @@ def _gathered(batches: Iterator[pa.RecordBatch]) -> tuple[list[np.ndarray], pa.R
 
 
 def _resolve(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Within all runs of the choices that came here: kind 0 spans go, kind 1 runs need their starts compared, kind 2 as well, of choices with many runs."""
+    """Within all runs of the choices that came here: kind 0 spans go, kind 1 runs need their starts compared, kind 2 as well, of choices with many runs.
+
+    Kind 1 or 2 is the same for all runs of a choice, whichever tasks they came
+    to: if a batch spread the choice, its runs say so themselves, and those that
+    no batch spread are all here with the word of it; if none did, all its runs
+    are here and are counted.
+    """
     got = _gathered(batches)
     if got is None:
         return
     yield got[1]
-    doc, copy, lo, n, g, s, edge = got[0]
+    doc, copy, lo, n, g, s, edge, spread = got[0]
     if not len(g):
         return
     g, s = g.view(np.uint64), s.view(np.uint64)
     order, first = _firsts(g, s, doc, copy, lo)
-    doc, copy, lo, n, g, edge, s = (x[order] for x in (doc, copy, lo, n, g, edge, s))
+    doc, copy, lo, n, g, edge, s, spread = (x[order] for x in (doc, copy, lo, n, g, edge, s, spread))
     fresh = np.concatenate([[True], g[1:] != g[:-1]])
     group = np.cumsum(fresh) - 1
-    told = np.bincount(group, weights=(n == 0)) > 0
+    told = np.bincount(group, weights=(n == 0) | spread) > 0
     different = _different(g, first & (n > 0))
     needs = (different > 1) | told[group] | edge
     kind = np.where(~first, 0, np.where((different > SPREAD) | told[group], 2, 1))

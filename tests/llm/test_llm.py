@@ -234,6 +234,22 @@ def test_repeats_in_small_pieces(spark, monkeypatch, step, spread):
     assert found == brute_repeats(rows)
 
 
+@pytest.mark.parametrize("spread", [2, 5])
+def test_repeats_of_choices_that_some_batches_spread(spark, monkeypatch, spread):
+    """Runs of one choice that differ come to several tasks: many from the first batches, a few from the last."""
+    monkeypatch.setattr(repeats, "SPREAD", spread)
+    shared = [prose(25, 900 + k) for k in range(6)]
+    rows = [(i, f"{prose(9, 100 + i)} {shared[i // 8][i % 8 :]} {prose(7, 300 + i)}") for i in range(48)] + [(48 + i, f"{prose(9, 500 + i)} {x} {prose(7, 600 + i)}") for i, x in enumerate(shared)]
+    coalesce = "spark.sql.adaptive.coalescePartitions.enabled"
+    spark.conf.set(coalesce, "false")
+    try:
+        df = spark.createDataFrame(spark.sparkContext.parallelize(rows, 3), "doc_id long, text string")
+        found = {r.doc_id: (r.n_bytes, r.n_removed, r.n_spans, r.kept_sha256) for r in repeats.remove_repeats(df).collect()}
+    finally:
+        spark.conf.unset(coalesce)
+    assert found == brute_repeats(rows)
+
+
 def test_repeats_odd_rows(spark):
     long = prose(60, 20)
     found = repeats.remove_repeats(table(spark, [*ODD, (8, long), (8, long), (None, long)])).collect()
