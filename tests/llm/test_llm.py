@@ -140,6 +140,24 @@ def test_near_duplicates_equal_brute_force(spark):
     assert found == brute_components(rows)
 
 
+def test_near_duplicates_across_cuts_of_ranges(spark, monkeypatch):
+    """One tree alone, in so many ranges that most regions straddle a cut."""
+    whole = neardup.forest
+    monkeypatch.setattr(neardup, "forest", lambda reps: whole(reps).filter("tree = 0"))
+    rows = [(3 * i + k, prose(400, 700 + i) + f" end{k}" * bool(k)) for i in range(20) for k in range(3)]
+    name, coalesce = "spark.sql.shuffle.partitions", "spark.sql.adaptive.coalescePartitions.enabled"
+    before, found = spark.conf.get(name), []
+    spark.conf.set(coalesce, "false")
+    try:
+        for n in ("1", "40"):
+            spark.conf.set(name, n)
+            found.append({x.doc_id: x.component_id for x in neardup.near_duplicates(table(spark, rows)).collect()})
+    finally:
+        spark.conf.set(name, before)
+        spark.conf.unset(coalesce)
+    assert found[0] == found[1] and sum(k != v for k, v in found[0].items()) > 30
+
+
 def test_near_duplicates_odd_rows(spark):
     found = neardup.near_duplicates(table(spark, ODD)).collect()
     assert len(found) == len(ODD) and all(r.kept for r in found if r.doc_id is None)
