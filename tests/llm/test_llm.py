@@ -158,6 +158,23 @@ def test_near_duplicates_across_cuts_of_ranges(spark, monkeypatch):
     assert found[0] == found[1] and sum(k != v for k, v in found[0].items()) > 30
 
 
+def test_near_duplicates_filters_keep_unlucky_links(spark):
+    """Pairs of 3 and 4 shingles, 3 of them shared, whose signatures agree in 74 to 76 of 128 hashes; a sketch five standard errors below."""
+    hasher, at = neardup.Hasher(), [11660, 19939, 27054, 33404, 48883]
+    words = [[f"{c}{k}" for c in "abcdefgh"] for k in at]
+    sets = hasher.shingles([" ".join(w[:n]).encode() for w in words for n in (7, 8)])
+    sigs = [hasher.signature(h) for h in sets]
+    assert all(74 <= (x == y).sum() <= 76 for x, y in zip(sigs[::2], sigs[1::2]))
+    reps = spark.createDataFrame([(i, bytearray(x.tobytes())) for i, x in enumerate(sigs)], "rep long, sig binary")
+    pairs = [(2 * i, 2 * i + 1) for i in range(len(at))]
+    found = neardup.likely(spark.createDataFrame(pairs, "a long, b long"), reps).collect()
+    assert sorted((r.a, r.b) for r in found) == pairs
+
+    shared, rest, beyond = np.arange(516), np.arange(516, 768), np.arange(768, 1000)
+    x, y = (np.concatenate([shared, rest[k::2], beyond])[: neardup.SKETCH].astype(np.uint32) for k in (0, 1))
+    assert neardup.close(x, 2000, y, 2000)
+
+
 def test_near_duplicates_odd_rows(spark):
     found = neardup.near_duplicates(table(spark, ODD)).collect()
     assert len(found) == len(ODD) and all(r.kept for r in found if r.doc_id is None)
