@@ -214,3 +214,17 @@ def test_sinks(spark, tmp_path):
     docs = spark.createDataFrame([(1, "en", "One of\nthe many."), (2, "fr", None)], "doc_id long, collection string, text string")
     sinks.write_index(docs, f"{tmp_path}/index")
     assert spark.read.parquet(f"{tmp_path}/index/postings").count() == 4 and spark.read.parquet(f"{tmp_path}/index/docs").count() == 2
+
+
+@pytest.mark.parametrize("name,text", [("t01_dated", "He left in 1834. "), ("t03_numbers", "Then 77% had gone. "), ("t04_quotes", "He said they had gone. "), ("t05_sheet", "He left in 1834. ")])
+def test_mining_queries_read_whole_texts(spark, tmp_path, name, text):
+    """n_chars is null, too small or right; the texts are the same."""
+    from loomstone.plans.catalogue import QUERIES
+
+    whole = "x" * 500 + ". " + text
+    rows = [(1, whole, "en", "s", None), (2, whole, "en", "s", 3), (3, whole, "en", "s", len(whole))]
+    spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long").write.parquet(f"{tmp_path}/documents.parquet")
+    found = {}
+    for r in QUERIES[name](spark, str(tmp_path)).collect():
+        found.setdefault(r.doc_id, []).append(str(r).replace("1801", "Y").replace("1802", "Y").replace("1803", "Y").replace(f"doc_id={r.doc_id}", ""))
+    assert sorted(found) == [1, 2, 3] and sorted(found[1]) == sorted(found[2]) == sorted(found[3])
