@@ -140,6 +140,34 @@ def test_near_duplicates_equal_brute_force(spark):
     assert found == brute_components(rows)
 
 
+def test_near_duplicates_in_divided_regions(spark, monkeypatch):
+    """Large regions divided down to a few members, by all hashes of a label and then by parts: a lone link may be missed, no wrong one is made."""
+    r = random.Random(5)
+    base, rows = [f"w{i}" for i in range(200)], []
+    for k in range(120):
+        w = list(base)
+        for _ in range(r.randrange(1, 7)):
+            w[r.randrange(len(w))] = f"x{r.randrange(10**6)}"
+        rows.append((k, " ".join(w)))
+    monkeypatch.setattr(neardup, "BLOCK", 12)
+    found = {x.doc_id: (x.n_shingles, x.component_id) for x in neardup.near_duplicates(table(spark, rows)).collect()}
+    whole = brute_components(rows)
+    assert sum(found[i] != whole[i] for i in whole) <= len(rows) // 100 and all(whole[i][1] == whole[c][1] for i, (_, c) in found.items())
+    # One region of 40 members with one label, of four components: dealt into parts, all members once.
+    members = spark.createDataFrame([(0, 1, 2, k, k % 4) for k in range(40)] + [(0, 5, k, k, 9) for k in range(40)], "tree int, hi long, lo long, rep long, component long")
+    from loomstone.session import Scratch
+
+    dealt = neardup.groups(members, Scratch(spark, "test")).collect()
+    assert sorted(x.rep for x in dealt) == list(range(40)) and {x.hi for x in dealt} == {1} and len({x.part for x in dealt}) > 1
+
+
+def test_filter_of_ids_passes_all_that_are_named(spark):
+    docs = spark.createDataFrame([(i, "t") for i in range(-500, 500)] + [(None, "t")], "doc_id long, text string")
+    ids = spark.createDataFrame([(i,) for i in range(-500, 500, 7)], "doc_id long")
+    found = {x.doc_id for x in neardup.marked(docs, ids).collect()}
+    assert set(range(-500, 500, 7)) <= found and len(found) < 200 and neardup.marked(docs, ids.limit(0)).count() == 0
+
+
 def test_near_duplicates_across_cuts_of_ranges(spark, monkeypatch):
     """One tree alone, in so many ranges that most regions straddle a cut."""
     whole = neardup.forest
