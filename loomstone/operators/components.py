@@ -10,6 +10,8 @@ tables are written to the shared folder.
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -26,7 +28,7 @@ def connected_components(edges: DataFrame, scratch: Scratch, a: str = "a", b: st
 
     Null ends and loops are ignored; nodes may be numbers or strings.
     """
-    name = "cc" + str(id(edges))
+    name = "cc" + uuid.uuid4().hex[:12]
     ends = edges.filter(F.col(a) < F.col(b)).select(F.col(a).alias("u"), F.col(b).alias("v"))
     ends = ends.unionByName(edges.filter(F.col(a) > F.col(b)).select(F.col(b).alias("u"), F.col(a).alias("v"))).distinct()
     ends = scratch.write(ends, f"{name}-e0")
