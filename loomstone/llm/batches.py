@@ -24,3 +24,17 @@ def slices(batches: Iterator[pa.RecordBatch], *columns: str, size: int = SLICE)
             hi = max(lo + 1, int(np.searchsorted(ends, (ends[lo - 1] if lo else 0) + size, "right")))
             yield batch.slice(lo, hi - lo)
             lo = hi
+
+
+def fresh(columns: list[str], name: str) -> str:
+    """``name``, with underscores before it as long as a column has it (whatever its case)."""
+    taken = {c.lower() for c in columns}
+    while name.lower() in taken:
+        name = "_" + name
+    return name
+
+
+def without(columns: list[str], made: list[str]) -> list[str]:
+    """The columns whose names no made column has (whatever their case)."""
+    names = {m.lower() for m in made}
+    return [c for c in columns if c.lower() not in names]

@@ -12,9 +12,14 @@ backtraced by itself. No piece runs from another character into a blank, so a
 cut before a blank has one state only, and the library encodes a chunk between
 two such cuts; the search for a cut looks for one first.
 
+A worker encodes texts one at a time and hands on ids in slices of bounded
+bytes, so its memory grows with its longest text and not with a batch.
+
 Defined results: a null text is encoded as an empty one, into no pieces;
-repeated rows each give a row; other columns are kept; an empty table gives an
-empty result. Decoding gives the text back unless it holds U+2581, which the
+repeated rows each give a row; other columns are kept, but for those with the
+name of a result column, which it replaces; an empty table gives an empty
+result. A very long text costs in proportion to its length, in chunks that any
+task may take. Decoding gives the text back unless it holds U+2581, which the
 model reads as a blank.
 """
 
@@ -30,10 +35,15 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, IntegerType
 
+from loomstone.llm.batches import fresh, slices, without
 from loomstone.session import load
 
 #: Characters above which a text is split, characters of a chunk, and how far from its place a cut may look for a blank.
 GIANT, CHUNK, SEARCH = 32_768, 16_384, 2_048
+#: Characters that a chunk sees before its cut and, twice as many, beyond; no piece may be longer.
+MARGIN = 128
+#: Pairs of pieces that a worker remembers as stable or not.
+PAIRS = 50_000
 BLANK = "▁"
 
 
@@ -57,6 +67,8 @@ class Model:
         self.longest = max(map(len, self.ids))
         if any(BLANK in p.lstrip(BLANK) for p in self.ids):
             raise ValueError("a piece runs into a blank: cuts before blanks would not be safe")
+        if self.longest > MARGIN:
+            raise ValueError("a piece is longer than the margin that a chunk sees")
         self.bytes = [self.sp.piece_to_id(f"<0x{b:02X}>") for b in range(256)]
         self.pairs: dict[tuple[str, str], bool] = {}
         self.whole: dict[str, bool] = {}
@@ -73,7 +85,7 @@ class Model:
 
     def stable(self, a: str, b: str) -> bool:
         if (a, b) not in self.pairs:
-            if len(self.pairs) > 500_000:
+            if len(self.pairs) > PAIRS:
                 self.pairs.clear()
             self.pairs[a, b] = self.bpe(a + b) == [a, b]
         return self.pairs[a, b]
@@ -215,24 +227,29 @@ def _encode_hard(model: Model, s: str, head: int, tail: int) -> list[int]:
     return model.sp.encode(rest, num_threads=1) if rest else ([model.ids[BLANK]] if tail > head else [])
 
 
+def _id_lists(ids: list[np.ndarray]) -> pa.Array:
+    offsets = np.concatenate([[0], np.cumsum([len(x) for x in ids], dtype=np.int64)]).astype(np.int32)
+    return pa.ListArray.from_arrays(pa.array(offsets), pa.array(np.concatenate([np.empty(0, np.int32), *ids]), pa.int32()))
+
+
 def _giant_ids(rows: DataFrame, path: str) -> DataFrame:
     """(key, ids) of giant texts given as (key, text)."""
-    margin = 2 * 64
     chunks = rows.select("key", "text", (F.ceil(F.length("text") / CHUNK)).cast("int").alias("n")).select("key", "n", "text", F.explode(F.sequence(F.lit(0), F.col("n") - 1)).alias("k"))
-    base = F.greatest(F.col("k") * CHUNK - margin, F.lit(0))
-    chunks = chunks.select("key", "k", "n", base.alias("base"), F.substring("text", base + 1, F.lit(CHUNK + SEARCH + 3 * margin)).alias("text"))
+    base = F.greatest(F.col("k") * CHUNK - MARGIN, F.lit(0))
+    chunks = chunks.select("key", "k", "n", base.alias("base"), F.substring("text", base + 1, F.lit(CHUNK + SEARCH + 3 * MARGIN)).alias("text"))
 
-    def matrices(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def chunk_rows(batch: pa.RecordBatch):
+        """The model's chunk and its row of each row of a slice."""
         model = _model(path)
-        for frame in frames:
+        for r in batch.to_pylist():
+            yield model, r, *_chunk(model, r["text"], r["base"], r["k"], r["k"] == r["n"] - 1)
+
+    def matrices(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in slices(batches, "text"):
             out = []
-            for r in frame.itertuples():
-                s, head, tail = _chunk(model, r.text, r.base, r.k, r.k == r.n - 1)
-                if head[1] and tail[1]:
-                    out.append([0.0])
-                    continue
-                out.append(transfer(model, s, states(model, s, *head), states(model, s, *tail)).ravel().tolist())
-            yield pd.DataFrame({"key": frame["key"], "k": frame["k"], "rows": [1] * len(out), "m": out})
+            for model, _, s, head, tail in chunk_rows(batch):
+                out.append([0.0] if head[1] and tail[1] else transfer(model, s, states(model, s, *head), states(model, s, *tail)).ravel().tolist())
+            yield pa.RecordBatch.from_arrays([batch.column("key"), batch.column("k"), pa.array(out, pa.list_(pa.float64()))], ["key", "k", "m"])
 
     def combine(frame: pd.DataFrame) -> pd.DataFrame:
         frame = frame.sort_values("k")
@@ -243,27 +260,22 @@ def _giant_ids(rows: DataFrame, path: str) -> DataFrame:
         at = choose(ms)
         return pd.DataFrame({"key": frame["key"], "k": frame["k"], "head": at[:-1], "tail": at[1:]})
 
-    def trace(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        model = _model(path)
-        for frame in frames:
+    def trace(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in slices(batches, "text"):
             out = []
-            for r in frame.itertuples():
-                s, head, tail = _chunk(model, r.text, r.base, r.k, r.k == r.n - 1)
+            for model, r, s, head, tail in chunk_rows(batch):
                 if head[1] and tail[1]:
-                    out.append(_encode_hard(model, s, head[0], tail[0]))
+                    ids = _encode_hard(model, s, head[0], tail[0])
                 else:
-                    out.append(backtrace(model, s, states(model, s, *head)[r.head], states(model, s, *tail)[r.tail]))
-            yield pd.DataFrame({"key": frame["key"], "k": frame["k"], "ids": out})
+                    ids = backtrace(model, s, states(model, s, *head)[r["head"]], states(model, s, *tail)[r["tail"]])
+                out.append(np.array(ids, np.int32))
+            yield pa.RecordBatch.from_arrays([batch.column("key"), batch.column("k"), _id_lists(out)], ["key", "k", "ids"])
 
-    chosen = chunks.mapInPandas(matrices, "key string, k int, rows int, m array<double>").groupBy("key").applyInPandas(combine, "key string, k int, head int, tail int")
-    traced = chunks.join(chosen, ["key", "k"]).mapInPandas(trace, "key string, k int, ids array<int>")
+    chosen = chunks.mapInArrow(matrices, "key string, k int, m array<double>").groupBy("key").applyInPandas(combine, "key string, k int, head int, tail int")
+    traced = chunks.join(chosen, ["key", "k"]).mapInArrow(trace, "key string, k int, ids array<int>")
     return traced.groupBy("key").agg(F.flatten(F.transform(F.array_sort(F.collect_list(F.struct("k", "ids"))), lambda x: x["ids"])).alias("ids"))
 
 
-def _digest(ids: list[int]) -> str:
-    return hashlib.sha256(np.asarray(ids, "<i4").tobytes()).hexdigest()
-
-
 def encode(df: DataFrame, path: str | None = None, text_col: str = "text", keep_ids: bool = True) -> DataFrame:
     """``df`` without its text, with ids, n_tokens, ids_sha256 and round_trip.
 
@@ -271,37 +283,40 @@ def encode(df: DataFrame, path: str | None = None, text_col: str = "text", keep_
     ``round_trip`` tells whether decoding gives the text back.
     """
     path = path or default_path()
-    others = [c for c in df.columns if c != text_col]
     made = {"ids": ArrayType(IntegerType()), "n_tokens": "long", "ids_sha256": "string", "round_trip": "boolean"}
     if not keep_ids:
         del made["ids"]
+    others = without([c for c in df.columns if c != text_col], list(made))
+    own_key, own_ids = fresh(df.columns, "_key"), fresh(df.columns, "_ids")
+    df = df.select(*others, text_col)
     schema = df.select(*others).schema
     for name, kind in made.items():
         schema = schema.add(name, kind)
 
-    def batchwise(of):
+    def batchwise(ids_of):
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             model = _model(path)
-            for batch in batches:
-                texts = [t or "" for t in batch.column(text_col).to_pylist()]
-                ids = of(model, batch, texts)
-                new = {
-                    "ids": lambda: pa.array(ids, pa.list_(pa.int32())),
-                    "n_tokens": lambda: pa.array([len(x) for x in ids], pa.int64()),
-                    "ids_sha256": lambda: pa.array([_digest(x) for x in ids], pa.string()),
-                    "round_trip": lambda: pa.array([model.sp.decode(x) == t for x, t in zip(ids, texts)], pa.bool_()),
-                }
-                yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in others), *(new[c]() for c in made)], [*others, *made])
+            for batch in slices(batches, text_col):
+                ids, n, digests, same = [], [], [], []
+                for k in range(batch.num_rows):
+                    text = batch.column(text_col)[k].as_py() or ""
+                    own = ids_of(model, batch, k, text)
+                    same.append(model.sp.decode(own) == text)
+                    own = np.array(own, "<i4")
+                    n.append(len(own))
+                    digests.append(hashlib.sha256(own.tobytes()).hexdigest())
+                    ids.append(own if keep_ids else None)
+                arrays = [pa.array(n, pa.int64()), pa.array(digests, pa.string()), pa.array(same, pa.bool_())]
+                yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in others), *([_id_lists(ids)] if keep_ids else []), *arrays], [*others, *made])
 
         return run
 
     giant = F.length(F.coalesce(F.col(text_col), F.lit(""))) > GIANT
-    small = df.filter(~giant).mapInArrow(batchwise(lambda model, batch, texts: [model.sp.encode(t, num_threads=1) for t in texts]), schema)
-    key = F.concat_ws(":", F.sha2(F.col(text_col), 256), F.length(text_col))
-    large = df.filter(giant).withColumn("_key", key)
-    ids = _giant_ids(large.groupBy(F.col("_key").alias("key")).agg(F.any_value(text_col).alias("text")), path)
-    joined = large.join(ids.select(F.col("key").alias("_key"), F.col("ids").alias("_ids")), "_key").select(*df.columns, "_ids")
-    return small.unionByName(joined.mapInArrow(batchwise(lambda model, batch, texts: batch.column("_ids").to_pylist()), schema))
+    small = df.filter(~giant).mapInArrow(batchwise(lambda model, batch, k, text: model.sp.encode(text, num_threads=1)), schema)
+    large = df.filter(giant).withColumn(own_key, F.concat_ws(":", F.sha2(F.col(text_col), 256), F.length(text_col)))
+    ids = _giant_ids(large.groupBy(F.col(own_key).alias("key")).agg(F.any_value(text_col).alias("text")), path)
+    joined = large.join(ids.select(F.col("key").alias(own_key), F.col("ids").alias(own_ids)), own_key).select(*df.columns, own_ids)
+    return small.unionByName(joined.mapInArrow(batchwise(lambda model, batch, k, text: batch.column(own_ids)[k].values.to_pylist()), schema))
 
 
 def decode(df: DataFrame, path: str | None = None, ids_col: str = "ids") -> DataFrame:
