@@ -1,11 +1,10 @@
 """Token counts by a map-side two-tier lookup of pre-token lengths.
 
-Tier one is a broadcast table of the token counts of frequent pre-tokens. A
-first pass over all texts finds them: each task keeps a bounded frequency
-sketch (heavy hitters, pruned when full), sketches merge in a tree, and no
-pre-token is shuffled. Tier two is a bounded cache in each Python worker, kept
-from task to task, which encodes what the table misses. Both tiers only save
-work; every count is the library's.
+Tier one is a broadcast table of the token counts of frequent pre-tokens, found
+in a sample of about ``SAMPLE`` rows; no pre-token is shuffled. Tier two is a
+bounded cache in each Python worker, kept from task to task, which encodes what
+the table misses. Both tiers only save work; every count is the library's, and
+covers the whole text.
 
 The split into pre-tokens is done by a compiled pattern. A character on whose
 class that pattern and the library disagree (their Unicode versions may
@@ -13,7 +12,9 @@ differ) sends its whole text to the library, as do added tokens that strip or
 that want word borders.
 
 Defined results: a null text counts as empty, with no tokens; repeated rows
-each give a row; other columns are kept; an empty table gives an empty result.
+each give a row; other columns are kept, but for one named ``n_tokens``, which
+the count replaces; an empty table gives an empty result; a very long text
+costs in proportion to its length.
 """
 
 from __future__ import annotations
@@ -25,10 +26,13 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from loomstone.llm.batches import slices, without
 from loomstone.session import load
 
-#: Entries of the broadcast table, and of a task's sketch; a sketch is pruned at SLACK times that.
-FREQUENT, SKETCH, SLACK = 16_384, 8_192, 16
+#: Entries of the broadcast table, and rows of the sample that it is drawn from (as expected; each row has the same chance).
+FREQUENT, SAMPLE = 16_384, 8_192
+#: Different pre-tokens that are counted at a time; beyond, the rarer half goes.
+COUNTED = 1 << 17
 #: Entries that a worker's cache holds before it starts afresh.
 CACHE = 400_000
 #: Longer texts are split into pre-tokens one at a time.
@@ -114,37 +118,24 @@ def _top(counts: Counter, most: int) -> Counter:
     return Counter(dict(sorted(counts.items(), key=lambda x: (-x[1], x[0]))[:most]))
 
 
-def frequent_pieces(df: DataFrame, path: str, text_col: str = "text", most: int = FREQUENT) -> list[str]:
-    """The most frequent pre-tokens of all texts, by merged sketches."""
+def frequent_pieces(df: DataFrame, path: str, text_col: str = "text", most: int = FREQUENT, sample: int = SAMPLE) -> list[str]:
+    """The most frequent pre-tokens of about ``sample`` rows, counted in one task: one list, however many partitions ``df`` has."""
 
-    def sketch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         splitter = _worker(path)["splitter"]
         counts: Counter = Counter()
-        for batch in batches:
+        for batch in slices(batches, "t"):
             for text in batch.column(0).to_pylist():
                 counts.update(splitter.pieces(text))
-                if len(counts) > SLACK * SKETCH:
-                    counts = _top(counts, SLACK * SKETCH // 2)
-        top = _top(counts, SKETCH)
-        yield pa.RecordBatch.from_pydict({"piece": [list(top)], "n": [list(top.values())]}, schema=schema)
+                if len(counts) > COUNTED:
+                    counts = _top(counts, COUNTED // 2)
+        yield pa.RecordBatch.from_arrays([pa.array(list(_top(counts, most)), pa.string())], ["piece"])
 
-    def merged(table):
-        counts: Counter = Counter()
-        for batch in table.to_batches(max_chunksize=64):
-            for pieces, n in zip(batch.column("piece").to_pylist(), batch.column("n").to_pylist()):
-                for p, k in zip(pieces, n):
-                    counts[p] += k
-            counts = _top(counts, SLACK * SKETCH)
-        top = _top(counts, most)
-        return pa.table({"piece": [list(top)], "n": [list(top.values())]}, schema=schema)
-
-    schema = pa.schema([("piece", pa.list_(pa.string())), ("n", pa.list_(pa.int64()))])
-    kind = "piece array<string>, n array<long>"
-    level = df.select(F.coalesce(F.col(text_col), F.lit("")).alias("t")).mapInArrow(sketch, kind).withColumn("g", F.pmod(F.spark_partition_id(), F.lit(256)))
-    for fan in (16, 1):
-        level = level.groupBy("g").applyInArrow(merged, kind).withColumn("g", F.pmod(F.spark_partition_id(), F.lit(fan)))
-    rows = level.select("piece").collect()
-    return rows[0]["piece"] if rows else []
+    texts = df.select(F.coalesce(F.col(text_col), F.lit("")).alias("t"))
+    share = min(1.0, sample / max(df.count(), 1))
+    if share < 1:
+        texts = texts.sample(share, seed=1)
+    return [r["piece"] for r in texts.repartition(1).mapInArrow(count, "piece string").collect()]
 
 
 def count_tokens(df: DataFrame, path: str | None = None, text_col: str = "text") -> DataFrame:
@@ -153,7 +144,7 @@ def count_tokens(df: DataFrame, path: str | None = None, text_col: str = "text")
     pieces = frequent_pieces(df, path, text_col)
     splitter = Splitter(path)
     table = df.sparkSession.sparkContext.broadcast({p: len(e.ids) for p, e in zip(pieces, splitter.tokenizer.encode_batch(pieces, add_special_tokens=False))})
-    others = [c for c in df.columns if c != text_col]
+    others = without([c for c in df.columns if c != text_col], ["n_tokens"])
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own = _worker(path)
@@ -161,7 +152,7 @@ def count_tokens(df: DataFrame, path: str | None = None, text_col: str = "text")
         if own.get("table") is not table.value:
             own["table"], own["counts"] = table.value, Counts(splitter.tokenizer, table.value)
         lookup = own["counts"].__getitem__
-        for batch in batches:
+        for batch in slices(batches, text_col):
             found = []
             for text in batch.column(text_col).to_pylist():
                 cut = splitter.parts(text) if text else ([], 0)
