@@ -11,7 +11,7 @@ from loomstone.session import Scratch, load
 def classifier_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the quality classifier keeps; it is fitted on labelled documents of ``docs``."""
     model = classifier.train(docs, load(spark, sf_dir, "labels"))
-    return classifier.classify(docs, model).filter("kept").select(*docs.columns)
+    return classifier.keep_good(docs, model)
 
 
 def neardup_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -12,8 +12,11 @@ driver, over a bounded sample of labelled rows: those with the smallest hashes
 of their id, ``MAX_TRAIN_ROWS`` at most. It is deterministic.
 
 Defined results: a null text counts as empty; repeated rows each give a row; a
-document labelled twice counts with its worse label; without labelled rows all
-are kept; other columns are kept; an empty table gives an empty result.
+document labelled twice counts with its worse label; a label row without a
+quality, a verdict on toxicity or an id takes no part in the fit; without
+labelled rows all are kept; other columns are kept, but for those with the name
+of a result column, which it replaces (``keep_good`` adds none); an empty table
+gives an empty result; a very long text costs in proportion to its length.
 """
 
 from __future__ import annotations
@@ -28,6 +31,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from loomstone.llm.batches import slices, without
 from loomstone.session import load
 
 BITS = 18
@@ -112,13 +116,13 @@ def fit(rows: list[np.ndarray], grades: np.ndarray) -> Model:
 def train(docs: DataFrame, labels: DataFrame, max_rows: int = MAX_TRAIN_ROWS) -> Model | None:
     """A model from ``max_rows`` labelled documents at most; None if there are none."""
     grade = F.when(F.col("toxic") == 1, 0).when(F.col("quality") == 0, 1).otherwise(2)
-    marked = labels.filter("doc_id is not null").groupBy("doc_id").agg(F.min(grade).alias("grade"))
+    marked = labels.filter("doc_id is not null and quality is not null and toxic is not null").groupBy("doc_id").agg(F.min(grade).alias("grade"))
     sample = marked.orderBy(F.xxhash64(F.lit("classifier"), "doc_id"), "doc_id").limit(max_rows)
     # max_rows rows of 16 bytes: bounded, whatever the input.
     labelled = docs.select("doc_id", "text").join(F.broadcast(sample), "doc_id").select("doc_id", "grade", "text")
 
     def hashed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in slices(batches, "text"):
             found = [features(t or "").tobytes() for t in batch.column("text").to_pylist()]
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(found, pa.binary())], ["doc_id", "grade", "f"])
 
@@ -129,26 +133,47 @@ def train(docs: DataFrame, labels: DataFrame, max_rows: int = MAX_TRAIN_ROWS) ->
     return fit([np.frombuffer(r["f"], np.int32) for r in rows], np.array([r["grade"] for r in rows]))
 
 
-def classify(df: DataFrame, model: Model | None, text_col: str = "text", keep_text: bool = True) -> DataFrame:
-    """``df`` with expected_grade, p_top and kept."""
+def _scorer(df: DataFrame, model: Model | None, text_col: str):
+    """A function from a slice of a batch to the expected grades and tail probabilities of its texts."""
     # The weights are 2 MB, whatever the input.
     shared = df.sparkSession.sparkContext.broadcast(model and (model.weights, model.thresholds))
-    others = [c for c in df.columns if keep_text or c != text_col]
+
+    def scored(batch: pa.RecordBatch) -> tuple[np.ndarray, np.ndarray]:
+        if shared.value is None:
+            return np.full(batch.num_rows, GRADES - 1.0), np.ones(batch.num_rows)
+        own = Model(*shared.value)
+        return own.predict(np.array([own.weights[features(t or "")].sum() for t in batch.column(text_col).to_pylist()]))
+
+    return scored
+
+
+def classify(df: DataFrame, model: Model | None, text_col: str = "text", keep_text: bool = True) -> DataFrame:
+    """``df`` with expected_grade, p_top and kept."""
+    made = ["expected_grade", "p_top", "kept"]
+    others = without([c for c in df.columns if keep_text or c != text_col], made)
+    scored = _scorer(df, model, text_col)
 
     def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        own = shared.value and Model(*shared.value)
-        for batch in batches:
-            if own is None:
-                grade, tail = np.full(batch.num_rows, GRADES - 1.0), np.ones(batch.num_rows)
-            else:
-                grade, tail = own.predict(np.array([own.weights[features(t or "")].sum() for t in batch.column(text_col).to_pylist()]))
-            made = [pa.array(grade, pa.float64()), pa.array(tail, pa.float64()), pa.array(tail >= LEAST_TAIL, pa.bool_())]
-            yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in others), *made], [*others, "expected_grade", "p_top", "kept"])
+        for batch in slices(batches, text_col):
+            grade, tail = scored(batch)
+            new = [pa.array(grade, pa.float64()), pa.array(tail, pa.float64()), pa.array(tail >= LEAST_TAIL, pa.bool_())]
+            yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in others), *new], [*others, *made])
 
     schema = df.select(*others).schema.add("expected_grade", "double").add("p_top", "double").add("kept", "boolean")
     return df.mapInArrow(score, schema)
 
 
+def keep_good(df: DataFrame, model: Model | None, text_col: str = "text") -> DataFrame:
+    """The rows that ``classify`` would mark as kept; columns as before, whatever their names."""
+    scored = _scorer(df, model, text_col)
+
+    def keep(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in slices(batches, text_col):
+            yield batch.filter(pa.array(scored(batch)[1] >= LEAST_TAIL, pa.bool_()))
+
+    return df.mapInArrow(keep, df.schema)
+
+
 def op7_quality_classifier(spark, sf_dir: str) -> DataFrame:
     """Expected grade, tail probability and verdict for each document."""
     docs = load(spark, sf_dir, "documents").select("doc_id", "text")

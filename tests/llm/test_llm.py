@@ -421,3 +421,65 @@ def test_shards_are_even_and_gapless(spark, monkeypatch):
     texts = {i: t for i, t in rows}
     assert all(r.text_crc32 == zlib.crc32((texts[r.doc_id] or "").encode()) and r["size"] == 8 + len((texts[r.doc_id] or "").encode()) for r in found if r.doc_id is not None)
     assert sharding.shard_by_bytes(empty(spark), 24).count() == 0
+
+
+# ---- names, nulls and repeated rows, for all ----
+
+
+def clashing(spark, rows):
+    """Rows of (doc_id, text) with columns named like those that the operators make or use inside."""
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    for c in "ids _ids _key n_tokens IDS_SHA256 round_trip kept expected_grade P_TOP base spans words lines n_words rule hashes key bits bucket at n_chars2".split():
+        df = df.withColumn(c, F.lit("own"))
+    return df
+
+
+def test_clashing_names(spark):
+    rows = [(1, "a password=hunter22 " + prose(30, 1)), (2, None), (2, None), (3, prose(40, 3))]
+    df = clashing(spark, rows)
+    assert tokens.count_tokens(df).filter("base = 'own'").count() == 4
+    monkey = sentencepieces.encode(df)
+    assert {r.doc_id: r.n_tokens > 0 for r in monkey.collect()} == {1: True, 2: False, 3: True} and "base" in monkey.columns
+    assert classifier.classify(df, None).filter("kept and base = 'own'").count() == 4
+    good = classifier.keep_good(df, None)
+    assert good.columns == df.columns and good.filter("kept = 'own'").count() == 4
+    clean = secrets.redact(df)
+    assert clean.columns == df.columns and {(r.text, r.spans, r.base) for r in clean.collect() if r.doc_id == 1} == {("a [secret] " + prose(30, 1), "own", "own")}
+    assert secrets.scan(df).filter("size(spans) > 0 and kept = 'own'").count() == 1
+    assert rules.apply_rules(df, [], []).filter("words = 'own' and lines = 'own'").count() == 4
+    bench = spark.createDataFrame([(1, prose(40, 3))], "item_id long, text string")
+    left = decontaminate.remove_contaminated(df, bench)
+    assert left.columns == df.columns and sorted(r.doc_id for r in left.collect()) == [1, 2, 2]
+    assert neardup.drop_near_duplicates(df).columns == df.columns
+    assert repeats.remove_repeats(df).count() == 4 and sharding.shard_by_bytes(df, 3).count() == 4
+
+
+def test_giant_texts_with_clashing_names(spark, monkeypatch):
+    for name, value in (("GIANT", 200), ("CHUNK", 160), ("SEARCH", 24)):
+        monkeypatch.setattr(sentencepieces, name, value)
+    found = sentencepieces.encode(clashing(spark, [(1, prose(400, 2)), (2, prose(400, 2))]), keep_ids=False).collect()
+    assert len(found) == 2 and all(r.round_trip is True for r in found)
+
+
+def test_pieces_are_one_list_however_many_partitions(spark):
+    rows = [(i, prose(30, i) + f" own{i}") for i in range(64)]
+    name, coalesce = "spark.sql.shuffle.partitions", "spark.sql.adaptive.coalescePartitions.enabled"
+    before = spark.conf.get(name)
+    spark.conf.set(coalesce, "false")
+    spark.conf.set(name, "32")
+    try:
+        found = [tokens.frequent_pieces(table(spark, rows).repartition(n), tokens.default_path(), most=500) for n in (1, 32)]
+    finally:
+        spark.conf.set(name, before)
+        spark.conf.unset(coalesce)
+    assert found[0] == found[1] and " the" in found[0]
+    assert len(tokens.frequent_pieces(table(spark, rows), tokens.default_path(), sample=8)) < len(found[0])
+
+
+def test_label_rows_with_nulls_take_no_part(spark):
+    docs = [(i, prose(60, i) + (" moron scum" if i % 5 == 0 else "")) for i in range(200)]
+    whole = [(i, 1, int(i % 5 == 0)) for i in range(200)]
+    kind = "doc_id long, quality int, toxic int"
+    one = classifier.train(table(spark, docs), spark.createDataFrame(whole, kind))
+    two = classifier.train(table(spark, docs + [(900, "moron")]), spark.createDataFrame(whole + [(900, None, None), (None, 1, 0), (900, 1, None)], kind))
+    assert np.array_equal(one.weights, two.weights) and np.array_equal(one.thresholds, two.thresholds)
