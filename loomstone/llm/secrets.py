@@ -4,8 +4,12 @@ Native: SQL functions only. A pattern's spans come from ``split`` and
 ``regexp_extract_all``, which cut the text into gaps and hits that alternate;
 running lengths give the offsets, in code points.
 
+Lists of spans are built in blocks of ``BLOCK``, so that a very long text with
+very many spans costs in proportion to its length and to their number.
+
 Defined results: a null or empty text has no spans; repeated rows each give
-their row; other columns are ignored by ``scan`` and kept by ``redact``.
+their row; an empty table gives an empty result; ``redact`` keeps all columns,
+``scan`` all but those named ``base`` or ``spans``, which its own replace.
 """
 
 from __future__ import annotations
@@ -15,6 +19,7 @@ import math
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from loomstone.llm.batches import fresh, without
 from loomstone.llm.text import let
 from loomstone.session import load
 
@@ -27,6 +32,9 @@ HEX = r"[0-9a-f]{24,}"
 KINDS = ["assign", "access", "hex", "entropy"]
 LEAST_VALUE = 6
 
+#: Spans that are appended to a list one by one, before the list joins those of other blocks.
+BLOCK = 128
+
 #: Candidate strings for the entropy test, and the characters they may hold.
 CANDIDATE = r"[A-Za-z0-9+/_=-]{20,}"
 ALPHABET = "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/_=-"
@@ -47,24 +55,47 @@ ALLOWED = (
 )
 
 
+_NONE = "cast(array() as array<struct<s:int,k:int,e:int>>)"
+
+
+def _fold(items: Column, first: Column, step, found: str) -> Column:
+    """The list ``found`` that ``step`` builds over ``items``.
+
+    ``first`` is a struct whose field ``at`` is carried on from item to item;
+    ``step`` takes (at, found, item) and gives both anew. Lists grow within
+    blocks, and whole blocks are put together at the end.
+    """
+    blocks = F.transform(F.sequence(F.lit(0), F.floor((F.size(items) - 1) / BLOCK).cast("int")), lambda b: F.slice(items, b * BLOCK + 1, F.lit(BLOCK)))
+
+    def inner(at: Column, block: Column) -> Column:
+        def one(state: Column, item: Column) -> Column:
+            now, grown = step(state["at"], state["found"], item)
+            return F.struct(now.alias("at"), grown.alias("found"))
+
+        return F.aggregate(block, F.struct(at.alias("at"), F.expr(found).alias("found")), one)
+
+    def outer(state: Column, block: Column) -> Column:
+        # let: the block is gone through once for both fields.
+        return let(inner(state["at"], block), lambda x: F.struct(x["at"].alias("at"), F.array_append(state["lists"], x["found"]).alias("lists")))
+
+    start = F.struct(first.alias("at"), F.slice(F.array(F.expr(found)), 1, 0).alias("lists"))
+    whole = F.flatten(F.aggregate(blocks, start, outer, lambda x: x["lists"]))
+    return F.when(F.size(items) > 0, whole).otherwise(F.expr(found))
+
+
 def _spans(text: Column, pattern: str, kind: int, keep=None) -> Column:
     """Spans (start, kind, end) of all matches of ``pattern``; ``keep`` tests a match."""
-    none = F.expr("cast(array() as array<struct<s:int,k:int,e:int>>)")
-
-    def walk(gaps: Column, hits: Column) -> Column:
-        def step(state: Column, i: Column) -> Column:
-            start = state["at"] + F.length(F.element_at(gaps, i))
-            hit = F.element_at(hits, i)
-            span = F.struct(start.alias("s"), F.lit(kind).alias("k"), (start + F.length(hit)).alias("e"))
-            found = F.array_append(state["found"], span)
-            found = found if keep is None else F.when(keep(hit), found).otherwise(state["found"])
-            return F.struct((start + F.length(hit)).alias("at"), found.alias("found"))
 
-        zero = F.struct(F.lit(0).alias("at"), none.alias("found"))
-        return F.aggregate(F.sequence(F.lit(1), F.size(hits)), zero, step, lambda s: s["found"])
+    def step(at: Column, found: Column, cut: Column) -> tuple[Column, Column]:
+        start = at + F.length(cut["gap"])
+        end = start + F.length(cut["hit"])
+        grown = F.array_append(found, F.struct(start.alias("s"), F.lit(kind).alias("k"), end.alias("e")))
+        return end, grown if keep is None else F.when(keep(cut["hit"]), grown).otherwise(found)
 
-    found = let(F.split(text, pattern, -1), lambda gaps: let(F.regexp_extract_all(text, F.lit(pattern), F.lit(0)), lambda hits: walk(gaps, hits)))
-    return F.when(text.rlike(pattern), found).otherwise(none)
+    hits = F.regexp_extract_all(text, F.lit(pattern), F.lit(0))
+    # One gap more than hits: the last has no hit after it.
+    cuts = F.filter(F.arrays_zip(F.split(text, pattern, -1).alias("gap"), hits.alias("hit")), lambda x: x["hit"].isNotNull())
+    return F.when(text.rlike(pattern), let(cuts, lambda c: _fold(c, F.lit(0), step, _NONE))).otherwise(F.expr(_NONE))
 
 
 def peak_entropy(candidate: Column) -> Column:
@@ -103,24 +134,40 @@ def is_secret(candidate: Column) -> Column:
     return ~candidate.rlike(ALLOWED.replace(r"\2", r"\4")) & (peak_entropy(candidate) >= mark - 1e-9)
 
 
+def base_spans(text: Column) -> Column:
+    """Spans of the three fixed patterns, sorted by start, then kind."""
+    low = F.lower(text)
+    named = low.contains("passw") | low.contains("secret") | low.contains("token") | low.contains("api")
+    long_value = lambda hit: F.length(F.regexp_extract(hit, ASSIGN, 1)) >= LEAST_VALUE
+    assign = F.when(named, _spans(text, ASSIGN, 0, long_value)).otherwise(F.expr(_NONE))
+    access = F.when(text.contains("AKIA"), _spans(text, ACCESS, 1)).otherwise(F.expr(_NONE))
+    return F.array_sort(F.concat(assign, access, _spans(text, HEX, 2)))
+
+
+def with_extra(base: Column, extra: Column) -> Column:
+    """Base spans, and those of ``extra`` that no base span contains, sorted."""
+
+    def step(top: Column, found: Column, x: Column) -> tuple[Column, Column]:
+        # By start: a base span contains x if the furthest end so far reaches x's.
+        ours = x["k"] < KINDS.index("entropy")
+        grown = F.when(ours | (top < x["e"]), F.array_append(found, x)).otherwise(found)
+        return F.when(ours, F.greatest(top, x["e"])).otherwise(top), grown
+
+    return F.when(F.size(extra) > 0, let(F.array_sort(F.concat(base, extra)), lambda both: _fold(both, F.lit(-1), step, _NONE))).otherwise(base)
+
+
+def _scanned(df: DataFrame, text_col: str, base: str, spans: str) -> DataFrame:
+    text = F.coalesce(F.col(text_col), F.lit(""))
+    return df.withColumn(base, base_spans(text)).withColumn(spans, with_extra(F.col(base), _spans(text, CANDIDATE, 3, is_secret)))
+
+
 def scan(df: DataFrame, text_col: str = "text") -> DataFrame:
     """``df`` with ``base`` and ``spans``: arrays of (s, k, e), sorted by start, then kind.
 
     ``base`` has the spans of the three fixed patterns; ``spans`` adds those
     candidates of high entropy that no base span contains.
     """
-    text = F.coalesce(F.col(text_col), F.lit(""))
-    low = F.lower(text)
-    none = F.expr("cast(array() as array<struct<s:int,k:int,e:int>>)")
-    named = low.contains("passw") | low.contains("secret") | low.contains("token") | low.contains("api")
-    long_value = lambda hit: F.length(F.regexp_extract(hit, ASSIGN, 1)) >= LEAST_VALUE
-    assign = F.when(named, _spans(text, ASSIGN, 0, long_value)).otherwise(none)
-    access = F.when(text.contains("AKIA"), _spans(text, ACCESS, 1)).otherwise(none)
-    base = F.array_sort(F.concat(assign, access, _spans(text, HEX, 2)))
-    out = df.withColumn("base", base)
-    extra = _spans(text, CANDIDATE, 3, is_secret)
-    outside = F.filter(extra, lambda x: ~F.exists(F.col("base"), lambda b: (b["s"] <= x["s"]) & (x["e"] <= b["e"])))
-    return out.withColumn("spans", F.array_sort(F.concat(F.col("base"), outside)))
+    return _scanned(df.select(*without(df.columns, ["base", "spans"])), text_col, "base", "spans")
 
 
 def span_text(spans: Column) -> Column:
@@ -129,24 +176,47 @@ def span_text(spans: Column) -> Column:
     return F.array_join(F.transform(spans, lambda x: F.concat_ws(":", F.element_at(kinds, x["k"] + 1), x["s"], x["e"])), ",")
 
 
+def masked(text: Column, spans: Column, mask: str) -> Column:
+    """The text with every span replaced by ``mask``; overlapping spans become one mask.
+
+    A block of spans cuts its pieces from its own stretch of the text, as
+    finding a place in a string takes time in proportion to how far in it is.
+    """
+    blocks = F.transform(F.sequence(F.lit(0), F.floor((F.size(spans) - 1) / BLOCK).cast("int")), lambda b: F.slice(spans, b * BLOCK + 1, F.lit(BLOCK)))
+
+    def pieces(at: Column, block: Column) -> Column:
+        far = F.greatest(at, F.array_max(F.transform(block, lambda x: x["e"])))
+
+        def cut(own: Column) -> Column:
+            def step(state: Column, x: Column) -> Column:
+                gap = F.concat(F.substring(own, state["at"] - at + 1, F.greatest(x["s"] - state["at"], F.lit(0))), F.lit(mask))
+                grown = F.when(x["s"] >= state["at"], F.array_append(state["out"], gap)).otherwise(state["out"])
+                return F.struct(F.greatest(state["at"], x["e"]).alias("at"), grown.alias("out"))
+
+            zero = F.struct(at.alias("at"), F.expr("cast(array() as array<string>)").alias("out"))
+            return F.aggregate(block, zero, step, lambda x: F.struct(x["at"].alias("at"), F.array_join(x["out"], "").alias("out")))
+
+        return let(F.substring(text, at + 1, far - at), cut)
+
+    def outer(state: Column, block: Column) -> Column:
+        return let(pieces(state["at"], block), lambda x: F.struct(x["at"].alias("at"), F.array_append(state["out"], x["out"]).alias("out")))
+
+    start = F.struct(F.lit(0).alias("at"), F.expr("cast(array() as array<string>)").alias("out"))
+    return F.aggregate(blocks, start, outer, lambda x: F.concat(F.array_join(x["out"], ""), F.substring(text, x["at"] + 1, F.length(text))))
+
+
 def redact(df: DataFrame, mask: str = "[secret]") -> DataFrame:
     """``df`` with every found span of ``text`` replaced by ``mask``; columns as before.
 
     Overlapping spans become one mask. A text without spans stays as it is.
     ``n_chars``, where there is one, follows the new text.
     """
-
-    def step(state: Column, x: Column) -> Column:
-        fresh = x["s"] >= state["at"]
-        gap = F.when(fresh, F.concat(F.substring(F.col("text"), state["at"] + 1, F.greatest(x["s"] - state["at"], F.lit(0))), F.lit(mask))).otherwise(F.lit(""))
-        return F.struct(F.greatest(state["at"], x["e"]).alias("at"), F.concat(state["out"], gap).alias("out"))
-
-    zero = F.struct(F.lit(0).alias("at"), F.lit("").alias("out"))
-    masked = F.aggregate("spans", zero, step, lambda s: F.concat(s["out"], F.substring(F.col("text"), s["at"] + 1, F.length("text"))))
-    found = scan(df).withColumn("text", F.when(F.size("spans") > 0, masked).otherwise(F.col("text")))
+    base, spans = fresh(df.columns, "_base"), fresh(df.columns, "_spans")
+    hit = F.size(spans) > 0
+    found = _scanned(df, "text", base, spans).withColumn("text", F.when(hit, masked(F.col("text"), F.col(spans), mask)).otherwise(F.col("text")))
     if "n_chars" in df.columns:
         kind = df.schema["n_chars"].dataType
-        found = found.withColumn("n_chars", F.when(F.size("spans") > 0, F.length("text").cast(kind)).otherwise(F.col("n_chars")))
+        found = found.withColumn("n_chars", F.when(hit, F.length("text").cast(kind)).otherwise(F.col("n_chars")))
     return found.select(*df.columns)
 
 
