@@ -8,8 +8,12 @@ on two thirds of the rows, loses them again while that helps on the rest, and
 is kept if it is precise there; its rows then leave the sample.
 
 Defined results: a null text has no words; repeated rows each give a row;
-without labelled rows the list is empty and only the base rules speak; a
-document labelled twice counts with its worse label; other columns are ignored.
+without labelled rows the list is empty and only the base rules speak; a label
+row without an id, a quality or a verdict on toxicity takes no part; a document
+labelled twice counts with its worse label; of equal bounds the first feature's
+is taken; other columns are kept, but for those with the name of a statistic,
+which it replaces; an empty table gives an empty result; a very long text costs
+in proportion to its length.
 """
 
 from __future__ import annotations
@@ -20,7 +24,8 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from loomstone.llm.text import SPACES, let, windows, words
+from loomstone.llm.batches import fresh
+from loomstone.llm.text import let, windows, words
 from loomstone.session import load
 
 REPEAT = 8
@@ -34,21 +39,27 @@ FEATURES = ["n_words", "mean_chars", "symbol_share", "dup_line_share", "repeat_s
 def repeated_words(items: Column) -> Column:
     """Words that lie in a window of eight words found twice or more.
 
-    Windows are compared by 64-bit hashes. Only a text that repeats one pays
-    for sorting them: equal neighbours in the sorted list give the starts of
-    repeated windows, and the gaps between those the words covered.
+    Only a text that holds a 64-bit window hash twice pays for sorting them:
+    equal neighbours in the sorted list give the starts that may repeat, the
+    same on their words those that do, and the gaps between these the words
+    covered.
     """
 
     def covered(hashes: Column) -> Column:
-        def starts(ranked: Column) -> Column:
+        def equal(ranked: Column) -> Column:
+            """Starts (field i) of entries whose field h a neighbour shares."""
             same = lambda i, j: F.try_element_at(ranked, j)["h"].eqNullSafe(F.element_at(ranked, i)["h"])
             hit = F.filter(F.sequence(F.lit(1), F.size(ranked)), lambda i: same(i, i + 1) | ((i > 1) & same(i, F.greatest(i - 1, F.lit(1)))))
-            return F.sort_array(F.transform(hit, lambda i: F.element_at(ranked, i)["i"]))
+            return F.transform(F.filter(hit, lambda i: F.size(ranked) > 0), lambda i: F.element_at(ranked, i)["i"])
+
+        def starts(ranked: Column) -> Column:
+            spelled = F.transform(equal(ranked), lambda i: F.struct(F.array_join(F.slice(items, i + 1, F.lit(REPEAT)), " ").alias("h"), i.alias("i")))
+            return F.sort_array(let(F.sort_array(spelled), equal))
 
         def total(at: Column) -> Column:
             gap = lambda i: F.least(F.element_at(at, i + 1) - F.element_at(at, i), F.lit(REPEAT))
             inner = F.when(F.size(at) > 1, F.aggregate(F.sequence(F.lit(1), F.size(at) - 1), F.lit(0), lambda s, i: s + gap(i))).otherwise(F.lit(0))
-            return inner + REPEAT
+            return F.when(F.size(at) > 0, inner + REPEAT).otherwise(F.lit(0))
 
         ranked = F.sort_array(F.transform(hashes, lambda h, i: F.struct(h.alias("h"), i.alias("i"))))
         sparse = F.size(F.array_distinct(hashes)) == F.size(hashes)
@@ -61,17 +72,18 @@ def statistics(df: DataFrame, terms: list[str] = ()) -> DataFrame:
     """``df`` with the base statistics and the features of the decision list."""
     text = F.coalesce(F.col("text"), F.lit(""))
     lines = let(F.filter(F.split(text, "\n", -1), lambda x: F.btrim(x, F.lit(" \t\x0b\x0c\r")) != ""), lambda x: F.struct(F.size(x).alias("all"), (F.size(x) - F.size(F.array_distinct(x))).alias("dup")))
-    plain = F.array_distinct(F.transform(F.col("words"), lambda w: F.lower(F.btrim(w, F.lit(MARKS)))))
-    n = F.greatest(F.size("words"), F.lit(1))
-    out = df.withColumn("words", words(text)).withColumn("lines", lines)
+    own, all_lines = fresh(df.columns, "_words"), fresh(df.columns, "_lines")
+    plain = F.array_distinct(F.transform(F.col(own), lambda w: F.lower(F.btrim(w, F.lit(MARKS)))))
+    n = F.greatest(F.size(own), F.lit(1))
+    out = df.withColumn(own, words(text)).withColumn(all_lines, lines)
     out = out.withColumns(
         {
-            "n_words": F.size("words").cast("long"),
-            "word_chars": F.length(F.array_join("words", "")).cast("long"),
+            "n_words": F.size(own).cast("long"),
+            "word_chars": F.length(F.array_join(own, "")).cast("long"),
             "n_symbols": F.regexp_count(text, F.lit(r"[#*$%&|<>]")).cast("long"),
-            "n_dup_lines": F.col("lines.dup").cast("long"),
-            "n_repeat_words": repeated_words(F.col("words")).cast("long"),
-            "distinct_share": F.size(F.array_distinct("words")) / n,
+            "n_dup_lines": F.col(f"{all_lines}.dup").cast("long"),
+            "n_repeat_words": repeated_words(F.col(own)).cast("long"),
+            "distinct_share": F.size(F.array_distinct(own)) / n,
             "n_terms": (F.size(F.array_intersect(plain, F.array(*map(F.lit, terms)))) if terms else F.lit(0)).cast("double"),
         }
     )
@@ -79,11 +91,11 @@ def statistics(df: DataFrame, terms: list[str] = ()) -> DataFrame:
         {
             "mean_chars": F.col("word_chars") / n,
             "symbol_share": F.col("n_symbols") / n,
-            "dup_line_share": F.col("n_dup_lines") / F.greatest(F.col("lines.all"), F.lit(1)),
+            "dup_line_share": F.col("n_dup_lines") / F.greatest(F.col(f"{all_lines}.all"), F.lit(1)),
             "repeat_share": F.col("n_repeat_words") / n,
             "mark_share": F.regexp_count(text, F.lit(r"[.,;:!?]")) / n,
         }
-    ).drop("words", "lines")
+    ).drop(own, all_lines)
 
 
 #: Marks that may stand around a word.
@@ -117,15 +129,16 @@ def _cuts(values: list[float], most: int = 48) -> list[float]:
     return middle if len(middle) <= most else [middle[i * (len(middle) - 1) // (most - 1)] for i in range(most)]
 
 
-def learn_list(rows: list[tuple[list[float], bool]], precision: float = 0.95, most_rules: int = 12, most_tests: int = 4, support: int = 5) -> list[list[Test]]:
+def learn_list(rows: list[tuple[list[float], bool]], precision: float = 0.95, most_rules: int = 12, most_tests: int = 4, support: int = 5, held: list[bool] | None = None) -> list[list[Test]]:
     """Sequential covering over (features, is bad) rows: conjunctions, most precise first found.
 
+    ``held`` marks the rows that only prune; without it every third does.
     Sets of rows are bit sets, so a candidate test costs two ``and``s.
     """
     if not rows:
         return []
     bad = sum(1 << i for i, (_, b) in enumerate(rows) if b)
-    prune = sum(1 << i for i in range(0, len(rows), 3))
+    prune = sum(1 << i for i in range(len(rows)) if (held[i] if held else i % 3 == 0))
     tests: list[tuple[Test, int]] = []
     for f, name in enumerate(FEATURES):
         ranked = sorted(range(len(rows)), key=lambda i: rows[i][0][f])
@@ -187,14 +200,16 @@ def learn_terms(labelled: DataFrame) -> list[str]:
 
 def learn(docs: DataFrame, labels: DataFrame, max_rows: int = MAX_TRAIN_ROWS) -> tuple[list[str], list[list[Test]]]:
     """Terms and decision list, from ``max_rows`` labelled rows at most."""
-    marked = labels.filter("doc_id is not null").groupBy("doc_id").agg(F.min("quality").alias("quality"), F.max("toxic").alias("toxic"))
+    marked = labels.filter("doc_id is not null and quality is not null and toxic is not null").groupBy("doc_id").agg(F.min("quality").alias("quality"), F.max("toxic").alias("toxic"))
     sample = marked.orderBy(F.xxhash64(F.lit("rules"), "doc_id"), "doc_id").limit(max_rows)
     # max_rows rows of 24 bytes: bounded, whatever the input.
     labelled = docs.select("doc_id", "text").join(F.broadcast(sample), "doc_id")
-    terms = learn_terms(labelled)
-    rows = statistics(labelled, terms).select("doc_id", "quality", "toxic", *FEATURES).orderBy("doc_id").collect()
+    # A third prunes: neither terms nor tests are learned from it.
+    held = F.pmod(F.xxhash64(F.lit("prune"), "doc_id"), F.lit(3)) == 0
+    terms = learn_terms(labelled.filter(~held))
+    rows = statistics(labelled, terms).select("doc_id", "quality", "toxic", held.alias("held"), *FEATURES).orderBy("doc_id", *FEATURES).collect()
     bad = lambda r: r["quality"] == 0 or r["toxic"] == 1
-    return terms, learn_list([([float(r[f]) for f in FEATURES], bad(r)) for r in rows])
+    return terms, learn_list([([float(r[f]) for f in FEATURES], bad(r)) for r in rows], held=[r["held"] for r in rows])
 
 
 def verdict(rules: list[list[Test]]) -> Column:
