@@ -10,8 +10,11 @@ is verified on the shingles themselves.
 
 Defined results: a null or empty text has no shingles and matches nothing; an
 item of fewer than five words is one shingle, and matches documents that
-consist of just these words; equal items each match; repeated document rows
-give one row; other columns are ignored.
+consist of just these words; equal items each match; items with a null id match
+under that; repeated document rows give one row of pairs; documents with a null
+id are removed by their own texts; other columns are ignored, or kept where
+documents are returned; empty tables give empty results; a very long text costs
+in proportion to its length.
 """
 
 from __future__ import annotations
@@ -19,12 +22,13 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from loomstone.llm.text import SHINGLE, ascii_lower, shingles, words
+from loomstone.llm.batches import fresh
+from loomstone.llm.text import SHINGLE, ascii_lower, marked, shingles, words
 from loomstone.session import load
 
 CONTAINED = 0.75
 #: Items with this many shingles in all are broadcast at most (about 64 MB);
-#: larger sets of items are joined by shuffles.
+#: larger sets of items are joined by shuffles, behind a filter by hashed bits.
 BROADCAST_SHINGLES = 500_000
 
 
@@ -45,7 +49,8 @@ def item_sketches(items: DataFrame, share: float = CONTAINED) -> DataFrame:
     upper = F.pow(F.lit(2.0), F.ceil(F.log2(F.greatest(F.size("item_hashes"), F.lit(1)).cast("double"))))
     needed = (F.floor(upper * (1 - share)) + 1).cast("int")
     return (
-        items.select(F.col("item_id"), _strings(F.col("text")).alias("item_shingles"))
+        # Ids may be null or repeated: an item is told by its id and text together.
+        items.select(F.col("item_id"), F.sha2(F.concat_ws(" ", F.col("item_id").cast("string"), "text"), 256).alias("item"), _strings(F.col("text")).alias("item_shingles"))
         .withColumn("item_hashes", F.transform("item_shingles", lambda s: F.xxhash64(F.split(s, " "))))
         .filter(F.size("item_hashes") > 0)
         .withColumn("size_part", F.log2(upper).cast("int"))
@@ -57,20 +62,21 @@ def contaminated_pairs(docs: DataFrame, items: DataFrame, share: float = CONTAIN
     """Rows (doc_id, item_id, n_shared, n_item): documents with ``share`` of an item's shingles."""
     sketches = item_sketches(items, share)
     size = sketches.agg(F.sum(F.size("item_hashes"))).first()[0] or 0
-    keys = sketches.select("item_id", F.explode("sketch").alias("key"))
+    keys = sketches.select("item", F.explode("sketch").alias("key"))
     probes = docs.select("doc_id", "text", _hashes(F.col("text")).alias("hashes"))
     if size <= BROADCAST_SHINGLES:
         found = (
             # explode_outer: for explode, Spark would compute the hashes twice, to filter on their number.
             probes.select("*", F.explode_outer("hashes").alias("key"))
             .join(F.broadcast(keys), "key")
-            .join(F.broadcast(sketches), "item_id")
+            .join(F.broadcast(sketches), "item")
             # Of the sketch hashes that a document holds, the smallest speaks for the pair.
             .filter(F.col("key") == F.array_min(F.array_intersect("hashes", "sketch")))
         )
     else:
-        pairs = docs.select("doc_id", F.explode_outer(_hashes(F.col("text"))).alias("key")).join(keys, "key").select("doc_id", "item_id").distinct()
-        found = pairs.join(probes, "doc_id").join(sketches, "item_id")
+        own = docs.select("doc_id", F.explode_outer(_hashes(F.col("text"))).alias("key"))
+        pairs = marked(own, keys, "key").join(keys, "key").select("doc_id", "item").distinct()
+        found = pairs.join(probes, "doc_id").join(sketches, "item")
     least = F.ceil(F.size("item_shingles") * F.lit(share)).cast("int")
     likely = found.filter(F.size(F.array_intersect("hashes", "item_hashes")) >= least)
     shared = F.size(F.array_intersect(_strings(F.col("text")), F.col("item_shingles")))
@@ -84,7 +90,11 @@ def contaminated_pairs(docs: DataFrame, items: DataFrame, share: float = CONTAIN
 
 def remove_contaminated(docs: DataFrame, items: DataFrame, share: float = CONTAINED) -> DataFrame:
     """``docs`` without those that contain an item; columns as before."""
-    return docs.join(contaminated_pairs(docs, items, share).select("doc_id").distinct(), "doc_id", "left_anti").select(*docs.columns)
+    key = fresh(docs.columns, "_key")
+    # A row without an id goes by its text.
+    own = docs.withColumn(key, F.coalesce(F.concat(F.lit("id "), F.col("doc_id").cast("string")), F.concat(F.lit("text "), F.sha2(F.coalesce("text", F.lit("")), 256))))
+    found = contaminated_pairs(own.select(F.col(key).alias("doc_id"), "text"), items, share).select(F.col("doc_id").alias(key)).distinct()
+    return own.join(found, key, "left_anti").select(*docs.columns)
 
 
 def op4_decontaminate(spark, sf_dir: str) -> DataFrame:

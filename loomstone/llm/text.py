@@ -4,13 +4,15 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 #: White space that separates words: blank, and tab to carriage return.
 SPACES = r"[\x20\x09-\x0D]+"
 UPPER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
 SHINGLE = 5
+#: Bits of a filter that tells which keys are wanted, in bitmaps of 2**15 bits: 8 MB at most, whatever the input.
+FILTER = 1 << 26
 
 
 def let(value: Column, body: Callable[[Column], Column]) -> Column:
@@ -59,3 +61,17 @@ def shingles(items: Column, of: Callable[[Column], Column], width: int = SHINGLE
         return F.when(F.size(x) >= width, _windows(x, width, of)).otherwise(short)
 
     return F.array_distinct(let(items, made)) if distinct else let(items, made)
+
+
+def marked(df: DataFrame, wanted: DataFrame, key: str) -> DataFrame:
+    """Rows whose ``key`` may be among those of ``wanted``: a map-side filter by hashed bits, ahead of an exact join.
+
+    The filter has FILTER bits, whatever the input; other keys that share a bit pass too.
+    """
+    bit = F.pmod(F.xxhash64(key), F.lit(FILTER))
+    bits = wanted.select(bit.alias("_bit")).groupBy(F.expr("bitmap_bucket_number(_bit)").alias("_bucket")).agg(F.expr("bitmap_construct_agg(bitmap_bit_position(_bit))").alias("_bits"))
+    probe = df.withColumn("_bit", bit).withColumn("_bucket", F.expr("bitmap_bucket_number(_bit)")).withColumn("_at", F.expr("bitmap_bit_position(_bit)"))
+    byte = F.conv(F.hex(F.substring("_bits", (F.col("_at") / 8).cast("int") + 1, F.lit(1))), 16, 10).cast("long")
+    hit = F.getbit(byte, F.col("_at").cast("int") % 8) == 1
+    # FILTER / 2**15 rows of 4 KB at most.
+    return probe.join(F.broadcast(bits), "_bucket").filter(hit).select(*df.columns)
