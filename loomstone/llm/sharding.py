@@ -59,10 +59,10 @@ def shard_by_bytes(df: DataFrame, shards: int, id_col: str = "doc_id", text_col:
     total = keyed.agg(F.sum("size")).first()[0] or 0
     ranges = int(min(MOST_RANGES, max(LEAST_RANGES, -(-total // RANGE_BYTES))))
 
-    # Threshold sampling: a key enters with a chance in proportion to its size.
+    # Threshold sampling: a key enters with a chance in proportion to its size, and once however many rows bear it.
     chance = F.col("size") * (float(SAMPLES * ranges) / max(total, 1))
     uniform = F.pmod(F.xxhash64(F.lit("splitter"), "h", "k"), F.lit(1 << 40)) / float(1 << 40)
-    drawn = keyed.filter(uniform < chance).select("h", "k").collect()
+    drawn = keyed.filter(uniform < chance).select("h", "k").distinct().collect()
     keys = np.sort(_ordered_bytes(np.array([r[0] for r in drawn], np.int64), np.array([r[1] for r in drawn], np.int64)))
     splitters = keys[np.linspace(0, len(keys), ranges + 1).astype(int)[1:-1]] if len(keys) else keys
 

@@ -164,8 +164,8 @@ def test_near_duplicates_in_divided_regions(spark, monkeypatch):
 def test_filter_of_ids_passes_all_that_are_named(spark):
     docs = spark.createDataFrame([(i, "t") for i in range(-500, 500)] + [(None, "t")], "doc_id long, text string")
     ids = spark.createDataFrame([(i,) for i in range(-500, 500, 7)], "doc_id long")
-    found = {x.doc_id for x in neardup.marked(docs, ids).collect()}
-    assert set(range(-500, 500, 7)) <= found and len(found) < 200 and neardup.marked(docs, ids.limit(0)).count() == 0
+    found = {x.doc_id for x in neardup.marked(docs, ids, "doc_id").collect()}
+    assert set(range(-500, 500, 7)) <= found and len(found) < 200 and neardup.marked(docs, ids.limit(0), "doc_id").count() == 0
 
 
 def test_near_duplicates_across_cuts_of_ranges(spark, monkeypatch):
@@ -483,3 +483,25 @@ def test_label_rows_with_nulls_take_no_part(spark):
     one = classifier.train(table(spark, docs), spark.createDataFrame(whole, kind))
     two = classifier.train(table(spark, docs + [(900, "moron")]), spark.createDataFrame(whole + [(900, None, None), (None, 1, 0), (900, 1, None)], kind))
     assert np.array_equal(one.weights, two.weights) and np.array_equal(one.thresholds, two.thresholds)
+
+
+def test_many_spans_of_a_long_text(spark):
+    """More spans than a block holds, some overlapping, against brute force and plain replacement."""
+    r = random.Random(11)
+    parts = [r.choice(["password=hunter%d " % k, "x" * r.randrange(9) + " ", "token: abc ", "ab12" * 8 + " ", "AKIA" + "Q" * 16 + " ", "éö "]) for k in range(3000)]
+    text = "".join(parts)
+    row = secrets.scan(spark.createDataFrame([(1, text)], "doc_id long, text string")).first()
+    assert [(x.s, x.k, x.e) for x in row.base] == base_spans(text)
+    at, out = 0, []
+    for s, _, e in sorted((x.s, x.k, x.e) for x in row.spans):
+        if s >= at:
+            out += [text[at:s], "[secret]"]
+        at = max(at, e)
+    assert secrets.redact(spark.createDataFrame([(1, text)], "doc_id long, text string")).first().text == "".join(out) + text[at:]
+
+
+def test_rows_without_an_id_are_decontaminated(spark):
+    bench = spark.createDataFrame([(1, prose(40, 3)), (None, prose(40, 9))], "item_id long, text string")
+    docs = spark.createDataFrame([(None, prose(40, 3)), (None, "clean"), (None, None), (7, prose(40, 9)), (8, "clean")], "doc_id long, text string")
+    left = decontaminate.remove_contaminated(docs, bench).collect()
+    assert sorted((x.doc_id or -1, x.text or "") for x in left) == [(-1, ""), (-1, "clean"), (8, "clean")]
