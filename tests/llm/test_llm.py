@@ -361,9 +361,38 @@ def test_chats_read_back(spark):
             assert list(p.position_ids[n.start : n.end]) == list(range(seen, seen + n.end - n.start))
     first = next(p for p in chat.format_chats(data).collect() if len(p.conversations) == 3)
     assert len(first.nodes) == 4  # hi, nasty, the third turn, other
+    assert chat.read_back(chat.format_chats(data.limit(0))).count() == 0
     assert chat.format_chats(data.filter("conv_id = 77")).count() == 0
 
 
+def test_shared_turns_are_emitted_once_whatever_the_bound(spark):
+    """A hot first turn, hot second and third ones, many equal conversations, and ones that end within the stem."""
+    rows = []
+    for c in range(60):
+        own = [("user", "hello there"), ("assistant", f"answer {c % 2}"), ("user", f"next {c % 4}"), ("assistant", f"last {c % 20}")][: 4 - (c % 7 == 0) - 2 * (c % 11 == 0)]
+        rows += [(c, k, *t) for k, t in enumerate(own)]
+    rows += [(None, 0, "user", "hello there"), (None, 1, "assistant", "")]
+    data = spark.createDataFrame(rows, "conv_id long, turn long, role string, text string")
+    seen = []
+    for most in (1024, 16, 3, 1):
+        packs = chat.format_chats(data, most=most)
+        found = packs.collect()
+        seen.append((sum(len(p.nodes) for p in found), sum(len(p.input_ids) for p in found)))
+        by = {p.pack: p for p in found}
+        assert len(by) == len(found) and (most == 1024) == (len(found) == 1)
+        for p in found:
+            before = sum(x.end - x.start for x in p.stem)
+            assert all(x.start == 0 and x.end == len(by[x.pack].input_ids) for x in p.stem)
+            for n in p.nodes:
+                at = before + sum(x.end - x.start for x in n.attends)
+                assert list(p.position_ids[n.start : n.end]) == list(range(at, at + n.end - n.start))
+        back = {r.conv_id: (list(r.roles), list(r.texts), list(r.loss_texts)) for r in chat.read_back(packs).collect()}
+        for c in {r[0] for r in rows}:
+            own = [r for r in rows if r[0] == c]
+            assert back[c] == ([r[2] for r in own], [r[3] for r in own], [r[3] for r in own if r[2] == "assistant" and r[3]])
+    assert len(set(seen)) == 1
+
+
 # ---- 9 secrets ----
 
 
