@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import contextlib
+import ctypes
 from collections.abc import Iterator
 
 import numpy as np
@@ -12,6 +14,13 @@ import pyarrow.compute as pc
 SLICE = 1 << 20
 
 
+def give_back() -> None:
+    """Free memory of this worker, which waits for further tasks, back to the system."""
+    pa.default_memory_pool().release_unused()
+    with contextlib.suppress(AttributeError, OSError):  # of glibc only
+        ctypes.CDLL(None).malloc_trim(0)
+
+
 def slices(batches: Iterator[pa.RecordBatch], *columns: str, size: int = SLICE) -> Iterator[pa.RecordBatch]:
     """The batches' rows in order, in slices of about ``size`` bytes of the named columns."""
     for batch in batches:
@@ -24,6 +33,7 @@ def slices(batches: Iterator[pa.RecordBatch], *columns: str, size: int = SLICE)
             hi = max(lo + 1, int(np.searchsorted(ends, (ends[lo - 1] if lo else 0) + size, "right")))
             yield batch.slice(lo, hi - lo)
             lo = hi
+    give_back()
 
 
 def fresh(columns: list[str], name: str) -> str:
