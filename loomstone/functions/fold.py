@@ -59,7 +59,7 @@ def normal_name(c: Column) -> Column:
     return F.array_join(F.filter(words, lambda w: (w != "") & ~w.isin(HONORIFICS)), " ")
 
 
-#: The phonetic rewrites, in order, as (pattern, replacement).
+# The phonetic rewrites, in order, as (pattern, replacement).
 PHONETIC = [
     ("ph", "f"), ("th", "t"), ("ck|qu|q", "k"), ("c([ei])", "s$1"), ("c", "k"), ("[zç]", "s"), ("[yj]", "i"),
     ("w", "v"), ("b(?=[vw])", ""), ("h", ""), (r"(.)\1+", "$1"), ("[^a-z]", ""),

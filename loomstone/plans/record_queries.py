@@ -139,10 +139,18 @@ def a20(spark, sf):
 
 
 def _dated(spark, sf):
-    """Documents with a sentence that holds a date, a number and a quotation, since the plain ones hold few."""
+    """Documents in three languages by turns, each behind a sentence with a date, a number and an attribution, since the plain ones hold few."""
     docs = load(spark, sf, "documents").select("doc_id", "text")
-    said = F.concat(F.lit(" It was in "), (F.col("doc_id") % 200 + 1800).cast("string"), F.lit(" that he said 40% had left. "))
-    return docs.select("doc_id", F.lit("en").alias("lang"), F.concat(said, "text").alias("text"))
+    year = (F.col("doc_id") % 200 + 1800).cast("string")
+    said = {
+        "en": F.concat(F.lit(" It was in "), year, F.lit(" that he said 40% had left. ")),
+        "pt": F.concat(F.lit(" Foi em julho de "), year, F.lit(" que ele disse que 600 pessoas partiram. ")),
+        "es": F.concat(F.lit(" Fue el 3 de mayo de "), year, F.lit(" y dijo que eran 2 mil personas. ")),
+    }
+    turn = F.coalesce(F.col("doc_id"), F.lit(0)) % 3
+    lang = F.when(turn == 0, "en").when(turn == 1, "pt").otherwise("es")
+    front = F.when(turn == 0, said["en"]).when(turn == 1, said["pt"]).otherwise(said["es"])
+    return docs.select("doc_id", lang.alias("lang"), F.concat(front, F.coalesce("text", F.lit(""))).alias("text"))
 
 
 @query("t01_dated")
@@ -167,7 +175,10 @@ def t05(spark, sf):
 
 @query("a19_names")
 def a19(spark, sf):
-    return mining.names(load(spark, sf, "conversations").select(F.concat_ws("-", "conv_id", "turn").alias("doc_id"), "text"))
+    """Names of whole conversations; one, spelled in two ways, is added to each."""
+    turns = load(spark, sf, "conversations").groupBy("conv_id").agg(F.array_sort(F.collect_list(F.struct("turn", "text"))).alias("t"))
+    said = F.concat_ws("\n", F.transform("t", lambda x: x["text"]), F.lit(">> Later we met Marcel Lefebvre there, and Marcel Lefevre of the town."))
+    return mining.names(turns.select("conv_id", said.alias("text")), "conv_id")
 
 
 @query("x23_strip_speaker", "SELECT conv_id, turn, sha256(replace('>> ' || text, '>>', '  ')) AS digest FROM conversations")

@@ -163,12 +163,87 @@ def test_markers_show_their_text(spark):
     assert one(spark, web.marker_ids(F.col("t")), t="none") == []
 
 
-def test_scanner_keeps_its_distance():
+TALK = """A talk | Channel
+https://host.invalid/x — transcript: auto-captions
+=======================
+
+Bom dia, então é isso, não é.
+>> Em 1988 dom Marcel Lefebvre sagrou
+quatro bispos em Écône.
+>> Exatamente. O Lefevre disse que a
+missa de 1962 seria mantida.
+Havia cerca de 600 padres e 95% dos
+fiéis apoiavam, segundo o Lefébvre.
+Em julho de 2026 tudo mudou. [Music] e [Music]
+"""
+
+
+def mined(spark, text, kind, lang="pt", width=200):
+    rows = mining.mine(spark.createDataFrame([("x", text, lang)], "doc_id string, text string, lang string"), (kind,), width=width).collect()
+    return sorted(rows, key=lambda r: r["at"])
+
+
+def test_scanner_keeps_its_distance(spark):
     raw = "Title\n====\nIn 1988 it began. " + "word " * 40 + "By 1999 it ended, in 1999."
-    import re
+    found = mined(spark, raw, "dated", "en", 120)
+    assert [x.match for x in found] == ["1988", "1999"] and (found[0].line, found[0].char) == (3, 14)
+
+
+def test_items_lead_back_to_the_file(spark):
+    lines = TALK.split("\n")
+    dated = mined(spark, TALK, "dated")
+    assert [x.match for x in dated] == ["1988", "julho"]  # 1962 is too near
+    for x in [*dated, *mined(spark, TALK, "quote"), *mined(spark, TALK, "name")]:
+        assert TALK[x.char :].startswith(x.match.split()[0]) and x.match.split()[0] in lines[x.line - 1]
+    assert "host.invalid" not in mining.Joined(TALK).text
+    own = spark.createDataFrame([(TALK,)], "t string").select(mining.joined_text(F.col("t")).alias("j"), mining.language(mining.joined_text(F.col("t"))).alias("l")).first()
+    assert own.j == mining.Joined(TALK).text and own.l == "pt"
+
+
+def test_one_number_stands_for_its_sentence(spark):
+    found = mined(spark, TALK, "number")
+    assert [x.match for x in found] == ["600 padres"] and "95%" in found[0].context
+    assert mined(spark, "foi em 1988 e pronto", "number") == []
+    assert [x.match for x in mined(spark, "eram 12 000 pessoas. " + "e " * 60 + "milhares de fiéis.", "number")] == ["12 000 pessoas", "milhares de fiéis"]
+
+
+def test_quotes_by_language(spark):
+    assert [x.match for x in mined(spark, TALK, "quote")] == ["disse"]
+    assert [x.match for x in mined(spark, "yo vi eso", "quote", "es")] == ["yo vi"]
+    assert [x.match for x in mined(spark, "when I left, he insisted", "quote", "en")] == ["when I left"]
+    assert mined(spark, "a conta de energia", "quote") == [] and mined(spark, None, "quote") == []
+
+
+def test_dates_by_language(spark):
+    assert [x.match for x in mined(spark, "in May we left, on June 30 too", "dated", "en")] == ["June 30"]
+    assert [x.match for x in mined(spark, "de 50 anos, em 62 foi", "dated", "pt")] == ["em 62"]
+    assert [x.match for x in mined(spark, "el siglo XIX", "dated", "es")] == ["siglo XIX"]
+
+
+def test_context_ends_with_its_sentence():
+    text = "Uma frase antes. O evento de 1988 aconteceu aqui. Depois disso."
+    import numpy as np
+
+    flow = mining.Joined(text)
+    lo, hi = flow.windows(np.array([text.index("1988")]), 40)
+    assert text[lo[0] : hi[0]] == " O evento de 1988 aconteceu aqui."[-(hi[0] - lo[0]) :] and lo[0] >= 16
+
+
+def test_names_by_spelling(spark):
+    df = spark.createDataFrame([("x", TALK), ("y", "b\n====\nEntendi. entendi mesmo, entendi."), ("z", "we saw Ana de Souza, Rui\nand Ana de Souza")], "doc_id string, text string")
+    found = {(r.doc_id, r["name"]): r for r in mining.names(df, least=1).collect()}
+    one = next(r for (d, _), r in found.items() if d == "x" and r.cluster == "lefevre")
+    assert one.n == 2 and len(one.spellings) == 2 and one.free == 2 and one.line == 8
+    assert ("x", "Marcel Lefebvre") in found and ("z", "Ana de Souza") in found and ("z", "Ana de Souza Rui") in found
+    assert not any(d == "y" for d, _ in found) and not any(n in ("Music", "Exatamente") for _, n in found)
+    assert found["z", "Ana de Souza"].total == 2 and [r["name"] for r in mining.names(df.filter("doc_id = 'z'")).collect()] == []
+
 
-    found = mining.scan_text(raw, re.compile(mining.dated_pattern("en"), re.I), "dated", 120)
-    assert [x[3] for x in found] == ["1988", "1999"] and found[0][1:3] == (3, 14)
+def test_sheet_has_four_sections(spark):
+    df = spark.createDataFrame([("x", TALK + " Marcel Lefebvre"), ("n", None)], "doc_id string, text string")
+    rows = {r.section: r for r in mining.sheet(df, most=1).collect()}
+    assert sorted(rows) == ["dated", "name", "number", "quote"] and {r.doc_id for r in rows.values()} == {"x"}
+    assert rows["dated"].total == 2 and len(rows["dated"]["items"]) == 1 and rows["name"]["items"][0].match
 
 
 def test_records_of_absent_sections_are_empty(spark):
@@ -222,9 +297,9 @@ def test_mining_queries_read_whole_texts(spark, tmp_path, name, text):
     from loomstone.plans.catalogue import QUERIES
 
     whole = "x" * 500 + ". " + text
-    rows = [(1, whole, "en", "s", None), (2, whole, "en", "s", 3), (3, whole, "en", "s", len(whole))]
+    rows = [(3, whole, "en", "s", None), (6, whole, "en", "s", 3), (9, whole, "en", "s", len(whole))]
     spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long").write.parquet(f"{tmp_path}/documents.parquet")
     found = {}
     for r in QUERIES[name](spark, str(tmp_path)).collect():
-        found.setdefault(r.doc_id, []).append(str(r).replace("1801", "Y").replace("1802", "Y").replace("1803", "Y").replace(f"doc_id={r.doc_id}", ""))
-    assert sorted(found) == [1, 2, 3] and sorted(found[1]) == sorted(found[2]) == sorted(found[3])
+        found.setdefault(r.doc_id, []).append(str(r).replace("1803", "Y").replace("1806", "Y").replace("1809", "Y").replace(f"doc_id={r.doc_id}", ""))
+    assert sorted(found) == [3, 6, 9] and sorted(found[3]) == sorted(found[6]) == sorted(found[9])
