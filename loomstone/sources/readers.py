@@ -55,11 +55,11 @@ def corpus(spark: SparkSession, path: str) -> DataFrame:
     return rows.select(F.explode("docs").alias("d")).select("d.*")
 
 
-def coverage(data: DataFrame) -> DataFrame:
-    """(doc_id, coverage): the figure without loops where there is one; ids are COF and three digits."""
+def coverage(data: DataFrame, ids: str) -> DataFrame:
+    """(doc_id, coverage): the figure without loops where there is one; ``ids`` makes an id of a number, as in ``DOC%03d``."""
     rows = data.select(F.explode(F.expr("try_variant_get(v, '$.aulas', 'map<string,variant>')")).alias("n", "c"))
     get = lambda k: F.expr(f"try_variant_get(c, '$.{k}', 'double')")
-    return rows.select(F.format_string("COF%03d", F.col("n").cast("int")).alias("doc_id"), F.coalesce(get("estimatedCoverageExLoops"), get("estimatedCoverage")).alias("coverage"))
+    return rows.select(F.format_string(ids, F.col("n").cast("int")).alias("doc_id"), F.coalesce(get("estimatedCoverageExLoops"), get("estimatedCoverage")).alias("coverage"))
 
 
 def alias_map(data: DataFrame) -> tuple[DataFrame, DataFrame]:
