@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from loomstone.operators.textflow import tokens
+
 from loomstone.functions.dates import COURSE_DAY, off_cadence, weekday_name
 
 #: Days off from which an anomaly in a neighbour's month is a slip of the year.
@@ -154,6 +156,34 @@ def verify_quotes(quotes: DataFrame, docs: DataFrame) -> DataFrame:
     return found.withColumn("verdict", verdict).drop("text")
 
 
+def holding(docs: DataFrame, quotes: DataFrame, width: int = 3) -> DataFrame:
+    """(item_id, doc_id): which documents (doc_id, text) hold which quotes (item_id, quote) literally; empty quotes are in none.
+
+    Blocked on the first words, ``width`` at most, that a quote holds between
+    its first and its last one, which may be parts of words; a quote without
+    such words is blocked on its first characters. Candidates are confirmed.
+    """
+    words = tokens(F.col("quote"))
+    inner = F.slice(words, 2, F.greatest(F.size(words) - 2, F.lit(0)))
+    of = F.least(F.size(inner), F.lit(width))
+    short = F.concat(F.lit("c"), F.least(F.length("quote"), F.lit(width)))
+    keyed = quotes.filter("quote <> ''").select("item_id", "quote", F.when(of > 0, F.concat(F.lit("w"), of)).otherwise(short).alias("kind"), F.when(of > 0, F.array_join(F.slice(inner, F.lit(1), of), " ")).otherwise(F.substring("quote", 1, width)).alias("key"))
+    # 2 * width kinds at most.
+    kinds = sorted(r["kind"] for r in keyed.select("kind").distinct().collect())
+    found = None
+    for kind in kinds:
+        n = int(kind[1:])
+        items, glue = (tokens(F.col("text")), " ") if kind[0] == "w" else (F.filter(F.split("text", ""), lambda c: c != ""), "")
+        own = docs.select("doc_id", items.alias("x")).filter(F.size("x") >= n)
+        runs = F.array_distinct(F.transform(F.sequence(F.lit(1), F.size("x") - (n - 1)), lambda i: F.array_join(F.slice("x", i, n), glue)))  # noqa: B023
+        met = own.select("doc_id", F.explode(runs).alias("key")).join(keyed.filter(F.col("kind") == kind).select("item_id", "key"), "key").select("item_id", "doc_id")
+        found = met if found is None else found.unionByName(met)
+    if found is None:
+        return quotes.select("item_id").join(docs.select("doc_id"), F.lit(False))
+    both = found.distinct().join(docs.select("doc_id", "text"), "doc_id").join(keyed.select("item_id", "quote"), "item_id")
+    return both.filter(F.col("text").contains(F.col("quote"))).select("item_id", "doc_id")
+
+
 def sync_plan(source: DataFrame, copy: DataFrame) -> DataFrame:
     """(name, action) from two tables of (name, digest): add, update, stale or ok."""
     both = source.select("name", F.col("digest").alias("a")).join(copy.select("name", F.col("digest").alias("b")), "name", "full_outer")

@@ -245,9 +245,33 @@ def trust_stamp(date: Column, verified: Column, review: Column, coverage: Column
 
 
 def snippet(text: Column, phrase: Phrase, width: int = SNIPPET) -> Column:
-    """``width`` words around a phrase's first occurrence, with its words in brackets."""
-    shown = F.filter(F.split(text, r"[^\p{L}\p{N}\p{Co}]+"), lambda w: w != "")
-    at = F.array_position(F.transform(shown, lambda w: F.lower(deaccent(w))), phrase.words[0])
-    start = F.greatest(at - width // 2, F.lit(1)).cast("int")
-    marked = F.transform(F.slice(shown, start, width), lambda w: F.when(F.lower(deaccent(w)).isin(*phrase.words), F.concat(F.lit("["), w, F.lit("]"))).otherwise(w))
-    return F.when(at > 0, F.concat(F.when(start > 1, F.lit("… ")).otherwise(F.lit("")), F.array_join(marked, " ")))
+    """``width`` words around a phrase's first occurrence, each occurrence in brackets as a whole, and dots where words are left out.
+
+    Of a phrase that ends in a prefix its last word need only begin so.
+    """
+    n = len(phrase.words)
+
+    def shown(x: Column) -> Column:
+        folded = F.transform(x["shown"], lambda w: F.lower(deaccent(w)))
+
+        def marked(y: Column) -> Column:
+            def here(i: Column) -> Column:
+                parts = [F.try_element_at(y, i + k) == w if k < n - 1 or not phrase.prefix else F.try_element_at(y, i + k).startswith(w) for k, w in enumerate(phrase.words)]
+                test = F.coalesce(parts[0], F.lit(False))
+                for p in parts[1:]:
+                    test = test & F.coalesce(p, F.lit(False))
+                return test
+
+            hits = F.filter(F.sequence(F.lit(1), F.greatest(F.size(y), F.lit(1))), here)
+            first = F.try_element_at(hits, F.lit(1))
+            start = F.greatest(first - width // 2, F.lit(1)).cast("int")
+            opens = lambda i: F.when(F.array_contains(hits, i), "[").otherwise("")
+            closes = lambda i: F.when(F.array_contains(hits, i - (n - 1)), "]").otherwise("")
+            words = F.transform(F.slice(x["shown"], start, width), lambda w, k: F.concat(opens(start + k), w, closes(start + k)))
+            dots = lambda test: F.when(test, F.lit("…"))
+            return F.when(first.isNotNull(), F.concat_ws(" ", dots(start > 1), F.array_join(words, " "), dots(start + width <= F.size(y))))
+
+        return F.element_at(F.transform(F.array(folded), marked), 1)
+
+    words = F.filter(F.split(text, r"[^\p{L}\p{N}\p{Co}]+"), lambda w: w != "")
+    return F.element_at(F.transform(F.array(F.struct(words.alias("shown"))), shown), 1)

@@ -9,10 +9,12 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from loomstone.functions.dates import TEXT_YEAR
-from loomstone.functions.fold import fold_key, paren_terms, search_variants
+from loomstone.functions.fold import deaccent, fold_key, paren_terms, search_variants
 
-#: Keys of a dataset's description that may hold names of its subject.
-NAME_KEYS = ["title", "name", "subject", "alias", "aliases", "shortTitle", "fullName", "nativeName", "formerName", "acronym", "alsoKnownAs"]
+# Keys of a dataset's description that may hold names of its subject, keys whose text may name it in parentheses, and a title's suffix that is no name.
+NAME_KEYS = ["title", "shortTitle", "shortName", "altTitle", "altTitles", "altNames", "alternateNames", "otherNames", "aka", "nativeName", "names"]
+PROSE_KEYS = ["subtitle", "description"]
+TITLE_SUFFIX = "cronologia"
 
 
 def cite(rows: DataFrame, refs: DataFrame) -> DataFrame:
@@ -57,11 +59,23 @@ def dedupe(rows: DataFrame, value: str, pos: str) -> DataFrame:
 
 
 def subject_names(meta: DataFrame) -> DataFrame:
-    """(repo, name, pos): search forms of the naming keys, then terms in parentheses of subtitle and description."""
-    keys = [k for k in NAME_KEYS if k in meta.columns]
-    named = F.flatten(F.array(*[F.when(F.col(k).isNotNull(), search_variants(F.col(k))).otherwise(F.expr("cast(array() as array<string>)")) for k in keys]))
-    terms = F.flatten(F.array(*[paren_terms(F.coalesce(F.col(k), F.lit(""))) for k in ("subtitle", "description") if k in meta.columns]))
-    return meta.select("repo", F.posexplode(F.concat(named, terms)).alias("pos", "name"))
+    """(repo, name, pos): search forms of the naming keys, then terms in parentheses of subtitle and description.
+
+    Values are strings or lists of them. Of names that differ in accents, case
+    or spaces alone the first stays; the suffix of titles is no name.
+    """
+    none = F.expr("cast(array() as array<string>)")
+
+    def strings(key: str) -> Column:
+        listed = dict(meta.dtypes)[key].startswith("array")
+        return F.coalesce(F.filter(F.col(key) if listed else F.array(key), lambda x: x.isNotNull()), none)
+
+    forms = [F.flatten(F.transform(strings(k), search_variants)) for k in NAME_KEYS if k in meta.columns]
+    terms = [F.flatten(F.transform(strings(k), paren_terms)) for k in PROSE_KEYS if k in meta.columns]
+    squeezed = F.transform(F.flatten(F.array(none, *forms, *terms)), lambda x: F.trim(F.regexp_replace(x, r"(?U)\s+", " ")))
+    rows = meta.select("repo", squeezed.alias("names")).withColumn("keys", F.transform("names", lambda x: F.lower(deaccent(x))))
+    first = F.filter(F.sequence(F.lit(1), F.size("keys")), lambda i: (i <= F.size("keys")) & (F.array_position("keys", F.try_element_at("keys", i)) == i) & ~F.try_element_at("keys", i).isin("", TITLE_SUFFIX))
+    return rows.select("repo", F.posexplode(F.transform(first, lambda i: F.element_at("names", i))).alias("pos", "name"))
 
 
 def slugs(html: Column) -> Column:

@@ -340,15 +340,8 @@ def a12(spark, sf):
 
 @query("j15_quote_verify", "SELECT item_id, doc_id FROM benchmark JOIN documents d ON contains(d.text, benchmark.text)")
 def j15(spark, sf):
-    """Which documents hold which quote literally: blocked on the quote's first five words, then confirmed."""
-    from loomstone.operators.textflow import tokens
-
-    docs = load(spark, sf, "documents").select("doc_id", "text")
-    first = lambda w, i: F.concat_ws(" ", *[F.try_element_at(w, i + k) for k in range(1, 4)])
-    quotes = load(spark, sf, "benchmark").select("item_id", F.col("text").alias("quote"), tokens(F.col("text")).alias("w")).select("item_id", "quote", first(F.col("w"), F.lit(1)).alias("key"))
-    words = docs.select("doc_id", tokens(F.col("text")).alias("w")).select("doc_id", F.explode(F.transform(F.sequence(F.lit(0), F.greatest(F.size("w") - 1, F.lit(0))), lambda i: first(F.col("w"), i))).alias("key"))
-    pairs = words.join(quotes.select("item_id", "key"), "key").select("item_id", "doc_id").distinct()
-    return pairs.join(docs, "doc_id").join(quotes.select("item_id", "quote"), "item_id").filter(F.col("text").contains(F.col("quote"))).select("item_id", "doc_id")
+    quotes = load(spark, sf, "benchmark").select("item_id", F.col("text").alias("quote"))
+    return consistency.holding(load(spark, sf, "documents").select("doc_id", "text"), quotes)
 
 
 @query(

@@ -223,7 +223,18 @@ def o01(spark, sf):
     return _top(spark, sf, "that", 25)
 
 
-@query("f06_snippet")
+_SHOWN = "list_filter(regexp_split_to_array(text, '[^\\p{L}\\p{N}\\p{Co}]+'), lambda x: x <> '')"
+
+
+@query(
+    "f06_snippet",
+    f"""WITH w AS (SELECT doc_id, {_SHOWN} AS s, {words_sql('text')} AS f FROM documents),
+             p AS (SELECT doc_id, s, f, list_position(f, 'that') AS pos FROM w WHERE list_contains(f, 'that')),
+             q AS (SELECT *, greatest(pos - 9, 1) AS b FROM p)
+        SELECT doc_id, concat_ws(' ', CASE WHEN b > 1 THEN '…' END,
+            array_to_string(list_transform(range(b, least(b + 18, len(s) + 1)), lambda i: CASE WHEN f[i] = 'that' THEN '[' || s[i] || ']' ELSE s[i] END), ' '),
+            CASE WHEN b + 18 <= len(s) THEN '…' END) AS snippet FROM q""",
+)
 def f06(spark, sf):
     hits = search.bm25(_docs(spark, sf).select("doc_id", "text"), "that")
     return hits.select("doc_id", search.snippet(F.col("text"), search.Phrase(("that",))).alias("snippet"))

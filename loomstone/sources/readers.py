@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import re
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from loomstone.operators.records import leaves
@@ -33,17 +33,24 @@ def transcripts(spark: SparkSession, path: str, extensions: tuple[str, ...] = ("
     return rows.select("file", name.alias("name"), "text").filter(F.lower(F.regexp_extract("name", r"\.([^.]+)$", 1)).isin(*extensions))
 
 
+def visited(path: Column) -> Column:
+    """A path's place in the order of a walk: numbers count as numbers."""
+    return F.transform(F.regexp_extract_all(path, F.lit(r"(\d+|\D+)"), F.lit(1)), lambda p: F.when(p.rlike(r"^\d+$"), F.lpad(p, 12, "0")).otherwise(p))
+
+
 def manifest(data: DataFrame) -> DataFrame:
     """(repo, file, id, title, date, review, url) of every nested object that names a file; the last one of a file wins."""
     rows = leaves(data.select("repo", F.col("v").alias("rec"))).withColumn("at", F.regexp_replace("path", r"\.?[^.]*$", ""))
-    wide = rows.groupBy("repo", "at").agg(F.map_from_entries(F.collect_list(F.struct("name", "leaf"))).alias("m")).filter(F.col("m")["file"].isNotNull())
+    # Items of a list bear their list's name: the last one speaks for it.
+    single = rows.groupBy("repo", "at", "name").agg(F.max_by("leaf", visited(F.col("path"))).alias("leaf"))
+    wide = single.groupBy("repo", "at").agg(F.map_from_entries(F.collect_list(F.struct("name", "leaf"))).alias("m")).filter(F.col("m")["file"].isNotNull())
     m = F.col("m")
     out = wide.select(
         "repo", "at", F.regexp_extract(m["file"], r"([^/]+)$", 1).alias("file"), m["id"].alias("id"), F.coalesce(m["title"], m["indexTitle"]).alias("title"),
         F.coalesce(m["date"], m["establishedDate"], m["titleDate"]).alias("date"), F.coalesce(m["reviewStatus"], F.when(m["captured"].isNotNull(), F.lit("captured"))).alias("review"), F.coalesce(m["sourceUrl"], m["url"]).alias("url"),
     )
     own = F.struct("id", "title", "date", "review", "url")
-    last = out.groupBy("repo", "file").agg(F.max_by(own, "at").alias("r"))
+    last = out.groupBy("repo", "file").agg(F.max_by(own, visited(F.col("at"))).alias("r"))
     return last.select("repo", "file", "r.*")
 
 

@@ -6,7 +6,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from loomstone.functions import dates, fold, web
-from loomstone.operators import consistency, entities, graph, layout, mining, records, search, textflow, validate
+from loomstone.operators import consistency, entities, graph, layout, mining, records, search, textflow, validate, vocabulary
 from loomstone.operators.components import connected_components
 from loomstone.session import Scratch
 from loomstone.sources import readers, sinks
@@ -303,3 +303,29 @@ def test_mining_queries_read_whole_texts(spark, tmp_path, name, text):
     for r in QUERIES[name](spark, str(tmp_path)).collect():
         found.setdefault(r.doc_id, []).append(str(r).replace("1803", "Y").replace("1806", "Y").replace("1809", "Y").replace(f"doc_id={r.doc_id}", ""))
     assert sorted(found) == [3, 6, 9] and sorted(found[3]) == sorted(found[6]) == sorted(found[9])
+
+
+def test_quotes_within_words_are_found(spark):
+    docs = [(1, "inhabitants of the city went home"), (2, "of the"), (3, "often"), (4, None), (5, "x, of the!"), (6, "on the city")]
+    quotes = [(1, "of the"), (2, "ants of the city w"), (3, "te"), (4, ""), (5, None), (6, "e city went home"), (7, "f")]
+    found = consistency.holding(spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame(quotes, "item_id long, quote string"))
+    assert {tuple(r) for r in found.collect()} == {(i, d) for i, q in quotes for d, t in docs if q and t and q in t}
+    assert consistency.holding(spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame(quotes[3:4], "item_id long, quote string")).count() == 0
+
+
+def test_snippet_brackets_the_phrase(spark):
+    text = "Of course, the end of the road: of all, Of The"
+    assert one(spark, search.snippet(F.col("t"), search.Phrase(("of", "the")), 6), t=text) == "… course the end [of the] road …"
+    assert one(spark, search.snippet(F.col("t"), search.Phrase(("of", "the")), 20), t=text) == "Of course the end [of the] road of all [Of The]"
+    assert one(spark, search.snippet(F.col("t"), search.Phrase(("of", "road"))), t=text) is None
+
+
+def test_subject_names_once_each(spark):
+    meta = spark.createDataFrame([("r", "Écône", ["Econe", "Seminary (SX)", None, "Cronologia"], "a house (old Name)")], "repo string, title string, altTitles array<string>, subtitle string")
+    assert [r["name"] for r in vocabulary.subject_names(meta).orderBy("pos").collect()] == ["Écône", "Seminary", "SX", "old Name"]
+
+
+def test_manifest_takes_the_last_visited(spark):
+    items = ",".join(f'{{"file": "a.txt", "title": "t{i}", "tags": ["x", "y"]}}' for i in range(12))
+    data = spark.createDataFrame([("r", f'{{"items": [{items}]}}')], "repo string, j string").select("repo", F.parse_json("j").alias("v"))
+    assert [r.title for r in readers.manifest(data).collect()] == ["t11"]
