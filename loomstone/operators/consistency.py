@@ -175,7 +175,7 @@ def holding(docs: DataFrame, quotes: DataFrame, width: int = 3) -> DataFrame:
         n = int(kind[1:])
         items, glue = (tokens(F.col("text")), " ") if kind[0] == "w" else (F.filter(F.split("text", ""), lambda c: c != ""), "")
         own = docs.select("doc_id", items.alias("x")).filter(F.size("x") >= n)
-        runs = F.array_distinct(F.transform(F.sequence(F.lit(1), F.size("x") - (n - 1)), lambda i: F.array_join(F.slice("x", i, n), glue)))  # noqa: B023
+        runs = F.transform(F.sequence(F.lit(1), F.size("x") - (n - 1)), lambda i: F.concat_ws(glue, *[F.element_at("x", i + k) for k in range(n)]))  # noqa: B023
         met = own.select("doc_id", F.explode(runs).alias("key")).join(keyed.filter(F.col("kind") == kind).select("item_id", "key"), "key").select("item_id", "doc_id")
         found = met if found is None else found.unionByName(met)
     if found is None:
