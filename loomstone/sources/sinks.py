@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from loomstone.operators.search import postings
-from loomstone.operators.textflow import chunks, normalise
+from loomstone.operators.textflow import chunks, normalise, tokens
 
 #: Folders and files that belong to a dataset, which no report may overwrite.
 PROTECTED = re.compile(r"(^|/)(data|corpus)(/|$)|chronology[^/]*\.json$|glossary[^/]*\.json$")
@@ -25,13 +25,20 @@ def guard(path: str) -> str:
 
 
 def write_index(docs: DataFrame, path: str, collection: str = "collection") -> None:
-    """docs, chunks and postings of a corpus as Parquet, rebuilt from nothing; postings are clustered by token."""
+    """docs, chunks and postings of a corpus as Parquet, rebuilt from nothing.
+
+    Chunks are clustered by document and know their number of words, so that
+    statistics read no text. Postings are clustered by token, then chunk: a
+    search reads the row groups of its words, and a frequent word is spread
+    over as many files as it fills.
+    """
     guard(path)
     clean = docs.withColumn("text", normalise(F.coalesce("text", F.lit("")))).withColumn("chars", F.length("text"))
     clean.drop("text").write.mode("overwrite").partitionBy(collection).parquet(f"{path}/docs")
-    parts = chunks(clean.select("doc_id", "text")).withColumn("chunk", F.concat_ws(":", "doc_id", "offset"))
-    parts.write.mode("overwrite").parquet(f"{path}/chunks")
-    postings(parts, "chunk", "body").repartitionByRange("token").sortWithinPartitions("token").write.mode("overwrite").parquet(f"{path}/postings")
+    parts = chunks(clean.select("doc_id", "text")).withColumn("chunk", F.concat_ws(":", "doc_id", "offset")).withColumn("words", F.size(tokens(F.col("body"))))
+    parts.repartitionByRange("doc_id", "offset").sortWithinPartitions("doc_id", "offset").write.mode("overwrite").parquet(f"{path}/chunks")
+    written = docs.sparkSession.read.parquet(f"{path}/chunks")
+    postings(written, "chunk", "body").repartitionByRange("token", "chunk").sortWithinPartitions("token", "chunk").write.mode("overwrite").parquet(f"{path}/postings")
 
 
 def write_lines(lines: DataFrame, path: str) -> None:

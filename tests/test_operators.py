@@ -6,7 +6,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from loomstone.functions import dates, fold, web
-from loomstone.operators import consistency, entities, graph, layout, mining, records, search, textflow, validate, vocabulary
+from loomstone.operators import consistency, entities, graph, index, layout, mining, records, search, textflow, validate, vocabulary
 from loomstone.operators.components import connected_components
 from loomstone.session import Scratch
 from loomstone.sources import readers, sinks
@@ -329,3 +329,31 @@ def test_manifest_takes_the_last_visited(spark):
     items = ",".join(f'{{"file": "a.txt", "title": "t{i}", "tags": ["x", "y"]}}' for i in range(12))
     data = spark.createDataFrame([("r", f'{{"items": [{items}]}}')], "repo string, j string").select("repo", F.parse_json("j").alias("v"))
     assert [r.title for r in readers.manifest(data).collect()] == ["t11"]
+
+
+def test_index_search_reads_postings(spark, tmp_path):
+    long = "alpha\nbeta gamma. " + "filler words here " * 120 + "alpha beta ends"
+    docs = spark.createDataFrame(
+        [(1, long, "a", "yes"), (2, "gamma beta alpha", "b", None), (3, None, "a", "yes"), (4, "", "b", "yes"), (5, "Alphá alpha beta", "b", "yes")],
+        "doc_id long, text string, collection string, review string",
+    )
+    path = f"{tmp_path}/index"
+    sinks.write_index(docs, path)
+    found = lambda q, **k: [(r["doc_id"], r["offset"]) for r in index.search_index(spark, path, q, **k).collect()]
+    assert sorted(found('"alpha beta"')) == [(1, 0), (1, 1100), (5, 0)]
+    assert found('"alpha beta"', only="b") == [(5, 0)] and found("beta", review="yes", only="b") == [(5, 0)]
+    assert found("^gamma") == [(2, 0)] and found("gam* NOT filler") == [(2, 0)] and found("absent") == []
+    assert found("NEAR(gamma alpha, 1)", only="b") == [(2, 0)]
+    assert sorted(found('"alpha alpha"')) == [(5, 0)]
+    top = index.search_index(spark, path, '"alpha beta"', only="b").first()
+    assert top["snippet"] == "Alphá [alpha beta]"
+    plan = index.hits(spark, path, "beta")._jdf.queryExecution().executedPlan().toString()
+    assert "EqualTo(token,beta)" in plan and "body" not in plan
+
+
+def test_files_meet_their_manifest(spark):
+    files = spark.createDataFrame([("a.txt",), ("b.tar.gz",), (".hidden",)], "name string")
+    entries = spark.createDataFrame([("a.txt", "A1", "T"), ("b.tar.gz", None, "U")], "file string, id string, title string")
+    coverage = spark.createDataFrame([("A1", 0.5), ("b.tar", 0.25)], "doc_id string, coverage double")
+    rows = {r["name"]: (r["doc_id"], r["title"], r["coverage"]) for r in index.catalogue_files(files, entries, coverage).collect()}
+    assert rows == {"a.txt": ("A1", "T", 0.5), "b.tar.gz": ("b.tar", "U", 0.25), ".hidden": (".hidden", None, None)}
