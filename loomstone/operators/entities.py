@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from loomstone.functions.fold import conjunction_parts, fold_key, initials_key
@@ -70,19 +70,37 @@ def token_index(table: DataFrame) -> DataFrame:
     return words.join(words.groupBy("token").agg(F.count(F.lit(1)).alias("entities")), "token")
 
 
+def _third_mates(mine: DataFrame, table: DataFrame) -> DataFrame:
+    """(name, own, key, shared) of names and keys with one first letter that share a third of the key, at most two places apart."""
+
+    def third(length: Column, i: Column) -> tuple[Column, Column]:
+        base = F.floor(length / 3).cast("int")
+        return i * base, F.when(i < 2, base).otherwise(length - 2 * base)
+
+    parts = F.explode(F.sequence(F.lit(0), F.lit(2)))
+    keys = table.filter(F.length("key") >= 6).select("key", F.length("key").alias("long"), parts.alias("i"))
+    at, size = third(F.col("long"), F.col("i"))
+    keys = keys.select("key", "long", "i", F.substring("key", at + 1, size).alias("piece"), F.substring("key", 1, 1).alias("initial"))
+    wide = mine.withColumn("long", F.explode(F.sequence(F.length("own") - 2, F.length("own") + 2))).withColumn("i", parts).withColumn("shift", F.explode(F.sequence(F.lit(-2), F.lit(2))))
+    at, size = third(F.col("long"), F.col("i"))
+    wide = wide.filter((at + F.col("shift") >= 0) & (at + F.col("shift") + size <= F.length("own")))
+    wide = wide.select("name", "own", "long", "i", F.substring("own", at + F.col("shift") + 1, size).alias("piece"), F.substring("own", 1, 1).alias("initial")).distinct()
+    met = wide.join(keys, ["long", "i", "piece", "initial"])
+    return met.filter(F.levenshtein("own", "key", 2) >= 0).select("name", "own", "key", F.lit(False).alias("shared"))
+
+
 def near_misses(names: DataFrame, table: DataFrame, most: int = 3) -> DataFrame:
     """Entities close to a name without a match: (name, key, why), at most ``most`` each.
 
-    Two equi-joins give the candidates: on a rare last word, and on the first
-    letter within two characters of length.
+    Two equi-joins give the candidates: on a rare last word, and on a third of
+    the entity's key at the place where two edits could have moved it. Two
+    edits leave one of three parts whole, so that no close key is missed.
     """
     mine = names.select("name", fold_key(F.col("name")).alias("own")).filter("own <> ''")
     last = mine.withColumn("token", F.element_at(F.split("own", " "), -1)).filter(F.length("token") >= 4)
     rare = token_index(table).filter(F.col("entities") <= RARE).select("token", "key")
     by_name = last.join(rare, "token").select("name", "own", "key", F.lit(True).alias("shared"))
-    banded = mine.filter(F.length("own") >= 8).withColumn("band", F.explode(F.sequence(F.length("own") - 2, F.length("own") + 2))).withColumn("initial", F.substring("own", 1, 1))
-    bands = table.select("key", F.length("key").alias("band"), F.substring("key", 1, 1).alias("initial"))
-    by_edit = banded.join(bands, ["band", "initial"]).select("name", "own", "key", F.lit(False).alias("shared"))
+    by_edit = _third_mates(mine.filter(F.length("own") >= 8), table)
     both = by_name.unionByName(by_edit).filter("own <> key").groupBy("name", "own", "key").agg(F.max("shared").alias("shared"))
     distance = F.when(F.col("shared"), F.lit(None)).otherwise(F.levenshtein("own", "key", 2))
     scored = both.withColumn("distance", distance).filter("shared or distance between 0 and 2").join(table.select("key", "docs", "display"), "key")

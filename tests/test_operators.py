@@ -357,3 +357,25 @@ def test_files_meet_their_manifest(spark):
     coverage = spark.createDataFrame([("A1", 0.5), ("b.tar", 0.25)], "doc_id string, coverage double")
     rows = {r["name"]: (r["doc_id"], r["title"], r["coverage"]) for r in index.catalogue_files(files, entries, coverage).collect()}
     assert rows == {"a.txt": ("A1", "T", 0.5), "b.tar.gz": ("b.tar", "U", 0.25), ".hidden": (".hidden", None, None)}
+
+
+def test_near_misses_lose_no_close_key(spark):
+    import random
+
+    draw = random.Random(5)
+    words = ["".join(draw.choice("abc") for _ in range(draw.randint(6, 12))) for _ in range(250)]
+    table = entities.canonical_table(spark.createDataFrame([(i, "a" + w) for i, w in enumerate(words)], "doc long, surface string"))
+    keys = [r["key"] for r in table.collect()]
+    names = ["a" + "".join(draw.choice("abc") for _ in range(draw.randint(7, 12))) for _ in range(60)]
+
+    def distance(a, b):
+        row = list(range(len(b) + 1))
+        for i, x in enumerate(a, 1):
+            row, old = [i], row
+            for j, y in enumerate(b, 1):
+                row.append(min(row[-1] + 1, old[j] + 1, old[j - 1] + (x != y)))
+        return row[-1]
+
+    wanted = {(n, k) for n in names for k in keys if n != k and distance(n, k) <= 2}
+    found = entities.near_misses(spark.createDataFrame([(n,) for n in names], "name string"), table, most=10_000)
+    assert {(r["name"], r["key"]) for r in found.collect() if r["why"].startswith("edit")} == wanted and wanted
