@@ -111,3 +111,38 @@ def strip_markers(c: Column) -> Column:
 
 def strip_speaker(c: Column) -> Column:
     return F.replace(c, F.lit(">>"), F.lit("  "))
+
+
+def snapshot_lookup(status: Column, body: Column) -> Column:
+    """(state, archive_url, timestamp) of an answer about snapshots: found, none, or inconclusive where it can't tell.
+
+    A null status is a request that failed.
+    """
+    told = F.coalesce(status.between(200, 299), F.lit(False))
+    answer = F.try_parse_json(body)
+    closest = F.try_variant_get(answer, "$.archived_snapshots.closest", "variant")
+    url = F.nullif(F.try_variant_get(closest, "$.url", "string"), F.lit(""))
+    held = F.coalesce(F.try_variant_get(closest, "$.available", "boolean"), F.lit(False)) & url.isNotNull()
+    state = F.when(~told | answer.isNull(), F.lit("inconclusive")).when(held, F.lit("found")).otherwise(F.lit("none"))
+    found = state == "found"
+    stamp = F.coalesce(F.try_variant_get(closest, "$.timestamp", "string"), F.lit(""))
+    return F.struct(state.alias("state"), F.when(found, secure_url(url)).alias("archive_url"), F.when(found, stamp).alias("timestamp"))
+
+
+def clamp_int(raw: Column, default: int, lo: int, hi: int) -> Column:
+    """The whole number that a setting begins with, within its bounds; ``default`` without one."""
+    number = F.regexp_extract(raw, r"^\s*([+-]?\d+)", 1).try_cast("decimal(38,0)")
+    # ``greatest`` and ``least`` pass over nulls.
+    return F.when(number.isNull(), F.lit(default)).otherwise(F.least(F.lit(hi), F.greatest(F.lit(lo), number))).cast("long")
+
+
+def disclaimer(known: Column, reviewed: Column, made_by: Column, machine: str) -> Column:
+    """Which disclaimer a translation bears: reviewed, machine if ``made_by`` begins with the program ``machine``, else authored.
+
+    A text that only mentions the program doesn't count. Without provenance (``known`` false) it is authored.
+    """
+    import re
+
+    by_program = F.trim(made_by).rlike(f"^{re.escape(machine)}\\b")
+    own = F.when(reviewed, F.lit("reviewed")).when(by_program, F.lit("machine")).otherwise(F.lit("authored"))
+    return F.when(known, own).otherwise(F.lit("authored"))

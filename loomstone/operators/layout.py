@@ -102,3 +102,23 @@ def decade_headers(events: DataFrame) -> DataFrame:
     order = Window.orderBy("year", F.coalesce("date", F.lit("")), "id")
     now = decade(F.col("year"))
     return events.withColumn("header", F.when(~F.lag(now).over(order).eqNullSafe(now), F.concat(now.cast("string"), F.lit("s"))))
+
+
+def intensity(total: Column, largest: Column) -> Column:
+    """The step, 1 to 4, of a cell's shade; null for an empty cell."""
+    step = F.when(largest > 1, F.ceil(total / largest * 4)).otherwise(F.lit(4))
+    return F.when(total > 0, step.cast("int"))
+
+
+def tier_ranks(countries: DataFrame, tiers: DataFrame) -> DataFrame:
+    """``countries`` (tier, ...) with ``rank``, the place of their tier (id, pos) from 0; null for one undeclared."""
+    return countries.join(tiers.groupBy("id").agg(F.max("pos").alias("rank")), F.col("tier") == F.col("id"), "left").drop("id")
+
+
+def indirect_edges(data: DataFrame) -> DataFrame:
+    """(repo, indirect): whether any node of any lineage tree of a dataset has an indirect edge."""
+    from loomstone.operators.records import leaves
+
+    lineage = data.select("repo", F.expr("try_variant_get(v, '$.lineage.trees', 'variant')").alias("rec")).filter("rec is not null")
+    edges = leaves(lineage).filter(F.col("path").rlike(r"^\[\d+\]\.root(\.children\[\d+\])*\.edge$") & (F.col("leaf") == "indirect")).select("repo").distinct()
+    return data.select("repo").distinct().join(edges.withColumn("has", F.lit(True)), "repo", "left").select("repo", F.coalesce("has", F.lit(False)).alias("indirect"))

@@ -17,7 +17,8 @@ DATE_KEYS = ["date", "dates", "year", "founded", "start"]
 PLACE_KEYS = ["place", "country", "location", "birthplace"]
 #: Text that says that something is not verified.
 UNSURE = r"(?i)to verify|to confirm|unverified|\(a verificar\)|por verificar"
-DEPTH = 40
+#: Levels of a record opened between two looks at whether any is left.
+STEP = 4
 
 
 def records(data: DataFrame) -> DataFrame:
@@ -61,24 +62,25 @@ def record_date(rec: str = "rec") -> Column:
 def leaves(rows: DataFrame, value: str = "rec") -> DataFrame:
     """``rows`` with a row for each scalar within ``value``: path, name, kind and leaf.
 
-    Level by level: containers are opened until none is left, to ``DEPTH`` at most.
-    ``name`` is the nearest key; items of a list have their list's.
+    One chain of explodes carries the scalars along while containers are
+    opened, ``STEP`` levels between two looks at whether one is left; no depth
+    is too great. ``name`` is the nearest key; items of a list have their list's.
     """
     keep = [c for c in rows.columns if c != value]
-    level = rows.select(*keep, F.col(value).alias("v"), F.lit("").alias("path"), F.lit("").alias("name"))
-    found = None
-    for _ in range(DEPTH):
-        kind = level.withColumn("kind", F.expr("schema_of_variant(v)"))
-        flat = kind.filter("kind not like 'OBJECT%' and kind not like 'ARRAY%'").select(*keep, "path", "name", "kind", F.expr("try_variant_get(v, '$', 'string')").alias("leaf"))
-        found = flat if found is None else found.unionByName(flat)
-        inner = kind.filter("kind like 'OBJECT%' or kind like 'ARRAY%'")
-        if inner.isEmpty():
-            break
-        opened = inner.select(*keep, "path", "name", F.expr("try_variant_get(v, '$', 'map<string,variant>')").alias("m"), F.expr("try_variant_get(v, '$', 'array<variant>')").alias("a"))
-        objects = opened.filter("m is not null").select(*keep, "path", F.explode("m").alias("k", "v")).select(*keep, "v", F.when(F.col("path") == "", F.col("k")).otherwise(F.concat_ws(".", "path", "k")).alias("path"), F.col("k").alias("name"))
-        arrays = opened.filter("a is not null").select(*keep, "path", "name", F.posexplode("a").alias("i", "v")).select(*keep, "v", F.format_string("%s[%d]", "path", "i").alias("path"), "name")
-        level = objects.unionByName(arrays)
-    return found
+    level = rows.select(*keep, F.col(value).alias("v"), F.lit("").alias("path"), F.lit("").alias("name"), F.expr(f"schema_of_variant({value})").alias("kind"))
+    inner = "kind like 'OBJECT%' or kind like 'ARRAY%'"
+    entry = lambda k, i, v: F.struct(k.cast("string").alias("k"), i.cast("int").alias("i"), v.alias("v"))
+    none = F.lit(None)
+    members = F.transform(F.map_entries(F.expr("try_variant_get(v, '$', 'map<string,variant>')")), lambda e: entry(e["key"], none, e["value"]))
+    items = F.transform(F.expr("try_variant_get(v, '$', 'array<variant>')"), lambda x, i: entry(none, i, x))
+    opened = F.when(F.col("kind").startswith("OBJECT"), members).when(F.col("kind").startswith("ARRAY"), items).otherwise(F.array(entry(none, none, F.col("v"))))
+    key = F.when(F.col("path") == "", F.col("e.k")).otherwise(F.concat_ws(".", "path", "e.k"))
+    path = F.when(F.col("e.k").isNotNull(), key).when(F.col("e.i").isNotNull(), F.format_string("%s[%d]", "path", "e.i")).otherwise(F.col("path"))
+    while not level.filter(inner).isEmpty():
+        for _ in range(STEP):
+            inside = level.select(*keep, "path", "name", F.explode(opened).alias("e"))
+            level = inside.select(*keep, F.col("e.v").alias("v"), path.alias("path"), F.coalesce("e.k", "name").alias("name"), F.expr("schema_of_variant(e.v)").alias("kind"))
+    return level.filter("kind is not null").filter(f"not ({inner})").select(*keep, "path", "name", "kind", F.expr("try_variant_get(v, '$', 'string')").alias("leaf"))
 
 
 def find(rows: DataFrame, word: str) -> DataFrame:

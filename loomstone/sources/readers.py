@@ -158,3 +158,64 @@ def skills(spark: SparkSession, path: str) -> DataFrame:
 def resolve_path(name: str, home: str | None = None) -> str:
     """The folder of a dataset: a path as it is, a bare name below ``home``."""
     return name if re.search(r"[/:]", name) or not home else f"{home.rstrip('/')}/{name}"
+
+
+def transcript_entries(data: DataFrame) -> DataFrame:
+    """(repo, pos, id, file) of transcript manifests: the first list under docs, transcripts or items, or a bare list; else none."""
+    lists = [F.expr(f"try_variant_get(v, '{path}', 'array<variant>')") for path in ("$.docs", "$.transcripts", "$.items", "$")]
+    rows = data.select("repo", F.posexplode(F.coalesce(*lists)).alias("pos", "e"))
+    return rows.select("repo", "pos", F.expr("try_variant_get(e, '$.id', 'string')").alias("id"), F.expr("try_variant_get(e, '$.file', 'string')").alias("file"))
+
+
+def resolve_transcripts(wanted: DataFrame, entries: DataFrame, files: DataFrame, folder: str) -> DataFrame:
+    """(arg, path, id): what each ``arg`` means: an id or file of a manifest, else a path that exists, else a file of ``folder``.
+
+    ``entries`` has (pos, id, file), of which the first that fits counts; ``files`` (path). What
+    nothing knows stays as it is.
+    """
+    args = wanted.select("arg").distinct().withColumn("base", F.regexp_extract("arg", r"([^/]+)$", 1))
+    # One row for each name that an entry answers to.
+    names = entries.filter("file is not null").select("pos", "id", "file", F.explode(F.array("id", "file")).alias("name")).filter("name is not null")
+    by_arg = args.join(names, F.col("arg") == F.col("name")).select("arg", "pos", "id", "file")
+    by_base = args.join(names.filter("name = file"), F.col("base") == F.col("name")).select("arg", "pos", "id", "file")
+    known = by_arg.union(by_base).groupBy("arg").agg(F.min_by(F.struct("id", "file"), "pos").alias("e"))
+    paths = files.select("path").distinct().withColumn("there", F.lit(True))
+    own = args.join(known, "arg", "left").join(paths.select(F.col("path").alias("arg"), F.col("there").alias("exists")), "arg", "left")
+    guess = own.withColumn("guess", F.concat(F.lit(folder.rstrip("/") + "/"), "base"))
+    found = guess.join(paths.select(F.col("path").alias("guess"), F.col("there").alias("guessed")), "guess", "left")
+    path = F.when(F.col("e").isNotNull(), F.concat(F.lit(folder.rstrip("/") + "/"), F.col("e.file"))).when(F.col("exists"), F.col("arg")).when(F.col("guessed"), F.col("guess")).otherwise(F.col("arg"))
+    return found.select("arg", path.alias("path"), F.col("e.id").alias("id"))
+
+
+def pinned_terms(data: DataFrame) -> DataFrame:
+    """(repo, base, id, term) of pinned glossary ids, given as strings or as objects with an id; the last of an id counts."""
+    base = F.coalesce(F.expr("try_variant_get(v, '$.baseUrl', 'string')"), F.lit(""))
+    items = F.coalesce(F.expr("try_variant_get(v, '$.terms', 'array<variant>')"), F.expr("try_variant_get(v, '$', 'array<variant>')"))
+    rows = data.select("repo", base.alias("base"), F.posexplode(items).alias("pos", "t")).withColumn("kind", F.expr("schema_of_variant(t)"))
+    own = F.when(F.col("kind") == "STRING", F.expr("try_variant_get(t, '$', 'string')")).when(F.col("kind").startswith("OBJECT"), F.nullif(F.expr("try_variant_get(t, '$.id', 'string')"), F.lit("")))
+    named = rows.select("repo", "base", "pos", own.alias("id"), F.coalesce(F.expr("try_variant_get(t, '$.term', 'string')"), F.lit("")).alias("term")).filter("id is not null")
+    return named.groupBy("repo", "base", "id").agg(F.max_by("term", "pos").alias("term"))
+
+
+def glossary(data: DataFrame) -> DataFrame:
+    """(repo, id, term, variants) of datasets that are glossaries."""
+    rows = data.filter("kind = 'glossary'").select("repo", F.posexplode(F.expr("try_variant_get(v, '$.terms', 'array<variant>')")).alias("pos", "t"))
+    get = lambda k: F.expr(f"try_variant_get(t, '$.{k}', 'string')")
+    own = rows.select("repo", "pos", get("id").alias("id"), F.coalesce(get("term"), F.lit("")).alias("term"), F.coalesce(get("variants"), F.lit("")).alias("variants")).filter("coalesce(id, '') <> ''")
+    return own.groupBy("repo", "id").agg(F.max_by(F.struct("term", "variants"), "pos").alias("g")).select("repo", "id", "g.term", "g.variants")
+
+
+def witness(data: DataFrame) -> DataFrame:
+    """(n, d): the date that a witness's map of numbers gives each of them; none without a date."""
+    rows = data.select(F.explode(F.expr("try_variant_get(v, '$.aulas', 'map<string,variant>')")).alias("n", "x"))
+    date = F.expr("try_variant_get(x, '$.date', 'string')")
+    return rows.select(F.col("n").try_cast("int").alias("n"), F.try_to_date(date, "yyyy-MM-dd").alias("d")).filter("n is not null and d is not null")
+
+
+def filename_witness(data: DataFrame) -> DataFrame:
+    """(n, d) of listings of files: numbers whose files bear exactly one date."""
+    from loomstone.operators.consistency import single_date
+
+    rows = data.select(F.explode(F.expr("try_variant_get(v, '$.files', 'array<variant>')")).alias("x"))
+    number, date = F.expr("try_variant_get(x, '$.aula', 'int')"), F.expr("try_variant_get(x, '$.date', 'string')")
+    return single_date(rows.select(number.alias("n"), F.try_to_date(date, "yyyy-MM-dd").alias("d")).filter("n > 0"))

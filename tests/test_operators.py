@@ -379,3 +379,11 @@ def test_near_misses_lose_no_close_key(spark):
     wanted = {(n, k) for n in names for k in keys if n != k and distance(n, k) <= 2}
     found = entities.near_misses(spark.createDataFrame([(n,) for n in names], "name string"), table, most=10_000)
     assert {(r["name"], r["key"]) for r in found.collect() if r["why"].startswith("edit")} == wanted and wanted
+
+
+def test_leaves_of_a_deep_record(spark):
+    deep = '{"a":' * 60 + '[1,{"b":"x"},[],{}]' + "}" * 60
+    rows = spark.createDataFrame([(1, deep), (2, '{"c":null,"d":[["y"]]}'), (3, None), (4, '"bare"')], "id long, t string").select("id", F.parse_json("t").alias("rec"))
+    found = {(r["id"], r["path"], r["name"], r["leaf"]) for r in records.leaves(rows).collect()}
+    stem = ".".join("a" * 60)
+    assert found == {(1, f"{stem}[0]", "a", "1"), (1, f"{stem}[1].b", "b", "x"), (2, "c", "c", None), (2, "d[0][0]", "d", "y"), (4, "", "", "bare")}
