@@ -387,3 +387,23 @@ def test_leaves_of_a_deep_record(spark):
     found = {(r["id"], r["path"], r["name"], r["leaf"]) for r in records.leaves(rows).collect()}
     stem = ".".join("a" * 60)
     assert found == {(1, f"{stem}[0]", "a", "1"), (1, f"{stem}[1].b", "b", "x"), (2, "c", "c", None), (2, "d[0][0]", "d", "y"), (4, "", "", "bare")}
+
+
+def test_suggestions_are_ranked_with_names_of_two(spark):
+    from loomstone.operators import reports
+
+    pairs = [(1, "Anna Bell and Rosa Luna"), (2, "Anna Bell"), (3, "Anna Bell"), (4, "Anna Bella"), (5, None)]
+    table = entities.canonical_table(entities.postings(spark.createDataFrame(pairs, "doc long, surface string")))
+    rows = reports.ranked_suggestions(table).collect()
+    assert [(r["kind"], r["place"], r["total"]) for r in rows] == [("edit1", 1, 4), ("token-subset", 2, 4), ("shared-token", 3, 4), ("conjunction", 4, 4)]
+    assert len(reports.ranked_suggestions(table, most=1).collect()) == 1
+    empty = reports.incomplete_line(spark.createDataFrame([(1, None), (2, 0.9)], "doc_id long, coverage double"))
+    assert empty.collect() == []
+
+
+def test_glossaries_and_witnesses_without_entries(spark):
+    texts = [("g", "glossary", '{"terms":[{"id":"a","term":"A"},{"id":"a","term":"B","variants":"x"},{"term":"no id"},"s"]}'), ("c", "chronology", '{"terms":[{"id":"z"}]}')]
+    data = spark.createDataFrame(texts, "repo string, kind string, t string").withColumn("v", F.parse_json("t"))
+    assert [tuple(r) for r in readers.glossary(data).collect()] == [("g", "a", "B", "x")]
+    assert readers.witness(data).collect() == [] and readers.filename_witness(data).collect() == []
+    assert readers.transcript_entries(data).collect() == []
