@@ -12,8 +12,10 @@ backtraced by itself. No piece runs from another character into a blank, so a
 cut before a blank has one state only, and the library encodes a chunk between
 two such cuts; the search for a cut looks for one first.
 
-A worker encodes texts one at a time and hands on ids in slices of bounded
-bytes, so its memory grows with its longest text and not with a batch.
+Chunks between two such cuts need no matrix, and only the others are given
+one. A chunk's decoding is compared with its own piece of the text. The chunks
+of a text then come in order to a worker that joins them: it holds a digest,
+and the text's ids only if they are asked for, but never the text.
 
 Defined results: a null text is encoded as an empty one, into no pieces;
 repeated rows each give a row; other columns are kept, but for those with the
@@ -35,16 +37,20 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, IntegerType
 
-from loomstone.llm.batches import fresh, slices, without
+from loomstone.llm.batches import fresh, give_back, slices, without
 from loomstone.session import load
 
 #: Characters above which a text is split, characters of a chunk, and how far from its place a cut may look for a blank.
 GIANT, CHUNK, SEARCH = 32_768, 16_384, 2_048
 #: Characters that a chunk sees before its cut and, twice as many, beyond; no piece may be longer.
 MARGIN = 128
+#: Chunks of a block, into which a text is cut first.
+BLOCK = 64
 #: Pairs of pieces that a worker remembers as stable or not.
 PAIRS = 50_000
 BLANK = "▁"
+#: A piece that decoding leaves alone, before the ids of a chunk that isn't the first.
+LEAD = "a"
 
 
 def default_path() -> str:
@@ -227,16 +233,37 @@ def _encode_hard(model: Model, s: str, head: int, tail: int) -> list[int]:
     return model.sp.encode(rest, num_threads=1) if rest else ([model.ids[BLANK]] if tail > head else [])
 
 
+def _surface(model: Model, ids: list[int], first: bool) -> str:
+    """What the ids of a chunk stand for; only before the first chunk of a text does decoding drop the blank that encoding put there."""
+    return model.sp.decode(ids) if first else model.sp.decode([model.ids[LEAD], *ids])[len(LEAD) :]
+
+
 def _id_lists(ids: list[np.ndarray]) -> pa.Array:
     offsets = np.concatenate([[0], np.cumsum([len(x) for x in ids], dtype=np.int64)]).astype(np.int32)
     return pa.ListArray.from_arrays(pa.array(offsets), pa.array(np.concatenate([np.empty(0, np.int32), *ids]), pa.int32()))
 
 
-def _giant_ids(rows: DataFrame, path: str) -> DataFrame:
-    """(key, ids) of giant texts given as (key, text)."""
-    chunks = rows.select("key", "text", (F.ceil(F.length("text") / CHUNK)).cast("int").alias("n")).select("key", "n", "text", F.explode(F.sequence(F.lit(0), F.col("n") - 1)).alias("k"))
+def _chunks(rows: DataFrame) -> DataFrame:
+    """(key, k, n, base, text): chunk k of the n chunks of each different text of ``rows`` (key, text), with the place of its first character.
+
+    A text is cut into blocks and these into chunks, since each cut counts
+    characters from the start of what it is cut from. Equal chunks of equal
+    texts become one row, in each task before the shuffle.
+    """
+    n = F.ceil(F.length("text") / CHUNK).cast("int").alias("n")
+    blocks = rows.select("key", "text", n).select("key", "n", "text", F.explode(F.sequence(F.lit(0), F.ceil(F.col("n") / BLOCK).cast("int") - 1)).alias("j"))
+    start = F.greatest(F.col("j") * (BLOCK * CHUNK) - MARGIN, F.lit(0))
+    blocks = blocks.select("key", "n", "j", start.alias("start"), F.substring("text", start + 1, F.lit(BLOCK * CHUNK + SEARCH + 4 * MARGIN)).alias("text"))
+    ks = F.sequence(F.col("j") * BLOCK, F.least(F.col("j") * BLOCK + BLOCK, F.col("n")) - 1)
     base = F.greatest(F.col("k") * CHUNK - MARGIN, F.lit(0))
-    chunks = chunks.select("key", "k", "n", base.alias("base"), F.substring("text", base + 1, F.lit(CHUNK + SEARCH + 3 * MARGIN)).alias("text"))
+    cut = F.substring("text", base - F.col("start") + 1, F.lit(CHUNK + SEARCH + 3 * MARGIN)).alias("text")
+    chunks = blocks.select("key", "n", "start", "text", F.explode(ks).alias("k")).select("key", "k", "n", cut)
+    return chunks.groupBy("key", "k").agg(F.any_value("n").alias("n"), F.any_value("text").alias("text")).select("key", "k", "n", base.alias("base"), "text")
+
+
+def _giants(rows: DataFrame, path: str, keep_ids: bool) -> DataFrame:
+    """(key, ids, n_tokens, ids_sha256, round_trip) of giant texts given as (key, text); without ids if they aren't kept."""
+    chunks = _chunks(rows)
 
     def chunk_rows(batch: pa.RecordBatch):
         """The model's chunk and its row of each row of a slice."""
@@ -245,11 +272,15 @@ def _giant_ids(rows: DataFrame, path: str) -> DataFrame:
             yield model, r, *_chunk(model, r["text"], r["base"], r["k"], r["k"] == r["n"] - 1)
 
     def matrices(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """Of chunks that have more than one state at a cut; between two hard cuts there is nothing to choose."""
         for batch in slices(batches, "text"):
-            out = []
-            for model, _, s, head, tail in chunk_rows(batch):
-                out.append([0.0] if head[1] and tail[1] else transfer(model, s, states(model, s, *head), states(model, s, *tail)).ravel().tolist())
-            yield pa.RecordBatch.from_arrays([batch.column("key"), batch.column("k"), pa.array(out, pa.list_(pa.float64()))], ["key", "k", "m"])
+            out = [
+                (r["key"], r["k"], transfer(model, s, states(model, s, *head), states(model, s, *tail)).ravel().tolist())
+                for model, r, s, head, tail in chunk_rows(batch)
+                if not (head[1] and tail[1])
+            ]
+            keys, ks, ms = zip(*out) if out else ((), (), ())
+            yield pa.RecordBatch.from_arrays([pa.array(keys, pa.string()), pa.array(ks, pa.int32()), pa.array(ms, pa.list_(pa.float64()))], ["key", "k", "m"])
 
     def combine(frame: pd.DataFrame) -> pd.DataFrame:
         frame = frame.sort_values("k")
@@ -262,18 +293,45 @@ def _giant_ids(rows: DataFrame, path: str) -> DataFrame:
 
     def trace(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches, "text"):
-            out = []
+            out, same = [], []
             for model, r, s, head, tail in chunk_rows(batch):
                 if head[1] and tail[1]:
-                    ids = _encode_hard(model, s, head[0], tail[0])
+                    ids, lo, hi = _encode_hard(model, s, head[0], tail[0]), head[0], tail[0]
                 else:
-                    ids = backtrace(model, s, states(model, s, *head)[r["head"]], states(model, s, *tail)[r["tail"]])
+                    start, goal = states(model, s, *head)[r["head"]], states(model, s, *tail)[r["tail"]]
+                    ids, lo, hi = backtrace(model, s, start, goal), start[1], goal[1]
+                shift = 1 if r["k"] == 0 else 0
+                same.append(_surface(model, ids, r["k"] == 0) == r["text"][max(lo - shift, 0) : hi - shift])
                 out.append(np.array(ids, np.int32))
-            yield pa.RecordBatch.from_arrays([batch.column("key"), batch.column("k"), _id_lists(out)], ["key", "k", "ids"])
+            yield pa.RecordBatch.from_arrays([batch.column("key"), batch.column("k"), _id_lists(out), pa.array(same, pa.bool_())], ["key", "k", "ids", "same"])
+
+    def joined(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """Documents from their chunks in order, one at a time; of the ids only the digest is held unless they are kept."""
+        key, n, same, digest, held = None, 0, True, hashlib.sha256(), []
+
+        def document() -> pa.RecordBatch:
+            arrays = [pa.array([n], pa.int64()), pa.array([digest.hexdigest()], pa.string()), pa.array([same], pa.bool_())]
+            return pa.RecordBatch.from_arrays([pa.array([key], pa.string()), *([_id_lists([np.concatenate(held)])] if keep_ids else []), *arrays], ["key", *(["ids"] if keep_ids else []), "n_tokens", "ids_sha256", "round_trip"])
+
+        for batch in batches:
+            keys, ids, good = batch.column("key").to_pylist(), batch.column("ids"), batch.column("same").to_pylist()
+            for i, k in enumerate(keys):
+                if k != key:
+                    if key is not None:
+                        yield document()
+                    key, n, same, digest, held = k, 0, True, hashlib.sha256(), []
+                own = ids[i].values.to_numpy().astype("<i4", copy=False)
+                n, same = n + len(own), same and good[i]
+                digest.update(own.tobytes())
+                if keep_ids:
+                    held.append(own)
+        if key is not None:
+            yield document()
+        give_back()
 
     chosen = chunks.mapInArrow(matrices, "key string, k int, m array<double>").groupBy("key").applyInPandas(combine, "key string, k int, head int, tail int")
-    traced = chunks.join(chosen, ["key", "k"]).mapInArrow(trace, "key string, k int, ids array<int>")
-    return traced.groupBy("key").agg(F.flatten(F.transform(F.array_sort(F.collect_list(F.struct("k", "ids"))), lambda x: x["ids"])).alias("ids"))
+    traced = chunks.join(chosen, ["key", "k"], "left").mapInArrow(trace, "key string, k int, ids array<int>, same boolean")
+    return traced.repartition("key").sortWithinPartitions("key", "k").mapInArrow(joined, "key string, " + ("ids array<int>, " if keep_ids else "") + "n_tokens long, ids_sha256 string, round_trip boolean")
 
 
 def encode(df: DataFrame, path: str | None = None, text_col: str = "text", keep_ids: bool = True) -> DataFrame:
@@ -287,36 +345,34 @@ def encode(df: DataFrame, path: str | None = None, text_col: str = "text", keep_
     if not keep_ids:
         del made["ids"]
     others = without([c for c in df.columns if c != text_col], list(made))
-    own_key, own_ids = fresh(df.columns, "_key"), fresh(df.columns, "_ids")
+    own_key = fresh(df.columns, "_key")
     df = df.select(*others, text_col)
     schema = df.select(*others).schema
     for name, kind in made.items():
         schema = schema.add(name, kind)
 
-    def batchwise(ids_of):
-        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            model = _model(path)
-            for batch in slices(batches, text_col):
-                ids, n, digests, same = [], [], [], []
-                for k in range(batch.num_rows):
-                    text = batch.column(text_col)[k].as_py() or ""
-                    own = ids_of(model, batch, k, text)
-                    same.append(model.sp.decode(own) == text)
-                    own = np.array(own, "<i4")
-                    n.append(len(own))
-                    digests.append(hashlib.sha256(own.tobytes()).hexdigest())
-                    ids.append(own if keep_ids else None)
-                arrays = [pa.array(n, pa.int64()), pa.array(digests, pa.string()), pa.array(same, pa.bool_())]
-                yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in others), *([_id_lists(ids)] if keep_ids else []), *arrays], [*others, *made])
-
-        return run
+    def whole(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        model = _model(path)
+        for batch in slices(batches, text_col):
+            ids, n, digests, same = [], [], [], []
+            for text in batch.column(text_col):
+                text = text.as_py() or ""
+                own = model.sp.encode(text, num_threads=1)
+                same.append(model.sp.decode(own) == text)
+                own = np.array(own, "<i4")
+                n.append(len(own))
+                digests.append(hashlib.sha256(own.tobytes()).hexdigest())
+                ids.append(own if keep_ids else None)
+            arrays = [pa.array(n, pa.int64()), pa.array(digests, pa.string()), pa.array(same, pa.bool_())]
+            yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in others), *([_id_lists(ids)] if keep_ids else []), *arrays], [*others, *made])
 
     giant = F.length(F.coalesce(F.col(text_col), F.lit(""))) > GIANT
-    small = df.filter(~giant).mapInArrow(batchwise(lambda model, batch, k, text: model.sp.encode(text, num_threads=1)), schema)
-    large = df.filter(giant).withColumn(own_key, F.concat_ws(":", F.sha2(F.col(text_col), 256), F.length(text_col)))
-    ids = _giant_ids(large.groupBy(F.col(own_key).alias("key")).agg(F.any_value(text_col).alias("text")), path)
-    joined = large.join(ids.select(F.col("key").alias(own_key), F.col("ids").alias(own_ids)), own_key).select(*df.columns, own_ids)
-    return small.unionByName(joined.mapInArrow(batchwise(lambda model, batch, k, text: batch.column(own_ids)[k].values.to_pylist()), schema))
+    small = df.filter(~giant).mapInArrow(whole, schema)
+    key = F.concat_ws(":", F.sha2(F.col(text_col), 256), F.length(text_col))
+    large = df.filter(giant)
+    coded = _giants(large.select(key.alias("key"), F.col(text_col).alias("text")), path, keep_ids).withColumnRenamed("key", own_key)
+    # Texts aren't needed beside their ids: what is joined to them is the other columns.
+    return small.unionByName(large.select(*others, key.alias(own_key)).join(coded, own_key).select(*others, *made))
 
 
 def decode(df: DataFrame, path: str | None = None, ids_col: str = "ids") -> DataFrame:

@@ -239,13 +239,14 @@ def test_contained_items_are_found(spark):
 # ---- 5 SentencePiece ----
 
 
-def test_encoding_equals_the_library(spark, monkeypatch):
+@pytest.mark.parametrize("block", [2, 64])
+def test_encoding_equals_the_library(spark, monkeypatch, block):
     import sentencepiece
 
     library = sentencepiece.SentencePieceProcessor(model_file=sentencepieces.default_path())
-    for name, value in (("GIANT", 200), ("CHUNK", 160), ("SEARCH", 24)):
+    for name, value in (("GIANT", 200), ("CHUNK", 160), ("SEARCH", 24), ("BLOCK", block)):
         monkeypatch.setattr(sentencepieces, name, value)
-    texts = [None, "", " ", "a  b\n\n c\t", "x▁y", "日本語😀" * 60, "helloworldthisisalongrunofletters" * 40, prose(400, 2), "ab " * 300, " " * 700, "é" * 500, "a" * 159 + " " * 400 + "b"]
+    texts = [None, "", " ", "a  b\n\n c\t", "x▁y", "日本語😀" * 60, "helloworldthisisalongrunofletters" * 40, prose(400, 2), "ab " * 300, " " * 700, "é" * 500, "a" * 159 + " " * 400 + "b", prose(60, 3) + "x▁y" + prose(60, 4), "é" * 400 + " " + prose(90, 5) + "ß" * 400]
     rows = [(i, t) for i, t in enumerate(texts)] + [(7, texts[7])]
     found = sentencepieces.encode(table(spark, rows)).collect()
     assert len(found) == len(rows)
@@ -253,6 +254,10 @@ def test_encoding_equals_the_library(spark, monkeypatch):
         t = texts[r.doc_id] or ""
         assert list(r.ids) == library.encode(t), t[:40]
         assert r.round_trip == ("▁" not in t) and r.n_tokens == len(r.ids)
+    bare = sentencepieces.encode(table(spark, rows).repartition(5), keep_ids=False)
+    expected = {(r.doc_id, r.n_tokens, r.ids_sha256, r.round_trip) for r in found}
+    assert {(r.doc_id, r.n_tokens, r.ids_sha256, r.round_trip) for r in bare.collect()} == expected and "ids" not in bare.columns
+    assert all(r.ids_sha256 == hashlib.sha256(np.array(r.ids, "<i4").tobytes()).hexdigest() for r in found)
     back = sentencepieces.decode(spark.createDataFrame([(list(found[3].ids),), (None,)], "ids array<int>")).collect()
     assert back[1].text is None and sentencepieces.encode(empty(spark)).count() == 0
 
