@@ -8,8 +8,8 @@ from loomstone.functions import web
 from loomstone.operators import crossref, entities, layout, reports
 from loomstone.plans.base import ORACLES, query
 from loomstone.plans.data_queries import _CANON, _FOLD, _parts, _postings
-from loomstone.session import load
-from loomstone.sources import readers
+from loomstone.session import Scratch, load
+from loomstone.sources import readers, sinks
 
 
 def _pick(column: str, values: list):
@@ -156,6 +156,66 @@ def u08(spark, sf):
     return reports.only_in(rows.filter("n % 3 <> 0"), rows.filter("n % 5 <> 0"), "n")
 
 
+# ---- caches and vendored copies ----
+
+
+@query("k11_snapshot_cache", "SELECT url, min(page_id) AS page FROM pages GROUP BY 1")
+def k11(spark, sf):
+    """The cache as it is read back from its written form."""
+    scratch = Scratch(spark, "snapshots")
+    sinks.write_records(load(spark, sf, "pages").groupBy("url").agg(F.min("page_id").alias("page")), f"{scratch.root}/cache", "url")
+    return spark.read.schema("url string, page long").json(f"{scratch.root}/cache")
+
+
+@query(
+    "k12_translation_meta",
+    """SELECT lang, count(*) || '/' || (SELECT count(*) FROM documents) AS coverage, CASE lang WHEN 'x0' THEN 'a person' ELSE 'unknown' END AS made_by
+    FROM (SELECT 'x' || doc_id % 3 AS lang FROM documents WHERE doc_id % 7 <> 0) GROUP BY 1""",
+)
+def k12(spark, sf):
+    docs = load(spark, sf, "documents").select("doc_id")
+    strings = docs.filter("doc_id % 7 <> 0").select(F.concat(F.lit("x"), (F.col("doc_id") % 3).cast("string")).alias("lang"), F.col("doc_id").alias("key"))
+    previous = spark.createDataFrame([("x0", "a person"), ("x1", "")], "lang string, made_by string")
+    return sinks.translation_meta(strings, docs, previous)
+
+
+_SOURCE = "SELECT doc_id AS name, 'a' || chr(13) || chr(10) || text AS text FROM documents WHERE doc_id % 5 <> 0"
+_COPIES = "SELECT doc_id AS name, CASE WHEN doc_id % 5 = 2 THEN 'old' ELSE 'a' || chr(10) || text END AS text FROM documents WHERE doc_id % 5 <> 1"
+
+
+def _vendored(spark, sf):
+    docs = load(spark, sf, "documents").select(F.col("doc_id").alias("name"), "text")
+    old = F.when(F.col("name") % 5 == 2, F.lit("old")).otherwise(F.concat(F.lit("a\n"), "text"))
+    return docs.filter("name % 5 <> 0").withColumn("text", F.concat(F.lit("a\r\n"), "text")), docs.filter("name % 5 <> 1").withColumn("text", old)
+
+
+_PLAIN = "replace({0}, chr(13) || chr(10), chr(10))"
+
+
+@query("k13_vendored_manifest", f"SELECT name, sha256({_PLAIN.format('text')}) AS sha256, length(text) AS bytes FROM ({_SOURCE})")
+def k13(spark, sf):
+    return sinks.vendored_manifest(_vendored(spark, sf)[0])
+
+
+@query(
+    "k13_synced",
+    f"""WITH s AS ({_SOURCE}), c AS ({_COPIES}), b AS (SELECT s.name, s.text AS a, c.text AS b FROM s LEFT JOIN c ON s.name = c.name)
+    SELECT name, CASE WHEN b IS NULL THEN 'add' WHEN {_PLAIN.format('a')} <> {_PLAIN.format('b')} THEN 'update' ELSE 'ok' END AS action,
+        length(CASE WHEN {_PLAIN.format('a')} = {_PLAIN.format('b')} THEN b ELSE a END) AS n FROM b""",
+)
+def k13_synced(spark, sf):
+    return sinks.synced(*_vendored(spark, sf)).select("name", "action", F.length("text").cast("long").alias("n"))
+
+
+_TRACK = _pick_sql("c_custkey", ["'pt-BR'", "'EN'", "NULL", "'es_MX'"])
+
+
+@query("p20_expected_tracks", f"SELECT repo, lang, expected, coalesce(lower(regexp_extract(lang, '^[^-_]*')) = 'pt', false) AS agrees FROM (SELECT c_custkey AS repo, {_TRACK} AS lang, 'pt' AS expected FROM customer)")
+def p20(spark, sf):
+    tracks = load(spark, sf, "customer").select(F.col("c_custkey").alias("repo"), _pick("c_custkey", ["pt-BR", "EN", None, "es_MX"]).alias("lang"))
+    return readers.expected_tracks(tracks, tracks.select("repo", F.lit("pt").alias("lang")))
+
+
 # ---- entries of several sources ----
 
 

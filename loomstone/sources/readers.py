@@ -3,10 +3,13 @@
 from __future__ import annotations
 
 import re
+from collections.abc import Callable
 
+from pyspark.errors import PySparkException
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from loomstone.functions.web import base_language
 from loomstone.operators.records import leaves
 
 
@@ -149,6 +152,34 @@ def source_tracks(data: DataFrame) -> DataFrame:
     return best.select("repo", lang.alias("lang"), F.col("b.url").alias("url"), kind.alias("kind"))
 
 
+def expected_tracks(tracks: DataFrame, expected: DataFrame) -> DataFrame:
+    """(repo, lang, expected, agrees) of source tracks and the languages (repo, lang) that were expected; base subtags are compared."""
+    both = expected.select("repo", F.col("lang").alias("expected")).join(tracks.select("repo", "lang"), "repo", "left")
+    return both.select("repo", "lang", "expected", F.coalesce(base_language(F.col("lang")) == base_language(F.col("expected")), F.lit(False)).alias("agrees"))
+
+
+def first_source(candidates: list[str | None], read: Callable[[str], DataFrame]) -> tuple[str, DataFrame] | None:
+    """The first candidate that can be read and holds a row, with its rows: an argument, a setting, a sibling folder, a URL."""
+    for source in filter(None, candidates):
+        try:
+            found = read(source)
+            if not found.isEmpty():
+                return source, found
+        except PySparkException:
+            continue
+    return None
+
+
+def read_or_empty(spark: SparkSession, path: str, schema: str) -> DataFrame:
+    """The JSON records at a path; a missing path or a broken file gives none, with the same columns."""
+    try:
+        rows = spark.read.schema(schema).json(path, multiLine=True, mode="DROPMALFORMED")
+        rows.isEmpty()
+        return rows
+    except PySparkException:
+        return spark.createDataFrame([], schema)
+
+
 def skills(spark: SparkSession, path: str) -> DataFrame:
     """(name, text, digest) of ``*/SKILL.md`` below a folder."""
     rows = spark.read.text(f"{path}/*/SKILL.md", wholetext=True).select(F.col("value").alias("text"), F.regexp_extract("_metadata.file_path", r"([^/]+)/SKILL\.md$", 1).alias("name"))

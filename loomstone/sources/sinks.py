@@ -7,6 +7,8 @@ import re
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from loomstone.functions.web import text_digest
+from loomstone.operators.consistency import sync_plan
 from loomstone.operators.search import postings
 from loomstone.operators.textflow import chunks, normalise, tokens
 
@@ -47,6 +49,37 @@ def write_lines(lines: DataFrame, path: str) -> None:
     lines.repartitionByRange("part", "k").sortWithinPartitions("part", "k").select("line").write.mode("overwrite").text(path)
 
 
+def write_records(rows: DataFrame, path: str, *keys: str) -> None:
+    """Rows as lines of JSON in the order of ``keys``, over part files that continue each other: caches, sheets, reports."""
+    guard(path)
+    rows.repartitionByRange(*keys).sortWithinPartitions(*keys).write.mode("overwrite").json(path)
+
+
+def translation_meta(strings: DataFrame, wanted: DataFrame, previous: DataFrame, by: str | None = None, unknown: str = "unknown") -> DataFrame:
+    """(lang, coverage, made_by) of each language's translations (lang, key), of the ``wanted`` keys.
+
+    A cache keeps the maker that ``previous`` (lang, made_by) names, unless this
+    run wrote the translations and says so by ``by``.
+    """
+    total = wanted.agg(F.count(F.lit(1)).alias("total"))
+    counts = strings.groupBy("lang").agg(F.count(F.lit(1)).alias("n")).crossJoin(F.broadcast(total))
+    known = counts.join(previous.select("lang", F.nullif("made_by", F.lit("")).alias("kept")), "lang", "left")
+    return known.select("lang", F.concat_ws("/", "n", "total").alias("coverage"), F.coalesce(F.lit(by), "kept", F.lit(unknown)).alias("made_by"))
+
+
+def vendored_manifest(source: DataFrame) -> DataFrame:
+    """(name, sha256, bytes) of texts (name, text): the digest with plain line ends; ``bytes`` counts characters, as the format has it."""
+    return source.select("name", text_digest(F.col("text")).alias("sha256"), F.length("text").cast("long").alias("bytes"))
+
+
+def synced(source: DataFrame, copies: DataFrame) -> DataFrame:
+    """(name, text, action): the copies after a sync of both (name, text): new and changed texts come in, stale copies go, others stay."""
+    digests = [rows.select("name", text_digest(F.col("text")).alias("digest")) for rows in (source, copies)]
+    plan = sync_plan(*digests).filter("action <> 'stale'")
+    texts = plan.join(source.select("name", F.col("text").alias("new")), "name").join(copies.select("name", F.col("text").alias("old")), "name", "left")
+    return texts.select("name", F.when(F.col("action") == "ok", F.col("old")).otherwise(F.col("new")).alias("text"), "action")
+
+
 def splice(existing: str, block: str, start: str, stop: str) -> tuple[str, str]:
     """A text with the block between two marks replaced, or appended where there are none; and which was done."""
     begins, ends = existing.count(start), existing.count(stop)

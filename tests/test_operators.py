@@ -1,6 +1,7 @@
 """Behaviour of single operators on small inline tables."""
 
 import datetime
+import json
 
 import pytest
 from pyspark.sql import functions as F
@@ -291,6 +292,29 @@ def test_sinks(spark, tmp_path):
     assert spark.read.parquet(f"{tmp_path}/index/postings").count() == 4 and spark.read.parquet(f"{tmp_path}/index/docs").count() == 2
 
 
+def test_records_and_sources(spark, tmp_path):
+    rows = spark.createDataFrame([(k, str(k)) for k in range(50)], "k long, v string")
+    sinks.write_records(rows.repartition(7), f"{tmp_path}/cache", "k")
+    parts = [p.read_text().splitlines() for p in sorted((tmp_path / "cache").glob("part-*"))]
+    assert [json.loads(x)["k"] for part in parts for x in part] == list(range(50))
+    with pytest.raises(sinks.WriteRefused):
+        sinks.write_records(rows, f"{tmp_path}/data/cache", "k")
+    assert readers.read_or_empty(spark, f"{tmp_path}/none", "name string").collect() == []
+    (tmp_path / "broken.json").write_text("{")
+    assert [r for r in readers.read_or_empty(spark, f"{tmp_path}/broken.json", "name string").collect() if r.name] == []
+    read = lambda path: spark.read.schema("k long").json(path)
+    assert readers.first_source([None, f"{tmp_path}/none", f"{tmp_path}/cache"], read)[0] == f"{tmp_path}/cache"
+    assert readers.first_source([f"{tmp_path}/none"], read) is None
+
+
+def test_makers_of_translations_are_kept_unless_the_run_wrote_them(spark):
+    strings = spark.createDataFrame([("pt", "a"), ("pt", "b"), ("es", "a")], "lang string, key string")
+    wanted = spark.createDataFrame([("a",), ("b",), ("c",)], "key string")
+    before = spark.createDataFrame([("pt", "Ana")], "lang string, made_by string")
+    found = lambda by: {(r.lang, r.coverage, r.made_by) for r in sinks.translation_meta(strings, wanted, before, by).collect()}
+    assert found(None) == {("pt", "2/3", "Ana"), ("es", "1/3", "unknown")} and found("run") == {("pt", "2/3", "run"), ("es", "1/3", "run")}
+
+
 @pytest.mark.parametrize("name,text", [("t01_dated", "He left in 1834. "), ("t03_numbers", "Then 77% had gone. "), ("t04_quotes", "He said they had gone. "), ("t05_sheet", "He left in 1834. ")])
 def test_mining_queries_read_whole_texts(spark, tmp_path, name, text):
     """n_chars is null, too small or right; the texts are the same."""
