@@ -209,7 +209,7 @@ def top_inner(df: DataFrame, queries: Column, k: int, id_col: str = "vec_id", ve
         """How far from pivot j a row must lie to reach the best of a query of cell c."""
         s, most = summary[c], reached[c, j]
         missing = s["least"] - most - SLACK * abs(most)
-        return missing / s["norm"] if s["norm"] else math.copysign(math.inf, missing)
+        return missing / s["norm"] if s["norm"] else -math.inf if missing <= 0 else math.inf
 
     needs = [(j, p, float(min(farthest(c, j) for c in cells))) for p, cells in enumerate(packs) for j in range(len(pivots))]
     needed = spark.createDataFrame(needs, "cell int, pack int, need double")

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from loomstone.llm import chat, classifier, decontaminate, nearest, neardup, repeats, rules, secrets, sentencepieces, sharding, spelling, tokens
+from loomstone.llm import chat, classifier, decontaminate, nearest, neardup, repeats, rules, secrets, sentencepieces, sharding, spelling, structure, tokens
 
 QUERIES = {
     "op1_token_counts": tokens.op1_token_counts,
@@ -15,7 +15,8 @@ QUERIES = {
     "op8_chat_format": chat.op8_chat_format,
     "op9_secrets": secrets.op9_secrets,
     "op10_sharding": sharding.op10_sharding,
+    "op11_structure_repair": structure.op11_structure_repair,
     "op12_exact_top_k": nearest.op12_exact_top_k,
     "op13_spelling_variants": spelling.op13_spelling_variants,
 }
-ORACLES = {"op4_decontaminate": decontaminate.ORACLE, "op8_chat_format": chat.ORACLE, "op12_exact_top_k": nearest.ORACLE, "op13_spelling_variants": spelling.ORACLE}
+ORACLES = {"op4_decontaminate": decontaminate.ORACLE, "op8_chat_format": chat.ORACLE, "op11_structure_repair": structure.ORACLE, "op12_exact_top_k": nearest.ORACLE, "op13_spelling_variants": spelling.ORACLE}

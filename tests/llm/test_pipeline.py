@@ -16,7 +16,7 @@ def _shingles(text):
 
 def test_stages_and_queries_are_named():
     assert [n for n, _ in corpus_pipeline.STAGES] == ["quality classifier", "MinHash near-dedup", "benchmark decontamination", "secret scans", "SentencePiece encoding and decoding"]
-    assert {re.match(r"op\d+", q)[0] for q in QUERIES} == {f"op{n}" for n in range(1, 11)} and set(ORACLES) <= set(QUERIES)
+    assert {re.match(r"op\d+", q)[0] for q in QUERIES} == {f"op{n}" for n in range(1, 14)} and set(ORACLES) <= set(QUERIES)
 
 
 def test_pipeline_equals_plain_stages(spark):
