@@ -43,6 +43,8 @@ SHARD, BLOCK = 1 << 16, 1 << 14
 COUNTED = 200_000
 #: Characters of a text that are cut into words at once.
 STRETCH = 1 << 20
+#: Different lengths of words up to which the plan of shards is broadcast; beyond, it is joined by shuffles.
+LENGTHS = 1 << 16
 #: Cells of a table of comparisons.
 CELLS = 1 << 21
 _RUNS = bytes(b"\x20"[0] if not (chr(b).isascii() and chr(b).isalpha() or b >= 0xC0) else b + 32 if 65 <= b <= 90 else b for b in range(256))
@@ -172,12 +174,13 @@ def _near(own: pa.Table, scanned: pa.Table) -> pa.Table:
     return pa.Table.from_arrays([scanned.column("word").take(pa.array(i, pa.int64())), pa.array(near, pa.int64()), own.column("n").take(best), own.column("word").take(best)], schema=schema)
 
 
-def near_words(words: DataFrame) -> DataFrame:
+def near_words(words: DataFrame, scratch: Scratch) -> DataFrame:
     """(word, n_near, form_n, form) for each of ``words`` (word, n) with a word one edit away; form is the one of largest n."""
     sized = words.withColumn("size", F.length("word"))
     counts = sized.groupBy("size").agg(F.count(F.lit(1)).alias("rows"))
     around = counts.select(F.explode(F.array(*[F.col("size") + d for d in (-1, 0, 1)])).alias("size"), "rows").groupBy("size").agg(F.sum("rows").alias("around"))
-    plan = counts.join(around, "size").select("size", F.ceil(F.col("rows") / SHARD).cast("int").alias("parts"), F.ceil(F.col("around") / BLOCK).cast("int").alias("blocks"))
+    plan = scratch.write(counts.join(around, "size").select("size", F.ceil(F.col("rows") / SHARD).cast("int").alias("parts"), F.ceil(F.col("around") / BLOCK).cast("int").alias("blocks")), "plan")
+    plan = F.broadcast(plan) if plan.count() <= LENGTHS else plan
     every = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
     own = sized.join(plan, "size").select("size", F.pmod(F.xxhash64(F.lit("part"), "word"), F.col("parts")).cast("int").alias("part"), every("blocks").alias("block"), "word", "n")
     aimed = words.select(F.col("word").alias("scan"), F.explode(F.array(*[F.length("word") + d for d in (-1, 0, 1)])).alias("size")).join(plan, "size")
@@ -202,7 +205,7 @@ def variants(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", leas
     scratch = Scratch(df.sparkSession, "spelling")
     words = scratch.write(count_words(df, id_col, text_col).filter(F.col("n") >= least_count), "words")
     far: Column = F.col("form_n") >= ratio * F.col("n")
-    named = words.join(near_words(words), "word", "left").select("word", *[F.when(far, F.col(c)).alias(c) for c in ("form", "form_n")], "n", F.coalesce("n_near", F.lit(0)).cast("long").alias("n_near"))
+    named = words.join(near_words(words, scratch), "word", "left").select("word", *[F.when(far, F.col(c)).alias(c) for c in ("form", "form_n")], "n", F.coalesce("n_near", F.lit(0)).cast("long").alias("n_near"))
     named = scratch.write(named, "named")
     # Each step multiplies n by ``ratio`` at least.
     largest = words.agg(F.max("n")).first()[0] or 1

@@ -68,6 +68,7 @@ def test_equals_all_pairs(spark, monkeypatch, shard, block):
     monkeypatch.setattr(spelling, "SHARD", shard)
     monkeypatch.setattr(spelling, "BLOCK", block)
     monkeypatch.setattr(spelling, "COUNTED", 20)
+    monkeypatch.setattr(spelling, "LENGTHS", shard)
     rows = texts(np.random.default_rng(3)) + [(None, "letters " * 9), (5, None), (6, ""), (7, "letters leters"), (7, "letters leters")]
     assert (want := brute(rows)) == found(spark, rows)
     assert any(r[1] and r[2] != r[1] for r in want)  # a chain of forms
