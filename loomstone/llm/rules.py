@@ -5,7 +5,9 @@ words; the list is a chain of ``CASE`` conditions over them. Learning collects
 the statistics of a bounded sample of labelled rows and grows rules by
 sequential covering: a rule gains threshold tests while they raise FOIL's gain
 on two thirds of the rows, loses them again while that helps on the rest, and
-is kept if it is precise there; its rows then leave the sample.
+is kept if it is precise there and on all rows, with a bound of the chance that
+it is not; its rows then leave the sample. A rule that is not kept bars the test
+it grew from, and the search goes on with the others.
 
 Defined results: a null text has no words; repeated rows each give a row;
 without labelled rows the list is empty and only the base rules speak; a label
@@ -31,8 +33,12 @@ from loomstone.session import load
 REPEAT = 8
 #: The bound of the labelled sample: rows with the smallest hashes of their id.
 MAX_TRAIN_ROWS = 20_000
-#: Terms of the learned list of terms that mark toxic rows.
+#: Terms of the learned list of terms that mark toxic rows, at most: those with most hits.
 MAX_TERMS = 256
+#: A term is learned if, of so many terms that mark nothing, none would have its hits with a chance of 0.95.
+TERMS_TESTED = 100_000
+#: A rule's precision is at least BOUND with a confidence of 95 % (Wilson's bound, one-sided).
+BOUND, CONFIDENCE = 0.75, 1.645
 FEATURES = ["n_words", "mean_chars", "symbol_share", "dup_line_share", "repeat_share", "distinct_share", "n_terms", "mark_share"]
 
 
@@ -129,6 +135,14 @@ def _cuts(values: list[float], most: int = 48) -> list[float]:
     return middle if len(middle) <= most else [middle[i * (len(middle) - 1) // (most - 1)] for i in range(most)]
 
 
+def least_share(hits: int, n: int, z: float = CONFIDENCE) -> float:
+    """Wilson's lower bound of a share of which ``hits`` of ``n`` were seen."""
+    if not n:
+        return 0.0
+    p = hits / n
+    return (p + z * z / (2 * n) - z * math.sqrt(p * (1 - p) / n + z * z / (4 * n * n))) / (1 + z * z / n)
+
+
 def learn_list(rows: list[tuple[list[float], bool]], precision: float = 0.95, most_rules: int = 12, most_tests: int = 4, support: int = 5, held: list[bool] | None = None) -> list[list[Test]]:
     """Sequential covering over (features, is bad) rows: conjunctions, most precise first found.
 
@@ -149,10 +163,11 @@ def learn_list(rows: list[tuple[list[float], bool]], precision: float = 0.95, mo
                 below |= 1 << ranked[at]
                 at += 1
             tests += [(Test(name, False, cut), below), (Test(name, True, cut), everything & ~below)]
-    left, out = (1 << len(rows)) - 1, []
-    while len(out) < most_rules:
+    left, out, barred = (1 << len(rows)) - 1, [], set()
+    while len(out) < most_rules and len(barred) < len(tests):
         grow = left & ~prune
         rule: list[tuple[Test, int]] = []
+        seed = None
         covered = grow
         while len(rule) < most_tests and covered & ~bad:
             p0, n0 = (covered & bad).bit_count(), covered.bit_count()
@@ -161,9 +176,11 @@ def learn_list(rows: list[tuple[list[float], bool]], precision: float = 0.95, mo
             best = max(
                 (((p := (c := covered & mask) & bad).bit_count() * (math.log2(p.bit_count() / c.bit_count()) - math.log2(p0 / n0)) if covered & mask & bad else 0.0), -k)
                 for k, (_, mask) in enumerate(tests)
+                if rule or k not in barred
             )
             if best[0] <= 1e-9:
                 break
+            seed = -best[1] if seed is None else seed
             rule.append(tests[-best[1]])
             covered &= rule[-1][1]
 
@@ -179,23 +196,34 @@ def learn_list(rows: list[tuple[list[float], bool]], precision: float = 0.95, mo
         covered = left
         for _, mask in rule:
             covered &= mask
-        held, own = covered & prune, covered.bit_count()
-        exact = lambda s: (s & bad).bit_count() / max(s.bit_count(), 1)
-        if not rule or own < support or exact(covered) < precision or (held and exact(held) < precision):
+        if not rule:
             break
+        unseen, own = covered & prune, covered.bit_count()
+        exact = lambda s: (s & bad).bit_count() / max(s.bit_count(), 1)
+        sure = least_share((covered & bad).bit_count(), own) >= BOUND
+        if own < support or not sure or exact(covered) < precision or (unseen and exact(unseen) < precision):
+            barred.add(seed)
+            continue
         out.append([t for t, _ in rule])
         left &= ~covered
     return out
 
 
 def learn_terms(labelled: DataFrame) -> list[str]:
-    """Words that occur in many toxic rows and in next to no others: at most MAX_TERMS."""
-    seen = labelled.select("toxic", F.explode(F.array_distinct(F.transform(words(F.coalesce("text", F.lit(""))), lambda w: F.lower(F.btrim(w, F.lit(MARKS)))))).alias("term"))
-    counts = seen.filter("term <> ''").groupBy("term").agg(F.sum("toxic").alias("hits"), F.count(F.lit(1)).alias("n"))
-    total = labelled.agg(F.sum("toxic")).first()[0] or 0
-    least = max(5, total // 100)
-    found = counts.filter((F.col("hits") >= least) & (F.col("hits") >= 0.95 * F.col("n"))).orderBy(F.desc("hits"), "term").limit(MAX_TERMS)
-    return [r["term"] for r in found.collect()]
+    """Words that occur in many toxic rows and in next to no others: at most MAX_TERMS.
+
+    They are found among the rows that aren't ``held``; those that held rows speak against are dropped again.
+    """
+    plain = F.array_distinct(F.transform(words(F.coalesce("text", F.lit(""))), lambda w: F.lower(F.btrim(w, F.lit(MARKS)))))
+    seen = labelled.select(F.col("toxic") == 1, "held", F.explode(plain).alias("term")).toDF("toxic", "held", "term").filter("term <> ''")
+    counts = seen.groupBy("term").agg(F.expr("count_if(toxic and not held) as hits"), F.expr("count_if(not held) as n"), F.expr("count_if(toxic and held) as held_hits"), F.expr("count_if(held) as held_n"))
+    total, rows = labelled.filter(~F.col("held")).agg(F.coalesce(F.sum("toxic"), F.lit(0)), F.count(F.lit(1))).first()
+    if not 0 < total < rows:
+        return []
+    # Hits that all lie in toxic rows by chance: (total / rows) ** hits.
+    least = max(5, total // 100, math.ceil(math.log(TERMS_TESTED / 0.05) / math.log(rows / total)))
+    found = counts.filter((F.col("hits") >= least) & (F.col("hits") >= 0.95 * F.col("n")) & (F.col("held_hits") >= 0.95 * F.col("held_n")))
+    return [r["term"] for r in found.orderBy(F.desc("hits"), "term").limit(MAX_TERMS).collect()]
 
 
 def learn(docs: DataFrame, labels: DataFrame, max_rows: int = MAX_TRAIN_ROWS) -> tuple[list[str], list[list[Test]]]:
@@ -204,10 +232,10 @@ def learn(docs: DataFrame, labels: DataFrame, max_rows: int = MAX_TRAIN_ROWS) ->
     sample = marked.orderBy(F.xxhash64(F.lit("rules"), "doc_id"), "doc_id").limit(max_rows)
     # max_rows rows of 24 bytes: bounded, whatever the input.
     labelled = docs.select("doc_id", "text").join(F.broadcast(sample), "doc_id")
-    # A third prunes: neither terms nor tests are learned from it.
-    held = F.pmod(F.xxhash64(F.lit("prune"), "doc_id"), F.lit(3)) == 0
-    terms = learn_terms(labelled.filter(~held))
-    rows = statistics(labelled, terms).select("doc_id", "quality", "toxic", held.alias("held"), *FEATURES).orderBy("doc_id", *FEATURES).collect()
+    # A third prunes: neither terms nor tests are found in it.
+    labelled = labelled.withColumn("held", F.pmod(F.xxhash64(F.lit("prune"), "doc_id"), F.lit(3)) == 0)
+    terms = learn_terms(labelled)
+    rows = statistics(labelled, terms).select("doc_id", "quality", "toxic", "held", *FEATURES).orderBy("doc_id", *FEATURES).collect()
     bad = lambda r: r["quality"] == 0 or r["toxic"] == 1
     return terms, learn_list([([float(r[f]) for f in FEATURES], bad(r)) for r in rows], held=[r["held"] for r in rows])
 
