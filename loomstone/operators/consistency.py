@@ -5,9 +5,9 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from loomstone.operators.textflow import tokens
-
 from loomstone.functions.dates import COURSE_DAY, off_cadence, weekday_name
+from loomstone.operators import ordered
+from loomstone.operators.textflow import tokens
 
 #: Days off from which an anomaly in a neighbour's month is a slip of the year.
 YEAR_SLIP = 300
@@ -75,10 +75,9 @@ def divergence(rows: DataFrame, least: int = 2) -> DataFrame:
 def neighbour_anomalies(seq: DataFrame, part: list[str] | None = None) -> DataFrame:
     """Dates out of order with both neighbours, from (n, d): (n, d, prev, next, off_by, kind).
 
-    ``part`` names columns that split the sequence; rows without date are left out.
+    ``part`` names columns that split the sequence; without it, it is one sequence, scanned by ranges. Rows without date are left out.
     """
-    order = Window.partitionBy(*(part or [])).orderBy("n")
-    around = seq.filter("d is not null and n is not null").withColumns({"prev": F.lag("d").over(order), "next": F.lead("d").over(order)})
+    around = nearest_dated(seq.filter("d is not null and n is not null"), part).withColumnsRenamed({"lo": "prev", "hi": "next"})
     odd = around.filter("prev is not null and next is not null and prev <= next and not (d between prev and next)")
     off = F.least(F.abs(F.datediff("d", "prev")), F.abs(F.datediff("d", "next")))
     month = (F.month("d") == F.month("prev")) | (F.month("d") == F.month("next"))
@@ -93,8 +92,10 @@ def _around(part: list[str]) -> tuple[Window, Window]:
 
 
 def nearest_dated(seq: DataFrame, part: list[str] | None = None) -> DataFrame:
-    """``seq`` with ``lo`` and ``hi``: the nearest dates before and after, the row itself left out."""
-    before, after = _around(part or [])
+    """``seq`` with ``lo`` and ``hi``: the nearest dates before and after, the row itself left out; without ``part`` along one order, by ranges."""
+    if not part:
+        return ordered.nearest(seq, ["n"], "d")
+    before, after = _around(part)
     return seq.withColumns({"lo": F.last("d", ignorenulls=True).over(before), "hi": F.first("d", ignorenulls=True).over(after)})
 
 
@@ -219,7 +220,7 @@ def capture_schedule(refs: DataFrame, window_days: float, cap: int) -> DataFrame
     """
     wanted = F.when(F.col("age").isNull(), F.lit("lookup")).when(F.col("official") & (F.col("age") > window_days), F.lit("recapture")).otherwise(F.lit("skip"))
     rows = refs.withColumn("wanted", wanted)
-    saves = rows.filter("wanted <> 'skip'").withColumn("k", F.row_number().over(Window.orderBy("pos", "url")))
+    saves = ordered.numbered(rows.filter("wanted <> 'skip'"), ["pos", "url"], "k")
     late = saves.select("*", F.when(F.col("k") > cap, F.lit("defer")).otherwise(F.col("wanted")).alias("decision")).drop("k", "wanted")
     return late.unionByName(rows.filter("wanted = 'skip'").withColumnRenamed("wanted", "decision"))
 

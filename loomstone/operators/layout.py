@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from loomstone.functions.dates import decade, round1
+from loomstone.operators import ordered
 
 #: Empty decades in a row from which they become one break.
 COLLAPSE = 2
@@ -99,9 +100,10 @@ def numbers_chart(points: DataFrame) -> DataFrame:
 
 def decade_headers(events: DataFrame) -> DataFrame:
     """``events`` in order of year and date with ``header``: the decade where it changes."""
-    order = Window.orderBy("year", F.coalesce("date", F.lit("")), "id")
     now = decade(F.col("year"))
-    return events.withColumn("header", F.when(~F.lag(now).over(order).eqNullSafe(now), F.concat(now.cast("string"), F.lit("s"))))
+    rows = ordered.previous(events.withColumn("_day", F.coalesce("date", F.lit(""))), ["year", "_day", "id"], now, "_before")
+    header = F.when(~F.col("_before").eqNullSafe(now), F.concat(now.cast("string"), F.lit("s")))
+    return rows.select(*events.columns, header.alias("header"))
 
 
 def intensity(total: Column, largest: Column) -> Column:

@@ -5,16 +5,16 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from loomstone.functions.dates import TEXT_YEAR
 from loomstone.functions.fold import deaccent, fold_key, paren_terms, search_variants
+from loomstone.operators import ordered
 
-# Keys of a dataset's description that may hold names of its subject, keys whose text may name it in parentheses, and a title's suffix that is no name.
+# Keys of a dataset's description that may hold names of its subject, and keys whose text may name it in parentheses.
 NAME_KEYS = ["title", "shortTitle", "shortName", "altTitle", "altTitles", "altNames", "alternateNames", "otherNames", "aka", "nativeName", "names"]
 PROSE_KEYS = ["subtitle", "description"]
-TITLE_SUFFIX = "cronologia"
 
 
 def cite(rows: DataFrame, refs: DataFrame) -> DataFrame:
@@ -22,7 +22,7 @@ def cite(rows: DataFrame, refs: DataFrame) -> DataFrame:
 
     ``refs`` has (id, pos); numbers go by ``pos``.
     """
-    numbered = refs.withColumn("number", F.row_number().over(Window.orderBy("pos"))).select("id", "number")
+    numbered = ordered.numbered(refs, ["pos", "id"], "number").select("id", "number")
     cited = rows.select("locator", F.posexplode("sources").alias("pos", "source")).join(numbered, F.col("source") == F.col("id"), "left")
     mark = F.coalesce(F.col("number").cast("string"), F.when(F.col("source").rlike(r"^https?://"), F.lit("web")))
     return cited.select("locator", "pos", mark.alias("mark")).filter("mark is not null")
@@ -58,11 +58,11 @@ def dedupe(rows: DataFrame, value: str, pos: str) -> DataFrame:
     return rows.withColumn("_k", fold_key(F.col(value))).groupBy("_k").agg(F.min_by(value, pos).alias(value), F.min(pos).alias(pos)).drop("_k")
 
 
-def subject_names(meta: DataFrame) -> DataFrame:
+def subject_names(meta: DataFrame, suffix: str = "") -> DataFrame:
     """(repo, name, pos): search forms of the naming keys, then terms in parentheses of subtitle and description.
 
     Values are strings or lists of them. Of names that differ in accents, case
-    or spaces alone the first stays; the suffix of titles is no name.
+    or spaces alone the first stays; ``suffix``, in lower case, is what titles end in and no name.
     """
     none = F.expr("cast(array() as array<string>)")
 
@@ -74,7 +74,7 @@ def subject_names(meta: DataFrame) -> DataFrame:
     terms = [F.flatten(F.transform(strings(k), paren_terms)) for k in PROSE_KEYS if k in meta.columns]
     squeezed = F.transform(F.flatten(F.array(none, *forms, *terms)), lambda x: F.trim(F.regexp_replace(x, r"(?U)\s+", " ")))
     rows = meta.select("repo", squeezed.alias("names")).withColumn("keys", F.transform("names", lambda x: F.lower(deaccent(x))))
-    first = F.filter(F.sequence(F.lit(1), F.size("keys")), lambda i: (i <= F.size("keys")) & (F.array_position("keys", F.try_element_at("keys", i)) == i) & ~F.try_element_at("keys", i).isin("", TITLE_SUFFIX))
+    first = F.filter(F.sequence(F.lit(1), F.size("keys")), lambda i: (i <= F.size("keys")) & (F.array_position("keys", F.try_element_at("keys", i)) == i) & ~F.try_element_at("keys", i).isin("", suffix))
     return rows.select("repo", F.posexplode(F.transform(first, lambda i: F.element_at("names", i))).alias("pos", "name"))
 
 

@@ -47,45 +47,37 @@ def d07(spark, sf):
     return _orders(spark, sf).select("n", dates.age_days(stamp, F.lit("2002-01-01").cast("timestamp")).alias("age"))
 
 
-#: The sequence is split by customer group, so that no task holds it whole.
-_PART = ["p"]
-
-
-def _sequence(spark, sf):
-    return _orders(spark, sf).withColumn("p", F.pmod("o_custkey", F.lit(64)).cast("int"))
-
-
-_SEQ = "SELECT o_orderkey AS n, CAST(o_orderdate AS DATE) AS d, o_custkey % 64 AS p FROM orders"
+_SEQ = "SELECT o_orderkey AS n, CAST(o_orderdate AS DATE) AS d FROM orders"
 
 
 @query(
     "w01_date_anomaly",
     f"""
-WITH s AS ({_SEQ}), a AS (SELECT *, lag(d) OVER (PARTITION BY p ORDER BY n) AS prev, lead(d) OVER (PARTITION BY p ORDER BY n) AS next FROM s),
+WITH s AS ({_SEQ}), a AS (SELECT *, lag(d) OVER (ORDER BY n) AS prev, lead(d) OVER (ORDER BY n) AS next FROM s),
      o AS (SELECT *, least(abs(datediff('day', prev, d)), abs(datediff('day', next, d))) AS off FROM a WHERE prev <= next AND NOT (d BETWEEN prev AND next))
 SELECT n, off AS off_by, CASE WHEN off >= 300 AND (month(d) = month(prev) OR month(d) = month(next)) THEN 'probable-year-typo' ELSE 'ordering-anomaly' END AS kind FROM o""",
 )
 def w01(spark, sf):
-    return consistency.neighbour_anomalies(_sequence(spark, sf), _PART).select("n", F.col("off_by").cast("long").alias("off_by"), "kind")
+    return consistency.neighbour_anomalies(_orders(spark, sf)).select("n", F.col("off_by").cast("long").alias("off_by"), "kind")
 
 
 _WITNESS = f"""
-WITH s AS (SELECT n, p, CASE WHEN n % 5 = 0 THEN NULL ELSE d END AS d, d + CAST(CASE WHEN n % 3 = 0 THEN 400 WHEN n % 3 = 1 THEN -7 ELSE 0 END AS INTEGER) AS i, CASE WHEN n % 2 = 0 THEN d END AS f FROM ({_SEQ})),
-     w AS (SELECT *, last_value(d IGNORE NULLS) OVER (PARTITION BY p ORDER BY n ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS lo,
-                  first_value(d IGNORE NULLS) OVER (PARTITION BY p ORDER BY n ROWS BETWEEN 1 FOLLOWING AND UNBOUNDED FOLLOWING) AS hi FROM s),
+WITH s AS (SELECT n, CASE WHEN n % 5 = 0 THEN NULL ELSE d END AS d, d + CAST(CASE WHEN n % 3 = 0 THEN 400 WHEN n % 3 = 1 THEN -7 ELSE 0 END AS INTEGER) AS i, CASE WHEN n % 2 = 0 THEN d END AS f FROM ({_SEQ})),
+     w AS (SELECT *, last_value(d IGNORE NULLS) OVER (ORDER BY n ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS lo,
+                  first_value(d IGNORE NULLS) OVER (ORDER BY n ROWS BETWEEN 1 FOLLOWING AND UNBOUNDED FOLLOWING) AS hi FROM s),
      j AS (SELECT *, coalesce(lo <= hi AND d BETWEEN lo AND hi, false) AS h_fits, coalesce(lo <= hi AND i BETWEEN lo AND hi, false) AS i_fits FROM w),
      v AS (SELECT *, CASE WHEN h_fits AND NOT i_fits THEN 'header' WHEN i_fits AND NOT h_fits THEN 'index' ELSE 'undecided' END AS verdict FROM j)"""
 
 
 def _witnesses(spark, sf):
-    seq = _sequence(spark, sf)
+    seq = _orders(spark, sf)
     moved = F.date_add("d", F.when(F.col("n") % 3 == 0, 400).when(F.col("n") % 3 == 1, -7).otherwise(0))
-    return seq.select("n", "p", F.when(F.col("n") % 5 != 0, F.col("d")).alias("d"), moved.alias("index_d"), F.when(F.col("n") % 2 == 0, F.col("d")).alias("files"))
+    return seq.select("n", F.when(F.col("n") % 5 != 0, F.col("d")).alias("d"), moved.alias("index_d"), F.when(F.col("n") % 2 == 0, F.col("d")).alias("files"))
 
 
 @query("j09_adjudicate", f"{_WITNESS} SELECT n, verdict FROM v")
 def j09(spark, sf):
-    return consistency.adjudicate(_witnesses(spark, sf), _PART).select("n", "verdict")
+    return consistency.adjudicate(_witnesses(spark, sf)).select("n", "verdict")
 
 
 @query(
@@ -95,13 +87,13 @@ def j09(spark, sf):
 FROM v WHERE d IS NOT NULL AND d <> i""",
 )
 def j10(spark, sf):
-    rows = consistency.compare_witnesses(_witnesses(spark, sf), ["files"], _PART)
+    rows = consistency.compare_witnesses(_witnesses(spark, sf), ["files"])
     return rows.select("n", F.col("off_by").cast("long").alias("off_by"), "verdict", "files_matches", "on_cadence")
 
 
 @query("a22_verdict_tally", f"{_WITNESS} SELECT verdict, count(*) AS rows FROM v WHERE d IS NOT NULL AND d <> i GROUP BY 1")
 def a22(spark, sf):
-    return consistency.compare_witnesses(_witnesses(spark, sf), ["files"], _PART).groupBy("verdict").agg(F.count(F.lit(1)).alias("rows"))
+    return consistency.compare_witnesses(_witnesses(spark, sf), ["files"]).groupBy("verdict").agg(F.count(F.lit(1)).alias("rows"))
 
 
 @query(
@@ -111,7 +103,7 @@ SELECT n, CASE WHEN isodow(d) <> 6 THEN 'header' ELSE 'candidate' END AS kind, [
 FROM s WHERE isodow(d) <> 6 OR isodow(c) <> 6""",
 )
 def p17(spark, sf):
-    docs = _sequence(spark, sf).select(F.col("n").alias("id"), "n", F.when(F.col("n") % 4 != 0, F.col("d")).alias("d"), F.date_add("d", 1).alias("candidate"))
+    docs = _orders(spark, sf).select(F.col("n").alias("id"), "n", F.when(F.col("n") % 4 != 0, F.col("d")).alias("d"), F.date_add("d", 1).alias("candidate"))
     return consistency.cadence(docs).select("n", "kind", "weekday")
 
 

@@ -148,8 +148,8 @@ def u05(spark, sf):
 
 @query("p22_subject_names", "SELECT r_name AS repo, unnest([r_name || ' Studies', 'RS', r_name, 'OLD']) AS name FROM region")
 def p22(spark, sf):
-    meta = load(spark, sf, "region").select(F.col("r_name").alias("repo"), F.concat("r_name", F.lit(" Studies (RS)")).alias("title"), F.array(F.concat(F.upper("r_name"), F.lit("  STUDIES")), F.lit("Cronologia")).alias("altTitles"), F.concat(F.lit("About ("), "r_name", F.lit(") and (OLD, not)")).alias("description"))
-    return vocabulary.subject_names(meta).select("repo", "name")
+    meta = load(spark, sf, "region").select(F.col("r_name").alias("repo"), F.concat("r_name", F.lit(" Studies (RS)")).alias("title"), F.array(F.concat(F.upper("r_name"), F.lit("  STUDIES")), F.lit("Timeline")).alias("altTitles"), F.concat(F.lit("About ("), "r_name", F.lit(") and (OLD, not)")).alias("description"))
+    return vocabulary.subject_names(meta, "timeline").select("repo", "name")
 
 
 @query("v06_lineage", "SELECT 'V06' AS rule, 'error' AS severity, n_name AS locator, 'unknown edge' AS message FROM nation WHERE n_nationkey % 7 = 0")
