@@ -3,7 +3,8 @@
 from __future__ import annotations
 
 import re
-from dataclasses import dataclass, field
+from collections.abc import Callable
+from dataclasses import dataclass, field, replace
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame
@@ -21,9 +22,15 @@ SNIPPET = 18
 
 @dataclass(frozen=True)
 class Phrase:
+    """Words in a row; ``columns`` are those in which they count, None for all."""
+
     words: tuple[str, ...]
     prefix: bool = False
     initial: bool = False
+    columns: tuple[str, ...] | None = None
+
+    def within(self, column: str) -> bool:
+        return self.columns is None or column.lower() in self.columns
 
 
 @dataclass(frozen=True)
@@ -46,10 +53,23 @@ def _fold(text: str) -> list[str]:
     return [w for w in re.split(r"[\W_]+", plain) if w]
 
 
-def parse(query: str) -> Phrase | Node:
-    """The tree of a query: phrases, ``AND``, ``OR``, ``NOT``, ``NEAR(..., n)``, ``prefix*``, ``^first`` and parentheses."""
-    marks = re.findall(r'"(?:[^"]|"")*"|[()*^,+]|[^\s()"*^,+]+', query)
+def restricted(tree: Phrase | Node, columns: tuple[str, ...]) -> Phrase | Node:
+    """The tree with all its phrases in ``columns`` alone; a filter within a filter leaves what both allow."""
+    if isinstance(tree, Phrase):
+        return replace(tree, columns=tuple(c for c in columns if tree.within(c)))
+    return replace(tree, parts=tuple(restricted(p, columns) for p in tree.parts))
+
+
+def parse(query: str, columns: tuple[str, ...] = ()) -> Phrase | Node:
+    """The tree of a query: phrases, ``AND``, ``OR``, ``NOT``, ``NEAR(..., n)``, ``prefix*``, ``^first``, parentheses and column filters.
+
+    A filter ``name :``, ``{a b} :``, or one of these after ``-`` for all others,
+    stands before a phrase, a NEAR or a parenthesis; ``columns`` are the names
+    there are.
+    """
+    marks = re.findall(r'"(?:[^"]|"")*"|[(){}:*^,+]|-(?=\s*(?:\{|[^\s(){}:"*^,+-]+\s*:))|[^\s(){}:"*^,+]+', query)
     at = 0
+    known = tuple(c.lower() for c in columns)
 
     def peek() -> str | None:
         return marks[at] if at < len(marks) else None
@@ -66,7 +86,7 @@ def parse(query: str) -> Phrase | Node:
         words: list[str] = []
         while True:
             mark = take()
-            if mark in "()*^,+":
+            if mark in "(){}:*^,+":
                 raise QueryError(f"unexpected {mark!r} in {query!r}")
             words += _fold(mark.strip('"') if mark[0] == '"' else mark)
             if peek() != "+":
@@ -77,7 +97,33 @@ def parse(query: str) -> Phrase | Node:
             raise QueryError(f"a term without letters or digits in {query!r}")
         return Phrase(tuple(words), prefix, initial)
 
+    def names() -> tuple[str, ...] | None:
+        """The columns of a filter that begins here, if one does."""
+        nonlocal at
+        start, others = at, peek() == "-"
+        if others:
+            take()
+        if peek() == "{":
+            take()
+            found = []
+            while peek() not in ("}", None):
+                found.append(take().strip('"').lower())
+            take("}")
+            take(":")
+        elif at + 1 < len(marks) and marks[at + 1] == ":":
+            found = [take().strip('"').lower()]
+            take(":")
+        else:
+            at = start
+            return None
+        if missing := [c for c in found if c not in known]:
+            raise QueryError(f"no column {missing[0]!r} for {query!r}")
+        return tuple(c for c in known if (c in found) != others)
+
     def unit():
+        columns = names()
+        if columns is not None:
+            return restricted(unit(), columns)
         if peek() == "(":
             take()
             inner = either()
@@ -132,9 +178,9 @@ def phrases(tree: Phrase | Node) -> list[Phrase]:
     return list(dict.fromkeys(p for part in tree.parts for p in phrases(part)))
 
 
-def postings(df: DataFrame, key: str, text: str = "text") -> DataFrame:
+def postings(df: DataFrame, key: str | list[str], text: str = "text") -> DataFrame:
     """(key, token, pos): one row for each word of each text."""
-    return df.select(key, F.posexplode(tokens(F.coalesce(F.col(text), F.lit("")))).alias("pos", "token"))
+    return df.select(*([key] if isinstance(key, str) else key), F.posexplode(tokens(F.coalesce(F.col(text), F.lit("")))).alias("pos", "token"))
 
 
 def phrase_positions(text: Column, phrase: Phrase) -> Column:
@@ -145,46 +191,118 @@ def phrase_positions(text: Column, phrase: Phrase) -> Column:
     return F.regexp_count(padded, F.lit(pattern))
 
 
-def _near(text: Column, node: Node) -> Column:
-    """All phrases of a NEAR group within its distance, in any order of two neighbours."""
-    padded = F.concat(F.lit(" "), F.array_join(tokens(text), " "), F.lit(" "))
-    gap = rf"(?:[^ ]+ ){{0,{node.distance}}}"
-    words = [" ".join(map(re.escape, p.words)) + ("[^ ]*" if p.prefix else "") for p in node.parts]
-    pairs = [padded.rlike(rf" {a} {gap}{b} ") | padded.rlike(rf" {b} {gap}{a} ") for a, b in zip(words, words[1:])]
-    return reduce(lambda x, y: x & y, pairs, F.lit(True))
+def phrase_starts(words: Column, phrase: Phrase) -> Column:
+    """Places, from 0, at which a phrase starts in a list of folded words that is a lambda variable or a plain column."""
+
+    def here(i: Column) -> Column:
+        last = len(phrase.words) - 1
+        parts = [F.try_element_at(words, i + k) == w if k < last or not phrase.prefix else F.try_element_at(words, i + k).startswith(w) for k, w in enumerate(phrase.words)]
+        return reduce(lambda x, y: x & y, [F.coalesce(p, F.lit(False)) for p in parts])
+
+    places = F.sequence(F.lit(1), F.lit(1)) if phrase.initial else F.sequence(F.lit(1), F.greatest(F.size(words), F.lit(1)))
+    return F.transform(F.filter(places, here), lambda i: (i - 1).cast("long"))
+
+
+def near(starts: list[Column], sizes: list[int], distance: int) -> Column:
+    """Whether an occurrence of each phrase lies in one stretch: ``distance`` words at most from the end of each to the start of the last.
+
+    ``starts`` are places in ascending or any order. One fold over all
+    occurrences in order keeps the last place of each phrase, so it costs in
+    proportion to their number; the smallest stretch that ends at an occurrence
+    begins at these.
+    """
+    events = F.array_sort(F.concat(*[F.transform(s, lambda p: F.struct(p.alias("at"), F.lit(i).alias("phrase"))) for i, s in enumerate(starts)]))  # noqa: B023
+    zero = F.struct(*[F.lit(None).cast("long").alias(f"l{i}") for i in range(len(starts))], F.lit(False).alias("hit"))
+
+    def step(state: Column, e: Column) -> Column:
+        last = [F.when(e["phrase"] == i, e["at"]).otherwise(state[f"l{i}"]) for i in range(len(starts))]
+        fits = reduce(lambda x, y: x & y, [F.coalesce(e["at"] - p <= n + distance, F.lit(False)) for p, n in zip(last, sizes, strict=True)])
+        return F.struct(*[p.alias(f"l{i}") for i, p in enumerate(last)], (state["hit"] | fits).alias("hit"))
+
+    return F.aggregate(events, zero, step, lambda s: s["hit"])
+
+
+#: Places of different columns are so far apart that no NEAR spans them.
+COLUMN_STEP = 1 << 40
+
+
+def text_near(texts: dict[str, Column]) -> Callable[[Node], Column]:
+    """The test of a NEAR node over the texts of named columns."""
 
+    def test(node: Node) -> Column:
+        def over(words: Column) -> Column:
+            starts = []
+            for p in node.parts:
+                own = [F.transform(phrase_starts(words[k], p), lambda i: i + k * COLUMN_STEP) for k, c in enumerate(texts) if p.within(c)]  # noqa: B023
+                starts.append(F.concat(*own) if own else F.expr("cast(array() as array<bigint>)"))
+            return near(starts, [len(p.words) for p in node.parts], node.distance)
 
-def matches(tree: Phrase | Node, found: dict[Phrase, Column], text: Column) -> Column:
-    """The boolean of a tree over the counts of its phrases."""
+        return F.element_at(F.transform(F.array(F.array(*[tokens(F.coalesce(t, F.lit(""))) for t in texts.values()])), over), 1)
+
+    return test
+
+
+def matches(tree: Phrase | Node, found: dict[Phrase, Column], near: Callable[[Node], Column] | None = None) -> Column:
+    """The boolean of a tree over the counts of its phrases; ``near`` tests a NEAR node."""
     if isinstance(tree, Phrase):
         return found[tree] > 0
     if tree.kind == "NEAR":
-        return _near(text, tree)
-    parts = [matches(p, found, text) for p in tree.parts]
+        return near(tree)
+    parts = [matches(p, found, near) for p in tree.parts]
     if tree.kind == "NOT":
         return parts[0] & ~parts[1]
     return reduce((lambda x, y: x & y) if tree.kind == "AND" else (lambda x, y: x | y), parts)
 
 
-def bm25(df: DataFrame, tree: Phrase | Node | str, text: str = "text") -> DataFrame:
+def scored(tree: Phrase | Node, test: Callable[[Phrase | Node], Column], active: Column | None = None, sure: bool = True) -> list[tuple[Phrase, Column | None]]:
+    """The phrases that count for the score of a matching row, one for each place in the query, each with its condition if it has one.
+
+    A phrase counts where all that encloses it matches: within an OR, a branch
+    that doesn't match adds nothing. What stands right of NOT never counts.
+    """
+    if isinstance(tree, Phrase):
+        return [(tree, active)]
+    if tree.kind == "OR":
+        return [x for p in tree.parts for x in scored(p, test, active, False)]
+    if not sure:
+        active = test(tree) if active is None else active & test(tree)
+    parts = tree.parts[:1] if tree.kind == "NOT" else tree.parts
+    return [x for p in parts for x in scored(p, test, active, True)]
+
+
+def rank(counts: dict[Phrase, Column], parts: list[tuple[Phrase, Column | None]], df: dict[Phrase, Column], rows: Column, length: Column, mean: Column) -> Column:
+    """The BM25 of a row from the counts of its phrases and the statistics of all rows."""
+
+    def part(p: Phrase, active: Column | None) -> Column:
+        idf = F.greatest(F.ln((rows - df[p] + 0.5) / (df[p] + 0.5)), F.lit(LEAST_IDF))
+        tf = counts[p].cast("double")
+        value = idf * tf * (K1 + 1) / (tf + K1 * (1 - B + B * length / mean))
+        return value if active is None else F.when(active, value).otherwise(F.lit(0.0))
+
+    return reduce(lambda x, y: x + y, [part(p, active) for p, active in parts])
+
+
+def bm25(df: DataFrame, tree: Phrase | Node | str, text: str | list[str] = "text") -> DataFrame:
     """Rows of ``df`` that match, with ``score``: the BM25 of all phrases of the query, higher is better.
 
-    One pass counts the phrases of each text; the statistics are one row, which
-    joins back by a broadcast of that row.
+    ``text`` names one column or several, which filters of the query may name;
+    a row's length is that of all of them. All occurrences of a phrase in a NEAR
+    that matches count, those beside the stretch too. One pass counts the phrases of each text; the
+    statistics are one row, which joins back by a broadcast of that row.
     """
-    tree = parse(tree) if isinstance(tree, str) else tree
+    columns = [text] if isinstance(text, str) else text
+    tree = parse(tree, tuple(columns)) if isinstance(tree, str) else tree
     wanted = phrases(tree)
-    body = F.coalesce(F.col(text), F.lit(""))
-    counted = df.withColumns({f"_tf{i}": phrase_positions(body, p) for i, p in enumerate(wanted)} | {"_len": F.size(tokens(body))})
+    texts = {c: F.coalesce(F.col(c), F.lit("")) for c in columns}
+    total = lambda parts: reduce(lambda x, y: x + y, parts, F.lit(0))
+    counts = {f"_tf{i}": total([phrase_positions(t, p) for c, t in texts.items() if p.within(c)]) for i, p in enumerate(wanted)}
+    counted = df.withColumns(counts | {"_len": total([F.size(tokens(t)) for t in texts.values()])})
     stats = counted.agg(F.count(F.lit(1)).alias("_n"), F.avg("_len").alias("_avg"), *[F.count_if(F.col(f"_tf{i}") > 0).alias(f"_df{i}") for i in range(len(wanted))])
 
-    def part(i: int) -> Column:
-        idf = F.greatest(F.ln((F.col("_n") - F.col(f"_df{i}") + 0.5) / (F.col(f"_df{i}") + 0.5)), F.lit(LEAST_IDF))
-        tf = F.col(f"_tf{i}").cast("double")
-        return idf * tf * (K1 + 1) / (tf + K1 * (1 - B + B * F.col("_len") / F.col("_avg")))
-
-    score = reduce(lambda x, y: x + y, [part(i) for i in range(len(wanted))])
-    hit = matches(tree, {p: F.col(f"_tf{i}") for i, p in enumerate(wanted)}, body)
+    found = {p: F.col(f"_tf{i}") for i, p in enumerate(wanted)}
+    test = lambda node: matches(node, found, text_near(texts))
+    score = rank(found, scored(tree, test), {p: F.col(f"_df{i}") for i, p in enumerate(wanted)}, F.col("_n"), F.col("_len"), F.col("_avg"))
+    hit = test(tree)
     return counted.filter(hit).join(F.broadcast(stats)).withColumn("score", score).select(*df.columns, "score")
 
 
@@ -275,3 +393,46 @@ def snippet(text: Column, phrase: Phrase, width: int = SNIPPET) -> Column:
 
     words = F.filter(F.split(text, r"[^\p{L}\p{N}\p{Co}]+"), lambda w: w != "")
     return F.element_at(F.transform(F.array(F.struct(words.alias("shown"))), shown), 1)
+
+
+def best_snippet(text: Column, wanted: list[Phrase], width: int = SNIPPET) -> Column:
+    """The ``width`` words with most distinct phrases, then most occurrences, the first such; each occurrence in brackets.
+
+    A window is tried from each occurrence, and then moved so that what it holds
+    stands in its middle, within the text. Overlapping occurrences share their
+    brackets; a text without any gives its beginning.
+    """
+
+    def shown(x: Column) -> Column:
+        return F.element_at(F.transform(F.array(F.transform(x["shown"], lambda w: F.lower(deaccent(w)))), lambda y: placed(x["shown"], y)), 1)
+
+    def placed(raw: Column, folded: Column) -> Column:
+        own = [F.transform(phrase_starts(folded, p), lambda i: F.struct(i.cast("int").alias("at"), F.lit(k).alias("phrase"), F.lit(len(p.words)).alias("size"))) for k, p in enumerate(wanted)]  # noqa: B023
+        none = F.expr("cast(array() as array<struct<at: int, phrase: int, size: int>>)")
+        return F.element_at(F.transform(F.array(F.array_sort(F.concat(none, *own))), lambda hits: window(raw, hits)), 1)
+
+    def window(raw: Column, hits: Column) -> Column:
+        def rated(h: Column) -> Column:
+            held = F.filter(hits, lambda o: (o["at"] >= h["at"]) & (o["at"] < h["at"] + width))
+            distinct = F.size(F.array_distinct(F.transform(held, lambda o: o["phrase"])))
+            last = F.array_max(F.transform(held, lambda o: o["at"] + o["size"]))
+            return F.struct(distinct.alias("distinct"), F.size(held).alias("n"), (-h["at"]).alias("first"), last.alias("last"))
+
+        best = F.array_max(F.transform(hits, rated))
+        middle = F.coalesce(-best["first"] - F.floor((width - (best["last"] + best["first"])) / 2), F.lit(0))
+        start = F.greatest(F.least(middle, F.size(raw) - width), F.lit(0)).cast("int")
+        return F.element_at(F.transform(F.array(start), lambda s: drawn(raw, hits, s)), 1)
+
+    def drawn(raw: Column, hits: Column, start: Column) -> Column:
+        def word(w: Column, k: Column) -> Column:
+            i = start + k
+            opens = F.exists(hits, lambda o: o["at"] == i) & ~F.exists(hits, lambda o: (o["at"] < i) & (i < o["at"] + o["size"]))
+            ends = F.exists(hits, lambda o: o["at"] + o["size"] - 1 == i) & ~F.exists(hits, lambda o: (o["at"] <= i) & (i + 1 < o["at"] + o["size"]))
+            return F.concat(F.when(opens, "[").otherwise(""), w, F.when(ends, "]").otherwise(""))
+
+        dots = lambda test: F.when(test, F.lit("…"))
+        words = F.array_join(F.transform(F.slice(raw, start + 1, F.lit(width)), word), " ")
+        return F.concat_ws(" ", dots(start > 0), words, dots(start + width < F.size(raw)))
+
+    words = F.filter(F.split(text, r"[^\p{L}\p{N}\p{Co}]+"), lambda w: w != "")
+    return F.element_at(F.transform(F.array(F.struct(words.alias("shown"))), shown), 1)

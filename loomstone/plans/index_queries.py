@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from loomstone.operators import index
+from loomstone.operators import index, search
 from loomstone.plans.base import query, words_sql
 from loomstone.session import Scratch, load
 from loomstone.sources.sinks import write_index
@@ -38,12 +38,15 @@ def _ranked(wanted: list[str], where: str, most: int) -> str:
 SELECT doc_id, CAST("offset" AS BIGINT) AS "offset", lang, review, round({score}, 9) AS score FROM c JOIN d USING (doc_id), z WHERE {where} ORDER BY {score} DESC, doc_id, "offset" LIMIT {most}"""
 
 
-def build(spark, sf) -> str:
-    """Write the index of the documents into the shared folder, and give its path."""
+def build(spark, sf, title: bool = False) -> str:
+    """Write the index of the documents into the shared folder, and give its path; a title is a text's first four words."""
     review = F.when(F.col("quality") == 1, F.lit("reviewed")).when(F.col("quality") == 0, F.lit("rejected"))
     docs = load(spark, sf, "documents").select("doc_id", "text", "lang").join(load(spark, sf, "labels").select("doc_id", review.alias("review")), "doc_id", "left")
     path = Scratch(spark, "index").root
-    write_index(docs, path, "lang")
+    if title:
+        write_index(docs.withColumn("name", F.substring_index("text", " ", 4)), path, "lang", "name")
+    else:
+        write_index(docs, path, "lang")
     return path
 
 
@@ -56,6 +59,11 @@ def f05c(spark, sf):
     return _shown(index.search_index(spark, build(spark, sf), '"the that" OR thnt OR ea*', "lang", most=50))
 
 
+@query("f05_block_topk", _ranked(["the that", "thnt", "ea*"], "(t0 > 0 OR t1 > 0 OR t2 > 0)", 50))
+def f05b(spark, sf):
+    return _shown(index.top_hits(spark, build(spark, sf), '"the that" OR thnt OR ea*', "lang", most=50)[0])
+
+
 @query("p12_filtered_search", _ranked(["that"], "t0 > 0 AND lang = 'en' AND review = 'reviewed'", 25))
 def p12(spark, sf):
     return _shown(index.search_index(spark, build(spark, sf), "that", "lang", only="en", review="reviewed", most=25))
@@ -82,3 +90,55 @@ def j02(spark, sf):
     entry = docs.filter("doc_id % 3 < 2").select(F.col("name").alias("file"), F.when(F.col("doc_id") % 3 == 0, F.col("doc_id").cast("string")).otherwise(F.lit("")).alias("id"), F.col("source").alias("title"))
     coverage = docs.select(F.col("doc_id").cast("string").alias("doc_id"), F.round(F.col("n_chars") / 2000.0, 9).alias("coverage"))
     return index.catalogue_files(docs.select("name"), entry, coverage).select("name", "doc_id", "title", "coverage")
+
+
+def _places(words: list[str]) -> str:
+    """SQL for the places, from 0, at which words stand in a row in ``w``; a trailing ``*`` begins a word."""
+    test = " AND ".join(f"starts_with(w[i + {k + 1}], '{x[:-1]}')" if x.endswith("*") else f"w[i + {k + 1}] = '{x}'" for k, x in enumerate(words))
+    return f"list_filter(range(len(w)), lambda i: coalesce({test}, false))"
+
+
+def _near_sql(phrases: list[str], distance: int) -> str:
+    """SQL for whether one stretch of ``w`` holds each phrase: from some start of a phrase back, each begins no more than its words and the distance before."""
+    lists = [_places(p.split()) for p in phrases]
+    fits = " AND ".join(f"len(list_filter({x}, lambda p: p <= m AND m - p <= {len(p.split()) + distance})) > 0" for p, x in zip(phrases, lists, strict=True))
+    return f"len(list_filter(list_concat({', '.join(lists[:2])}, {lists[2]}), lambda m: {fits})) > 0"
+
+
+@query("f04_near", f'{_CHUNKS} SELECT doc_id, CAST("offset" AS BIGINT) AS "offset" FROM w WHERE {_near_sql(["of the", "and", "ea*"], 8)}')
+def f04_near(spark, sf):
+    # Written in another order than that in which the phrases stand.
+    found = index.hits(spark, build(spark, sf), 'NEAR(ea* "of the" and, 8)', "lang")
+    return found.select("doc_id", F.col("offset").cast("long").alias("offset"))
+
+
+@query(
+    "f04_columns",
+    f"""{_CHUNKS}, n AS (SELECT doc_id, {words_sql("array_to_string(string_split(coalesce(text, ''), ' ')[:4], ' ')")} AS t FROM documents)
+SELECT doc_id, CAST("offset" AS BIGINT) AS "offset" FROM w JOIN n USING (doc_id) WHERE (list_contains(t, 'the') OR list_contains(t, 'la')) AND NOT list_contains(w, 'that')""",
+)
+def f04_columns(spark, sf):
+    found = index.hits(spark, build(spark, sf, title=True), "title : (the OR la) NOT -title : that", "lang")
+    return found.select("doc_id", F.col("offset").cast("long").alias("offset"))
+
+
+_BEST = ["the that", "of"]
+_HITS = ", ".join(f"list_transform({_places(p.split())}, lambda i: {{'at': i, 'phrase': {k}, 'size': {len(p.split())}}})" for k, p in enumerate(_BEST))
+
+
+@query(
+    "f06_best_snippet",
+    f"""{_CHUNKS}, xx AS (SELECT doc_id, "offset", w, list_filter(regexp_split_to_array(text, '[^\\p{{L}}\\p{{N}}\\p{{Co}}]+'), lambda x: x <> '') AS s, list_sort(list_concat({_HITS})) AS h FROM w),
+     y AS (SELECT *, list_transform(h, lambda a: {{'d': len(list_distinct(list_transform(list_filter(h, lambda o: o.at >= a.at AND o.at < a.at + 18), lambda o: o.phrase))), 'n': len(list_filter(h, lambda o: o.at >= a.at AND o.at < a.at + 18)),
+                             'f': -a.at, 'l': list_max(list_transform(list_filter(h, lambda o: o.at >= a.at AND o.at < a.at + 18), lambda o: o.at + o.size))}}) AS r FROM xx WHERE len(h) > 0),
+     zz AS (SELECT *, list_max(r) AS best FROM y),
+     st AS (SELECT *, greatest(least(-best.f - CAST(floor((18 - (best.l + best.f)) / 2.0) AS BIGINT), len(s) - 18), 0) AS b FROM zz)
+SELECT doc_id, CAST("offset" AS BIGINT) AS "offset", concat_ws(' ', CASE WHEN b > 0 THEN '…' END, array_to_string(list_transform(range(b, least(b + 18, len(s))), lambda i:
+    concat(CASE WHEN len(list_filter(h, lambda o: o.at = i)) > 0 AND len(list_filter(h, lambda o: o.at < i AND i < o.at + o.size)) = 0 THEN '[' ELSE '' END, s[i + 1],
+           CASE WHEN len(list_filter(h, lambda o: o.at + o.size - 1 = i)) > 0 AND len(list_filter(h, lambda o: o.at <= i AND i + 1 < o.at + o.size)) = 0 THEN ']' ELSE '' END)), ' '), CASE WHEN b + 18 < len(s) THEN '…' END) AS snippet FROM st""",
+)
+def f06_best(spark, sf):
+    path = build(spark, sf)
+    tree = search.parse(f'"{_BEST[0]}" OR {_BEST[1]}')
+    chunks = spark.read.parquet(f"{path}/chunks").join(index.hits(spark, path, tree, "lang").select("doc_id", "offset"), ["doc_id", "offset"])
+    return chunks.select("doc_id", F.col("offset").cast("long").alias("offset"), search.best_snippet(F.col("body"), search.phrases(tree)).alias("snippet"))

@@ -192,7 +192,7 @@ def f03(spark, sf):
 def f04(spark, sf):
     tree = search.parse('("the that" OR "de la") NOT ea*')
     found = {p: search.phrase_positions(F.col("text"), p) for p in search.phrases(tree)}
-    return _docs(spark, sf).filter(search.matches(tree, found, F.col("text"))).select("doc_id")
+    return _docs(spark, sf).filter(search.matches(tree, found)).select("doc_id")
 
 
 def bm25_sql(columns: str, phrases: list[str], most: int) -> str:

@@ -15,6 +15,9 @@ from loomstone.operators.textflow import chunks, normalise, tokens
 #: Folders and files that belong to a dataset, which no report may overwrite.
 PROTECTED = re.compile(r"(^|/)(data|corpus)(/|$)|chronology[^/]*\.json$|glossary[^/]*\.json$")
 
+#: Chunks of a block.
+BLOCK = 128
+
 
 class WriteRefused(ValueError):
     """A write that would land on source data."""
@@ -26,21 +29,39 @@ def guard(path: str) -> str:
     return path
 
 
-def write_index(docs: DataFrame, path: str, collection: str = "collection") -> None:
+def write_index(docs: DataFrame, path: str, collection: str = "collection", title: str | None = None) -> None:
     """docs, chunks and postings of a corpus as Parquet, rebuilt from nothing.
 
+    Words of ``title``, a column of ``docs``, are indexed with each chunk of
+    their document, as a column of their own. Rows without a title have none.
+
     Chunks are clustered by document and know their number of words, so that
-    statistics read no text. Postings are clustered by token, then chunk: a
-    search reads the row groups of its words, and a frequent word is spread
-    over as many files as it fills.
+    statistics read no text; BLOCK of them in a row share a block. Postings are
+    clustered by token, then block and chunk: a search reads the row groups of
+    its words, and a frequent word is spread over as many files as it fills.
+    ``blocks`` has for each token, column and block the chunks that hold it, the
+    most occurrences in one of them, and the fewest words of the block's chunks.
     """
     guard(path)
     clean = docs.withColumn("text", normalise(F.coalesce("text", F.lit("")))).withColumn("chars", F.length("text"))
     clean.drop("text").write.mode("overwrite").partitionBy(collection).parquet(f"{path}/docs")
-    parts = chunks(clean.select("doc_id", "text")).withColumn("chunk", F.concat_ws(":", "doc_id", "offset")).withColumn("words", F.size(tokens(F.col("body"))))
-    parts.repartitionByRange("doc_id", "offset").sortWithinPartitions("doc_id", "offset").write.mode("overwrite").parquet(f"{path}/chunks")
+    named = clean.select("doc_id", "text", *([F.coalesce(title, F.lit("")).alias("title")] if title else []))
+    parts = chunks(named).withColumn("chunk", F.concat_ws(":", "doc_id", "offset")).withColumn("words", F.size(tokens(F.col("body"))) + (F.size(tokens(F.col("title"))) if title else F.lit(0)))
+    parts.repartitionByRange("doc_id", "offset").sortWithinPartitions("doc_id", "offset").withColumn("block", F.floor(F.monotonically_increasing_id() / BLOCK)).write.mode("overwrite").parquet(f"{path}/chunks")
     written = docs.sparkSession.read.parquet(f"{path}/chunks")
-    postings(written, "chunk", "body").repartitionByRange("token", "chunk").sortWithinPartitions("token", "chunk").write.mode("overwrite").parquet(f"{path}/postings")
+    listed = postings(written, ["chunk", "block"], "body").withColumn("column", F.lit("body"))
+    if title:
+        listed = listed.unionByName(postings(written, ["chunk", "block"], "title").withColumn("column", F.lit("title")))
+    write_postings(listed, written, path)
+
+
+def write_postings(listed: DataFrame, chunks: DataFrame, path: str) -> None:
+    """The tables ``postings`` and ``blocks`` of an index from (chunk, block, column, token, pos) and its chunks."""
+    listed.repartitionByRange("token", "block", "chunk").sortWithinPartitions("token", "block", "chunk").write.mode("overwrite").parquet(f"{path}/postings")
+    rows = listed.sparkSession.read.parquet(f"{path}/postings")
+    most = rows.groupBy("token", "column", "block", "chunk").agg(F.count(F.lit(1)).alias("tf")).groupBy("token", "column", "block").agg(F.count(F.lit(1)).alias("n"), F.max("tf").alias("most"))
+    least = chunks.groupBy("block").agg(F.min("words").alias("least"))
+    most.join(least, "block").repartitionByRange("token", "block").sortWithinPartitions("token", "block").write.mode("overwrite").parquet(f"{path}/blocks")
 
 
 def write_lines(lines: DataFrame, path: str) -> None:
