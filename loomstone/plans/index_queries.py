@@ -38,10 +38,15 @@ def _ranked(wanted: list[str], where: str, most: int) -> str:
 SELECT doc_id, CAST("offset" AS BIGINT) AS "offset", lang, review, round({score}, 9) AS score FROM c JOIN d USING (doc_id), z WHERE {where} ORDER BY {score} DESC, doc_id, "offset" LIMIT {most}"""
 
 
+def documents(spark, sf):
+    """The documents with their language and review."""
+    review = F.when(F.col("quality") == 1, F.lit("reviewed")).when(F.col("quality") == 0, F.lit("rejected"))
+    return load(spark, sf, "documents").select("doc_id", "text", "lang").join(load(spark, sf, "labels").select("doc_id", review.alias("review")), "doc_id", "left")
+
+
 def build(spark, sf, title: bool = False) -> str:
     """Write the index of the documents into the shared folder, and give its path; a title is a text's first four words."""
-    review = F.when(F.col("quality") == 1, F.lit("reviewed")).when(F.col("quality") == 0, F.lit("rejected"))
-    docs = load(spark, sf, "documents").select("doc_id", "text", "lang").join(load(spark, sf, "labels").select("doc_id", review.alias("review")), "doc_id", "left")
+    docs = documents(spark, sf)
     path = Scratch(spark, "index").root
     if title:
         write_index(docs.withColumn("name", F.substring_index("text", " ", 4)), path, "lang", "name")
