@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from loomstone.functions.dates import decade, round1
 from loomstone.operators import ordered
+from loomstone.session import Scratch
 
 #: Empty decades in a row from which they become one break.
 COLLAPSE = 2
@@ -124,3 +125,42 @@ def indirect_edges(data: DataFrame) -> DataFrame:
     lineage = data.select("repo", F.expr("try_variant_get(v, '$.lineage.trees', 'variant')").alias("rec")).filter("rec is not null")
     edges = leaves(lineage).filter(F.col("path").rlike(r"^\[\d+\]\.root(\.children\[\d+\])*\.edge$") & (F.col("leaf") == "indirect")).select("repo").distinct()
     return data.select("repo").distinct().join(edges.withColumn("has", F.lit(True)), "repo", "left").select("repo", F.coalesce("has", F.lit(False)).alias("indirect"))
+
+
+def lineage_nodes(data: DataFrame) -> DataFrame:
+    """(repo, label, name, edge) of the nodes of lineage trees: ``label`` is the tree's place and those of the children on the way, from 0."""
+    from loomstone.operators.records import leaves
+
+    lineage = data.select("repo", F.expr("try_variant_get(v, '$.lineage.trees', 'variant')").alias("rec")).filter("rec is not null")
+    node = r"^(\[\d+\]\.root(?:\.children\[\d+\])*)\.(name|edge)$"
+    rows = leaves(lineage).filter(F.col("path").rlike(node)).select("repo", F.regexp_extract("path", node, 1).alias("at"), F.regexp_extract("path", node, 2).alias("key"), "leaf")
+    label = F.transform(F.regexp_extract_all("at", F.lit(r"\[(\d+)\]"), F.lit(1)), lambda x: x.cast("int"))
+    last = lambda key: F.max(F.when(F.col("key") == key, F.col("leaf"))).alias(key)
+    return rows.groupBy("repo", "at").agg(last("name"), last("edge")).select("repo", label.alias("label"), "name", "edge")
+
+
+def reading_order(nodes: DataFrame, deepest: int = 1 << 20) -> DataFrame:
+    """``nodes`` (id, parent, pos, ...) with root, depth from 0 and place from 1: depth first, children by ``pos``, then id.
+
+    Labels of places on the way from the root grow by doubling: each round joins
+    a node to the one its label reaches up to, so rounds go with the logarithm
+    of the depth, and no query recurses. Nodes whose way ends at none (a parent
+    that there is not, a circle) are left out; ``deepest`` bounds the rounds.
+    """
+    scratch = Scratch(nodes.sparkSession, "order")
+    step = F.array(F.struct(F.col("pos").cast("long").alias("pos"), F.col("id").alias("id")))
+    at = scratch.write(nodes.select("id", F.col("parent").alias("up"), F.when(F.col("parent").isNull(), F.col("id")).alias("root"), step.alias("label")), "l0")
+    rounds = 0
+    while 1 << rounds < deepest and not at.filter("up is not null").isEmpty():
+        above = at.select(F.col("id").alias("up"), F.col("up").alias("further"), F.col("root").alias("top"), F.col("label").alias("before"))
+        # A parent that there is not drops its subtree.
+        joined = at.filter("up is not null").join(above, "up").select("id", F.col("further").alias("up"), F.col("top").alias("root"), F.concat("before", "label").alias("label"))
+        rounds += 1
+        at = scratch.write(at.filter("up is null").unionByName(joined), f"l{rounds}")
+        scratch.drop(f"l{rounds - 1}")
+    whole = at.filter("up is null and root is not null").select("id", "root", "label", (F.size("label") - 1).alias("depth"))
+    # Prefixes sort before what they begin, so a parent comes before its children; roots apart, one numbering serves all trees.
+    placed = ordered.numbered(whole.withColumn("key", F.struct("root", "label")), ["key"], "place").select("id", "root", "depth", "place")
+    first = placed.groupBy("root").agg(F.min("place").alias("first"))
+    own = placed.join(first, "root").select("id", "root", "depth", (F.col("place") - F.col("first") + 1).alias("place"))
+    return nodes.join(own, "id")

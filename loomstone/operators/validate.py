@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
+from dataclasses import dataclass
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Observation
 from pyspark.sql import functions as F
 
 # What an approval stage may be, and which of these need no document.
@@ -14,12 +15,45 @@ KINDS = ["city", "town", "village", "hamlet", "site", "region", "country", "non-
 PRECISIONS = ["settlement", "country-centroid", "none"]
 
 
-def issues(rows: DataFrame, bad: Column, rule: str, locator: Column, message: str, severity: str = "error") -> DataFrame:
-    return rows.filter(F.coalesce(bad, F.lit(False))).select(F.lit(rule).alias("rule"), F.lit(severity).alias("severity"), locator.cast("string").alias("locator"), F.lit(message).alias("message"))
+@dataclass(frozen=True, eq=False)
+class Check:
+    """A rule over the rows of one table, not yet run."""
 
+    rows: DataFrame
+    bad: Column
+    issue: Column
 
-def report(parts: list[DataFrame]) -> DataFrame:
-    return reduce(lambda a, b: a.unionByName(b), parts)
+
+def issues(rows: DataFrame, bad: Column, rule: str, locator: Column, message: str, severity: str = "error") -> Check:
+    """The rule that rows for which ``bad`` holds are an issue each."""
+    issue = F.struct(F.lit(rule).alias("rule"), F.lit(severity).alias("severity"), locator.cast("string").alias("locator"), F.lit(message).alias("message"))
+    return Check(rows, F.coalesce(bad, F.lit(False)), issue)
+
+
+def report(parts: list[Check | DataFrame]) -> DataFrame:
+    """(rule, severity, locator, message) of all rules; those over one table run in one pass over it."""
+    tables: dict[int, list[Check]] = {}
+    for p in parts:
+        if isinstance(p, Check):
+            tables.setdefault(id(p.rows), []).append(p)
+    found = [p for p in parts if isinstance(p, DataFrame)]
+    for checks in tables.values():
+        each = F.array_compact(F.array(*[F.when(c.bad, c.issue) for c in checks]))
+        found.append(checks[0].rows.select(F.explode(each).alias("i")).select("i.*"))
+    return reduce(lambda a, b: a.unionByName(b), found)
+
+
+def counted(found: DataFrame) -> tuple[DataFrame, Observation]:
+    """``found`` with an observation of its errors and warnings, which whatever job writes or reads it makes on its way."""
+    seen = Observation()
+    return found.observe(seen, F.count_if(F.col("severity") == "error").alias("errors"), F.count_if(F.col("severity") == "warning").alias("warnings")), seen
+
+
+def write_report(found: DataFrame, path: str) -> dict[str, int]:
+    """Write all issues and give their counts by severity, in one job."""
+    rows, seen = counted(found)
+    rows.write.mode("overwrite").json(path)
+    return seen.get
 
 
 def blank(c: str) -> Column:
@@ -29,13 +63,13 @@ def blank(c: str) -> Column:
 def duplicates(rows: DataFrame, key: str, rule: str) -> DataFrame:
     """Keys that occur more than once."""
     twice = rows.filter(F.col(key).isNotNull()).groupBy(key).agg(F.count(F.lit(1)).alias("n"))
-    return issues(twice, F.col("n") > 1, rule, F.col(key), f"duplicate {key}")
+    return report([issues(twice, F.col("n") > 1, rule, F.col(key), f"duplicate {key}")])
 
 
 def unknown(rows: DataFrame, key: str, known: DataFrame, known_key: str, rule: str, locator: str, severity: str = "error") -> DataFrame:
     """Values of ``key`` that ``known`` doesn't have."""
     own = rows.filter(F.col(key).isNotNull())
-    return issues(own.join(known.select(F.col(known_key).alias(key)).distinct(), key, "left_anti"), F.lit(True), rule, F.col(locator), f"unknown {key}", severity)
+    return report([issues(own.join(known.select(F.col(known_key).alias(key)).distinct(), key, "left_anti"), F.lit(True), rule, F.col(locator), f"unknown {key}", severity)])
 
 
 def meta(rows: DataFrame) -> DataFrame:
@@ -156,9 +190,24 @@ def ladder(rows: DataFrame) -> DataFrame:
     )
 
 
+def ladder_rungs(rows: DataFrame) -> DataFrame:
+    """``rows`` of a ladder as they are; the query that reads them fails at the first stage that breaks V12, and names it."""
+    cited = F.size(F.coalesce("sources", F.expr("cast(array() as array<string>)"))) > 0
+    bare = F.coalesce("noDocument", F.lit(False))
+    known = F.coalesce(F.col("status").isin(LADDER), F.lit(False))
+    wrong = (
+        F.when(blank("label"), "label is missing")
+        .when(~known, "unknown status")
+        .when(~cited & ~bare, "neither cited nor without document")
+        .when(F.col("status").isin(NOTHING_HERE) & ~bare, "a document for nothing")
+    )
+    stop = F.raise_error(F.concat(F.lit("V12 at "), F.col("pos").cast("string"), F.lit(": "), wrong)).cast("boolean")
+    return rows.filter(F.when(wrong.isNotNull(), stop).otherwise(F.lit(True)))
+
+
 def publishers(rows: DataFrame) -> DataFrame:
     """No publisher ends in a parenthesis of two words or more."""
-    return issues(rows, F.size(F.split(F.trim(F.regexp_extract(F.coalesce("publisher", F.lit("")), r"\(([^)]*)\)\s*$", 1)), r"\s+")) >= 2, "V14", F.col("locator"), "publisher ends in a note")
+    return report([issues(rows, F.size(F.split(F.trim(F.regexp_extract(F.coalesce("publisher", F.lit("")), r"\(([^)]*)\)\s*$", 1)), r"\s+")) >= 2, "V14", F.col("locator"), "publisher ends in a note")])
 
 
 def corpus_shape(docs: DataFrame, least: int = 40, most_pairs: float = 0.5) -> DataFrame:

@@ -5,11 +5,11 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from loomstone.functions import web
-from loomstone.operators import crossref, entities, layout, reports
+from loomstone.operators import crossref, entities, layout, reports, validate
 from loomstone.plans.base import ORACLES, query
 from loomstone.plans.data_queries import _CANON, _FOLD, _parts, _postings
 from loomstone.session import Scratch, load
-from loomstone.sources import readers, sinks
+from loomstone.sources import publish, readers, sinks
 
 
 def _pick(column: str, values: list):
@@ -352,3 +352,70 @@ def l10(spark, sf):
     kind = F.col("c_custkey") % 6
     made_by = F.coalesce(*[F.when(kind == i, F.lit(t)) for i, t in enumerate(["tools/auto.js", " tools/auto.js v2", "by hand, not tools/auto.js", "tools/auto.jsx", "tools/auto.js", "tools/auto.js"])])
     return load(spark, sf, "customer").select("c_custkey", web.disclaimer(kind != 4, kind == 0, made_by, "tools/auto.js").alias("shown"))
+
+
+# ---- publication, reading order, reports with counts ----
+
+
+def _texts(spark, sf):
+    return load(spark, sf, "documents").select(F.concat(F.lit("f"), F.col("doc_id").cast("string")).alias("name"), F.coalesce("text", F.lit("")).alias("text"))
+
+
+@query(
+    "k13_publication_check",
+    """SELECT 'f' || doc_id AS name, CASE WHEN doc_id % 5 = 0 THEN 'stale' WHEN doc_id % 7 = 0 THEN 'add' WHEN doc_id % 3 = 0 THEN 'update' ELSE 'ok' END AS action FROM documents""",
+)
+def k13_check(spark, sf):
+    """A set is published, then another one checked: every fifth text is gone, every seventh new, every third changed, others have other line ends."""
+    texts, root = _texts(spark, sf).withColumn("k", F.substring("name", 2, 20).cast("long")), Scratch(spark, "site").root
+    publish.publish(texts.filter("k % 7 <> 0 or k % 5 = 0").select("name", F.replace("text", F.lit("\n"), F.lit("\r\n")).alias("text")), root)
+    after = F.when(F.col("k") % 3 == 0, F.concat("text", F.lit("."))).otherwise(F.col("text"))
+    return publish.check(texts.filter("k % 5 <> 0").select("name", after.alias("text")), root)
+
+
+@query(
+    "k15_published_places",
+    """SELECT r_name || '/places.json' AS name, string_agg(CAST(n_nationkey AS VARCHAR), ',' ORDER BY n_nationkey) AS ids FROM region JOIN nation ON n_regionkey = r_regionkey WHERE n_nationkey % 4 > 0 GROUP BY 1""",
+)
+def k15(spark, sf):
+    """Each region's part of a gazetteer of nations, read back from its publication."""
+    nations = load(spark, sf, "nation")
+    wanted = nations.join(load(spark, sf, "region"), F.col("n_regionkey") == F.col("r_regionkey")).select(F.col("r_name").alias("repo"), F.col("n_nationkey").alias("place_id"))
+    places, root = nations.filter("n_nationkey % 4 > 0").select(F.col("n_nationkey").alias("place_id"), F.col("n_name").alias("name")), Scratch(spark, "places").root
+    publish.publish(publish.vendored_places(places, wanted), root)
+    ids = F.transform(F.from_json("text", "array<struct<place_id: int>>"), lambda x: x["place_id"].cast("string"))
+    return publish.published(spark, root).select("name", F.array_join(ids, ",").alias("ids"))
+
+
+@query(
+    "l07_reading_order",
+    """WITH RECURSIVE n AS (SELECT c_custkey AS id, CASE WHEN c_custkey % 100 > 0 THEN c_custkey - 1 - (c_custkey * 7) % least(c_custkey % 100, 5) END AS parent, c_nationkey AS pos, CASE WHEN c_custkey % 4 = 0 THEN 'indirect' ELSE 'direct' END AS edge FROM customer),
+ t AS (SELECT id, id AS root, 0 AS depth, [lpad(CAST(pos AS VARCHAR), 6, '0') || lpad(CAST(id AS VARCHAR), 12, '0')] AS label FROM n WHERE parent IS NULL
+       UNION ALL SELECT n.id, t.root, t.depth + 1, list_append(t.label, lpad(CAST(n.pos AS VARCHAR), 6, '0') || lpad(CAST(n.id AS VARCHAR), 12, '0')) FROM n JOIN t ON n.parent = t.id)
+SELECT id, root, CAST(depth AS INTEGER) AS depth, row_number() OVER (PARTITION BY root ORDER BY label) AS place, edge FROM t JOIN n USING (id)""",
+)
+def l07(spark, sf):
+    """Customers as trees of hundreds: each hangs on one of the five before it."""
+    key = F.col("c_custkey")
+    parent = F.when(key % 100 > 0, key - 1 - (key * 7) % F.least(key % 100, F.lit(5)))
+    nodes = load(spark, sf, "customer").select(key.alias("id"), parent.alias("parent"), F.col("c_nationkey").alias("pos"), F.when(key % 4 == 0, "indirect").otherwise("direct").alias("edge"))
+    return layout.reading_order(nodes).select("id", "root", "depth", "place", "edge")
+
+
+@query(
+    "x29_counted_report",
+    """WITH d AS (SELECT doc_id, trim(coalesce(text, '')) AS t FROM documents)
+SELECT CAST(count(*) FILTER (length(t) < 40) AS BIGINT) AS errors, CAST(count(*) FILTER (length(t) > 0 AND NOT regexp_matches(t, '[.!?…"''”)\\]]$')) AS BIGINT) AS warnings FROM d""",
+)
+def x29(spark, sf):
+    """The counts that one job makes while it writes the issues of all documents."""
+    text = F.trim(F.coalesce("text", F.lit("")))
+    docs = load(spark, sf, "documents")
+    found = validate.report(
+        [
+            validate.issues(docs, F.length(text) < 40, "V15", F.col("doc_id"), "too small"),
+            validate.issues(docs, (F.length(text) > 0) & ~text.rlike(r"[.!?…\"'”)\]]$"), "V15", F.col("doc_id"), "ends within a sentence", "warning"),
+        ]
+    )
+    counts = validate.write_report(found, f"{Scratch(spark, 'issues').root}/issues")
+    return spark.createDataFrame([(counts["errors"], counts["warnings"])], "errors long, warnings long")

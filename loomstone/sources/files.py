@@ -22,6 +22,13 @@ def names(spark: SparkSession, path: str) -> list[str]:
     return sorted(s.getPath().getName() for s in files.listStatus(place)) if files.exists(place) else []
 
 
+def listing(spark: SparkSession, path: str) -> list[tuple[str, int]]:
+    """Name and length of each file of a folder, in order of names; folders within it are left out."""
+    place, files = _at(spark, path)
+    found = files.listStatus(place) if files.exists(place) else []
+    return sorted((s.getPath().getName(), s.getLen()) for s in found if s.isFile())
+
+
 def delete(spark: SparkSession, path: str) -> None:
     place, files = _at(spark, path)
     files.delete(place, True)

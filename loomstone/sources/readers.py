@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 
 from loomstone.functions.web import base_language
 from loomstone.operators.records import leaves
+from loomstone.sources.files import exists, listing, names
 
 
 def datasets(spark: SparkSession, path: str) -> DataFrame:
@@ -250,3 +251,38 @@ def filename_witness(data: DataFrame) -> DataFrame:
     rows = data.select(F.explode(F.expr("try_variant_get(v, '$.files', 'array<variant>')")).alias("x"))
     number, date = F.expr("try_variant_get(x, '$.aula', 'int')"), F.expr("try_variant_get(x, '$.date', 'string')")
     return single_date(rows.select(number.alias("n"), F.try_to_date(date, "yyyy-MM-dd").alias("d")).filter("n > 0"))
+
+
+def scan_folder(spark: SparkSession, path: str, extension: str = "txt") -> DataFrame:
+    """(name, bytes, status, text) of every file of a folder, not of those below it.
+
+    ``read``; ``broken`` with bytes that are no UTF-8, which are left out of the
+    text; ``unreadable`` if it is listed but can't be read; ``skipped`` without
+    the extension, of which nothing is read. All of them are counted. The list
+    of names is made once, by the driver, as Spark makes its own.
+    """
+    listed = spark.createDataFrame(listing(spark, path), "name string, bytes long")
+    content = spark.read.format("binaryFile").option("pathGlobFilter", f"*.{extension}").option("ignoreCorruptFiles", True).option("ignoreMissingFiles", True).load(path)
+    read = content.select(F.element_at(F.split("path", "/"), -1).alias("name"), "content", F.lit(True).alias("there"))
+    # Spark reads no file without bytes.
+    empty = F.col("bytes") == 0
+    rows = listed.join(read, "name", "left").withColumns({"there": F.coalesce("there", empty), "content": F.when(empty & F.endswith("name", F.lit(f".{extension}")), F.lit("").cast("binary")).otherwise(F.col("content"))})
+    whole = F.expr("try_validate_utf8(cast(content as string))")
+    status = F.when(~F.endswith("name", F.lit(f".{extension}")), "skipped").when(~F.col("there"), "unreadable").when(whole.isNull(), "broken").otherwise("read")
+    plain = F.replace(F.expr("make_valid_utf8(cast(content as string))"), F.lit("\ufffd"), F.lit(""))
+    return rows.select("name", "bytes", status.alias("status"), F.coalesce(whole, plain).alias("text"))
+
+
+def known_roots(spark: SparkSession, base: str, marker: str = "data") -> list[str]:
+    """The folders below ``base`` that hold a ``marker``, sorted: told from the listing alone."""
+    return [n for n in names(spark, base) if not n.startswith(".") and exists(spark, f"{base}/{n}/{marker}")]
+
+
+def resolve_root(spark: SparkSession, name: str, base: str, marker: str = "data") -> str:
+    """The data folder of a dataset: ``name`` as a path that holds the marker, that is it, or as a folder below ``base``."""
+    for place in (name, f"{base}/{name}"):
+        if exists(spark, f"{place}/{marker}"):
+            return f"{place.rstrip('/')}/{marker}"
+    if re.search(r"/", name) and exists(spark, name):
+        return name.rstrip("/")
+    raise ValueError(f"no dataset {name!r}; known: {', '.join(known_roots(spark, base, marker)) or 'none'}")
