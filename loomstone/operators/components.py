@@ -31,15 +31,16 @@ def connected_components(edges: DataFrame, scratch: Scratch, a: str = "a", b: st
     name = "cc" + uuid.uuid4().hex[:12]
     ends = edges.filter(F.col(a) < F.col(b)).select(F.col(a).alias("u"), F.col(b).alias("v"))
     ends = ends.unionByName(edges.filter(F.col(a) > F.col(b)).select(F.col(b).alias("u"), F.col(a).alias("v"))).distinct()
-    ends = scratch.write(ends, f"{name}-e0")
+    # The round is a column of the data, so that the code of each round is the same and compiled once.
+    ends = scratch.write(ends.withColumn("k", F.lit(1)), f"{name}-e0")
     nodes = ends.select(F.col("u").alias("node")).union(ends.select("v")).distinct()
     found = scratch.write(nodes.withColumn("component", F.col("node")), f"{name}-m0")
     k = 0
     while not ends.isEmpty():
         k += 1
-        rank = lambda c: F.struct(F.xxhash64(F.lit(k), c).alias("h"), F.col(c).alias("x"))  # noqa: B023, E731
-        both = ends.union(ends.select("v", "u"))
-        hook = both.groupBy("u").agg(F.min(rank("v")).alias("r")).select("u", F.least(rank("u"), "r").getField("x").alias("p"))
+        rank = lambda c: F.struct(F.xxhash64("k", c).alias("h"), F.col(c).alias("x"))
+        both = ends.union(ends.select("v", "u", "k"))
+        hook = both.groupBy("u").agg(F.min(rank("v")).alias("r"), F.max("k").alias("k")).select("u", F.least(rank("u"), "r").getField("x").alias("p"))
         label = scratch.write(_jump(hook), f"{name}-h{k}")
         label = scratch.write(_jump(label).withColumnRenamed("p", "q"), f"{name}-l{k}")
         found = scratch.write(
@@ -47,7 +48,7 @@ def connected_components(edges: DataFrame, scratch: Scratch, a: str = "a", b: st
             f"{name}-m{k}",
         )
         moved = ends.join(label.select("u", F.col("q").alias("x")), "u").join(label.select(F.col("u").alias("v"), F.col("q").alias("y")), "v")
-        ends = scratch.write(moved.filter("x <> y").select(F.least("x", "y").alias("u"), F.greatest("x", "y").alias("v")).distinct(), f"{name}-e{k}")
+        ends = scratch.write(moved.filter("x <> y").select(F.least("x", "y").alias("u"), F.greatest("x", "y").alias("v"), (F.col("k") + 1).alias("k")).distinct(), f"{name}-e{k}")
         scratch.drop(f"{name}-e{k - 1}", f"{name}-m{k - 1}", f"{name}-h{k}", f"{name}-l{k}")
     # The smallest node of each component names it.
     least = found.groupBy("component").agg(F.min("node").alias("least"))

@@ -9,6 +9,8 @@ from loomstone.functions.dates import COURSE_DAY, off_cadence, weekday_name
 from loomstone.operators import ordered
 from loomstone.operators.textflow import tokens
 
+#: Keys of quotes that are broadcast; more are joined.
+KEYS = 4096
 #: Days off from which an anomaly in a neighbour's month is a slip of the year.
 YEAR_SLIP = 300
 
@@ -163,25 +165,37 @@ def holding(docs: DataFrame, quotes: DataFrame, width: int = 3) -> DataFrame:
     Blocked on the first words, ``width`` at most, that a quote holds between
     its first and its last one, which may be parts of words; a quote without
     such words is blocked on its first characters. Candidates are confirmed.
+    Up to KEYS keys are broadcast, and meet each document's windows within its
+    row, so that texts are read once and none is shuffled; more of them are
+    joined with the windows.
     """
     words = tokens(F.col("quote"))
     inner = F.slice(words, 2, F.greatest(F.size(words) - 2, F.lit(0)))
     of = F.least(F.size(inner), F.lit(width))
     short = F.concat(F.lit("c"), F.least(F.length("quote"), F.lit(width)))
-    keyed = quotes.filter("quote <> ''").select("item_id", "quote", F.when(of > 0, F.concat(F.lit("w"), of)).otherwise(short).alias("kind"), F.when(of > 0, F.array_join(F.slice(inner, F.lit(1), of), " ")).otherwise(F.substring("quote", 1, width)).alias("key"))
+    kind = F.when(of > 0, F.concat(F.lit("w"), of)).otherwise(short)
+    key = F.when(of > 0, F.array_join(F.slice(inner, F.lit(1), of), " ")).otherwise(F.substring("quote", 1, width))
+    keyed = quotes.filter("quote <> ''").select("item_id", "quote", kind.alias("kind"), F.concat_ws(":", kind, key).alias("key"))
     # 2 * width kinds at most.
-    kinds = sorted(r["kind"] for r in keyed.select("kind").distinct().collect())
-    found = None
-    for kind in kinds:
-        n = int(kind[1:])
-        items, glue = (tokens(F.col("text")), " ") if kind[0] == "w" else (F.filter(F.split("text", ""), lambda c: c != ""), "")
-        own = docs.select("doc_id", items.alias("x")).filter(F.size("x") >= n)
-        runs = F.transform(F.sequence(F.lit(1), F.size("x") - (n - 1)), lambda i: F.concat_ws(glue, *[F.element_at("x", i + k) for k in range(n)]))  # noqa: B023
-        met = own.select("doc_id", F.explode(runs).alias("key")).join(keyed.filter(F.col("kind") == kind).select("item_id", "key"), "key").select("item_id", "doc_id")
-        found = met if found is None else found.unionByName(met)
-    if found is None:
+    counts = {r["kind"]: r["n"] for r in keyed.groupBy("kind").agg(F.count_distinct("key").alias("n")).collect()}
+    if not counts:
         return quotes.select("item_id").join(docs.select("doc_id"), F.lit(False))
-    both = found.distinct().join(docs.select("doc_id", "text"), "doc_id").join(keyed.select("item_id", "quote"), "item_id")
+
+    def windows(items: Column, kind: str) -> Column:
+        n, glue = int(kind[1:]), " " if kind[0] == "w" else ""
+        places = F.sequence(F.lit(1), F.greatest(F.size(items) - (n - 1), F.lit(1)))
+        return F.transform(places, lambda i: F.concat(F.lit(f"{kind}:"), F.array_join(F.slice(items, i, F.lit(n)), glue)))
+
+    lists = {"w": tokens(F.col("text")), "c": F.filter(F.split("text", ""), lambda c: c != "")}
+    runs = [F.element_at(F.transform(F.array(lists[letter]), lambda x: F.flatten(F.array(*[windows(x, k) for k in own]))), 1) for letter in "wc" if (own := sorted(k for k in counts if k[0] == letter))]
+    rows = docs.filter("text is not null")
+    if sum(counts.values()) <= KEYS:
+        # One row of KEYS short keys at most.
+        rows = rows.join(F.broadcast(keyed.agg(F.collect_set("key").alias("_keys"))))
+        met = rows.select("doc_id", "text", F.explode(F.array_intersect(F.concat(*runs), "_keys")).alias("key")).join(F.broadcast(keyed), "key")
+        return met.filter(F.col("text").contains(F.col("quote"))).select("item_id", "doc_id").distinct()
+    found = rows.select("doc_id", F.explode(F.array_distinct(F.concat(*runs))).alias("key")).join(keyed.select("item_id", "key"), "key").select("item_id", "doc_id")
+    both = found.distinct().join(rows.select("doc_id", "text"), "doc_id").join(keyed.select("item_id", "quote"), "item_id")
     return both.filter(F.col("text").contains(F.col("quote"))).select("item_id", "doc_id")
 
 
