@@ -11,6 +11,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from loomstone.llm import chat, classifier, decontaminate, neardup, repeats, rules, secrets, sentencepieces, sharding, tokens
+from loomstone.session import Scratch
 
 RNG = random.Random(7)
 WORDS = "alpha beta gamma delta éclair Öl zwölf naïve of the and to sun moon river stone".split()
@@ -140,8 +141,9 @@ def test_near_duplicates_equal_brute_force(spark):
     assert found == brute_components(rows)
 
 
-def test_near_duplicates_in_divided_regions(spark, monkeypatch):
-    """Large regions divided down to a few members, by all hashes of a label and then by parts: a lone link may be missed, no wrong one is made."""
+@pytest.mark.parametrize("block", [12, 3])
+def test_near_duplicates_in_divided_regions(spark, monkeypatch, block):
+    """Regions dealt into parts beside the members outside their main component, or divided: each document gets its right component."""
     r = random.Random(5)
     base, rows = [f"w{i}" for i in range(200)], []
     for k in range(120):
@@ -149,16 +151,25 @@ def test_near_duplicates_in_divided_regions(spark, monkeypatch):
         for _ in range(r.randrange(1, 7)):
             w[r.randrange(len(w))] = f"x{r.randrange(10**6)}"
         rows.append((k, " ".join(w)))
-    monkeypatch.setattr(neardup, "BLOCK", 12)
+    monkeypatch.setattr(neardup, "BLOCK", block)
     found = {x.doc_id: (x.n_shingles, x.component_id) for x in neardup.near_duplicates(table(spark, rows)).collect()}
-    whole = brute_components(rows)
-    assert sum(found[i] != whole[i] for i in whole) <= len(rows) // 100 and all(whole[i][1] == whole[c][1] for i, (_, c) in found.items())
-    # One region of 40 members with one label, of four components: dealt into parts, all members once.
-    members = spark.createDataFrame([(0, 1, 2, k, k % 4) for k in range(40)] + [(0, 5, k, k, 9) for k in range(40)], "tree int, hi long, lo long, rep long, component long")
-    from loomstone.session import Scratch
-
-    dealt = neardup.groups(members, Scratch(spark, "test")).collect()
-    assert sorted(x.rep for x in dealt) == list(range(40)) and {x.hi for x in dealt} == {1} and len({x.part for x in dealt}) > 1
+    assert found == brute_components(rows)
+
+
+@pytest.mark.parametrize("block", [4, 15, 100])
+def test_groups_hold_every_pair_of_different_components(spark, monkeypatch, block):
+    """A region of one label, another of one component alone, and a large one whose main component leaves few others."""
+    monkeypatch.setattr(neardup, "BLOCK", block)
+    rows = [(0, 1, 2, k, k % 4) for k in range(40)] + [(0, 5, k, k, 9) for k in range(40)] + [(1, 7, k, k, 50 + (k % 20 == 0)) for k in range(60)]
+    members = spark.createDataFrame(rows, "tree int, hi long, lo long, rep long, component long")
+    held = {}
+    for x in neardup.groups(members, Scratch(spark, "test")).collect():
+        own = held.setdefault((x.tree, x.hi, x.sub, x.deep, x.part, x.chunk), {})
+        assert x.rep not in own
+        own[x.rep] = x.component
+    met = {(k[0], k[1], a, b) for k, own in held.items() for a in own for b in own if a < b and own[a] != own[b]}
+    want = {(t, h, min(a, b), max(a, b)) for t, h, _, a, c in rows for u, i, _, b, d in rows if (t, h) == (u, i) and c != d}
+    assert met == want and all(len(own) <= 2 * block + 12 + (block < 15) * 30 for own in held.values())
 
 
 def test_filter_of_ids_passes_all_that_are_named(spark):
