@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from loomstone.functions.dates import event_year
 from loomstone.functions.fold import deaccent
+from loomstone.operators import ordered
 
 LISTS = ["facts", "events", "figures", "organizations", "references", "terms"]
 SECTIONS = ["disambiguation", "lineage", "episcopalLineage", "branchTimeline", "numbersChart"]
@@ -154,7 +155,17 @@ def pipe_rows(df: DataFrame, fields: list[str]) -> DataFrame:
     return df.select(F.concat_ws(" | ", *[F.coalesce(F.col(f).cast("string"), F.lit("-")) for f in fields]).alias("line"))
 
 
-def envelope(df: DataFrame, repo: str, kind: str, command: str) -> DataFrame:
-    """One JSON document with scope, fields and rows; for results that a person reads."""
-    rows = F.collect_list(F.struct(*df.columns))
-    return df.agg(F.to_json(F.struct(F.lit(repo).alias("repo"), F.lit(kind).alias("kind"), F.lit(command).alias("subcommand"), F.count(F.lit(1)).alias("count"), F.array(*map(F.lit, df.columns)).alias("fields"), rows.alias("rows"))).alias("json"))
+def envelope(df: DataFrame, repo: str, kind: str, command: str, order: list[str]) -> DataFrame:
+    """(part, k, line) of one JSON document with scope, count, fields and rows in ``order``, a row a line: for :func:`sinks.write_lines`.
+
+    Lines after the first row begin with the comma, so that each row is a line
+    of its own task and none waits for the last.
+    """
+    placed = ordered.numbered(df, order, "_n")
+    scope = F.to_json(F.struct(F.lit(repo).alias("repo"), F.lit(kind).alias("kind"), F.lit(command).alias("subcommand"), F.count(F.lit(1)).alias("count"), F.array(*map(F.lit, df.columns)).alias("fields")))
+    head = df.agg(scope.alias("s")).select(F.lit(0).alias("part"), F.lit(0).cast("long").alias("k"), F.concat(F.regexp_replace("s", r"\}$", ""), F.lit(',"rows":[')).alias("line"))
+    comma = F.when(F.col("_n") > 1, ",").otherwise("")
+    rows = placed.select(F.lit(1).alias("part"), F.col("_n").alias("k"), F.concat(comma, F.to_json(F.struct(*df.columns))).alias("line"))
+    end = df.sparkSession.createDataFrame([(2, 0, "]}")], "part int, k long, line string")
+    return head.unionByName(rows).unionByName(end)
+

@@ -244,19 +244,37 @@ def a08(spark, sf):
     return _components(spark, sf)
 
 
-@query("a09_component_sizes")
+@query(
+    "a09_component_sizes",
+    f"""WITH RECURSIVE e AS ({_edge_sql(3)}), b AS (SELECT source AS x, target AS y FROM e UNION SELECT target, source FROM e),
+r AS (SELECT x AS node, x AS m FROM b UNION SELECT b.y, r.m FROM r JOIN b ON b.x = r.node), c AS (SELECT node, min(m) AS component FROM r GROUP BY 1) SELECT component, count(*) AS size FROM c GROUP BY 1""",
+)
 def a09(spark, sf):
     return _components(spark, sf).groupBy("component").agg(F.count(F.lit(1)).alias("size")).orderBy(F.desc("size"), "component")
 
 
-@query("k06_graphml")
+_GRAPH = f"WITH e AS ({_edge_sql(3)}), n AS (SELECT source AS x FROM e UNION SELECT target FROM e)"
+
+
+@query(
+    "k06_graphml",
+    f"""{_GRAPH} SELECT * FROM (VALUES (0, '0', '<?xml version="1.0" encoding="UTF-8"?>'), (0, '1', '<graphml xmlns="http://graphml.graphdrawing.org/xmlns">'), (0, '2', '<key id="w" for="edge" attr.name="weight" attr.type="int"/>'),
+ (0, '3', '<graph id="g" edgedefault="undirected">'), (3, '0', '</graph>'), (3, '1', '</graphml>')) v(part, k, line)
+UNION ALL SELECT 1, CAST(x AS VARCHAR), '<node id="' || x || '"/>' FROM n
+UNION ALL SELECT 2, source || ' ' || target, '<edge source="' || source || '" target="' || target || '"><data key="w">' || weight || '</data></edge>' FROM e""",
+)
 def k06(spark, sf):
     edges = _edges(spark, sf, 3)
     nodes = edges.select(F.col("source").alias("entity")).union(edges.select("target")).distinct()
     return graph.graphml_lines(nodes, edges)
 
 
-@query("k07_dot")
+@query(
+    "k07_dot",
+    f"""{_GRAPH} SELECT * FROM (VALUES (0, '', 'graph g {{'), (3, '', '}}')) v(part, k, line)
+UNION ALL SELECT 1, CAST(x AS VARCHAR), '  "' || x || '";' FROM n
+UNION ALL SELECT 2, source || ' ' || target, '  "' || source || '" -- "' || target || '" [weight=' || weight || '];' FROM e""",
+)
 def k07(spark, sf):
     edges = _edges(spark, sf, 3)
     nodes = edges.select(F.col("source").alias("entity")).union(edges.select("target")).distinct()
@@ -505,7 +523,13 @@ def a16(spark, sf):
     return _mapped(spark, sf).select("place_id", "n", F.col("first_year").cast("long").alias("first_year"), "first_unverified", "x", "y", "radius")
 
 
-@query("m05_crop")
+@query(
+    "m05_crop",
+    f"""{_MAP}, b AS (SELECT min(lon + 180.0) AS x0, max(lon + 180.0) AS x1, min(90.0 - lat) AS y0, max(90.0 - lat) AS y1 FROM f),
+ s AS (SELECT *, greatest(x1 - x0 + 12, 60.0) AS w, greatest(y1 - y0 + 12, 30.0) AS h FROM b)
+SELECT CAST(floor(greatest(0.0, least((x0 + x1 - w) / 2, 360 - w)) * 10 + 0.5) / 10 AS DOUBLE) AS x, CAST(floor(greatest(0.0, least((y0 + y1 - h) / 2, 180 - h)) * 10 + 0.5) / 10 AS DOUBLE) AS y,
+       CAST(floor(least(w, 360.0) * 10 + 0.5) / 10 AS DOUBLE) AS width, CAST(floor(least(h, 180.0) * 10 + 0.5) / 10 AS DOUBLE) AS height FROM s""",
+)
 def m05(spark, sf):
     return layout.crop(_mapped(spark, sf))
 

@@ -104,10 +104,15 @@ def k02(spark, sf):
     return records.pipe_rows(rows, ["id", "date", "none"])
 
 
-@query("k03_envelope")
+@query(
+    "k03_envelope",
+    """WITH n AS (SELECT 'Founding of ' || n_name AS id FROM nation), r AS (SELECT id, row_number() OVER (ORDER BY id) AS k FROM n)
+SELECT 0 AS part, CAST(0 AS BIGINT) AS k, '{"repo":"nations","kind":"chronology","subcommand":"event","count":' || count(*) || ',"fields":["id"],"rows":[' AS line FROM n
+UNION ALL SELECT 1, k, CASE WHEN k > 1 THEN ',' ELSE '' END || '{"id":"' || id || '"}' FROM r UNION ALL SELECT 2, 0, ']}'""",
+)
 def k03(spark, sf):
     rows = records.records(_dataset(spark, sf)).filter("collection = 'events'").select(records.record_id().alias("id"))
-    return records.envelope(rows, "nations", "chronology", "event")
+    return records.envelope(rows, "nations", "chronology", "event", ["id"])
 
 
 @query("r02_event_props", "SELECT k AS name, count(*) AS n FROM (SELECT unnest(json_keys(props)) AS k FROM events) GROUP BY 1")
