@@ -16,8 +16,11 @@ SECTIONS = ["disambiguation", "lineage", "episcopalLineage", "branchTimeline", "
 ID_KEYS = ["id", "title", "name", "term", "label", "heading"]
 DATE_KEYS = ["date", "dates", "year", "founded", "start"]
 PLACE_KEYS = ["place", "country", "location", "birthplace"]
-#: Text that says that something is not verified.
-UNSURE = r"(?i)to verify|to confirm|unverified|\(a verificar\)|por verificar"
+# Phrases that say that something is not verified.
+UNSURE_PHRASES = ["(to verify)", "to verify", "to confirm", "unverified", "(a verificar)", "por verificar"]
+UNSURE = "(?i)" + "|".join(re.escape(p) for p in UNSURE_PHRASES)
+#: Characters of a flagged value that are shown.
+CLIP = 120
 #: Levels of a record opened between two looks at whether any is left.
 STEP = 4
 
@@ -118,17 +121,51 @@ def references(rows: DataFrame, archives: DataFrame) -> DataFrame:
     return refs.join(archives.select("repo", "url", F.lit(True).alias("archived")).distinct(), ["repo", "url"], "left").withColumn("archived", F.coalesce("archived", F.lit(False)))
 
 
+def clipped(text: Column, width: int = CLIP) -> Column:
+    """A text on one line, cut to ``width`` characters with a mark."""
+    flat = F.trim(F.regexp_replace(text, r"(?U)\s+", " "))
+    return F.when(F.length(flat) > width, F.concat(F.substring(flat, 1, width - 1), F.lit("…"))).otherwise(flat)
+
+
 def flags(rows: DataFrame) -> DataFrame:
-    """Fields that say they are unverified: (…, path, reason, value), 120 characters of it."""
+    """Fields that say they are unverified: (…, path, reason, value); the reason names the key or the phrase, the value is that of a text."""
     false = F.col("name").isin("dateVerified", "verified") & (F.col("kind") == "BOOLEAN") & (F.col("leaf") == "false")
     said = (F.col("kind") == "STRING") & F.col("leaf").rlike(UNSURE)
-    reason = F.when(false, F.lit("flag")).when(said, F.lit("text"))
-    return leaves(rows).withColumn("reason", reason).filter("reason is not null").withColumn("value", F.substring("leaf", 1, 120)).drop("kind", "leaf", "name")
+    reason = F.when(false, F.concat("name", F.lit(":false"))).when(said, F.concat(F.lit("text:"), F.lower(F.regexp_extract("leaf", UNSURE, 0))))
+    found = leaves(rows).withColumn("reason", reason).filter("reason is not null")
+    return found.withColumn("value", F.when(said, clipped(F.col("leaf"))).otherwise(F.lit(""))).drop("kind", "leaf", "name")
+
+
+def natural(locator: Column) -> Column:
+    """A key by which ``events[9]`` comes before ``events[24]``: numbers of up to 20 digits have as many."""
+    return F.regexp_replace(F.regexp_replace(locator, r"(\d+)", "00000000000000000000$1"), r"\d*(\d{20})(?!\d)", "$1")
 
 
 def worklist(rows: DataFrame) -> DataFrame:
-    """Flags in natural order: by collection, number and path."""
-    return flags(rows).orderBy("repo", "collection", "idx", "path")
+    """Flags with ``place``, from 1: by repository, collection, locator in natural order, and path."""
+    return ordered.numbered(flags(rows).withColumn("_key", natural(F.col("locator"))), ["repo", "collection", "_key", "path"], "place").drop("_key")
+
+
+def worklist_report(datasets: DataFrame, found: DataFrame) -> DataFrame:
+    """(part, k, line) of a text report on ``datasets`` (repo, kind) and their flags ``found`` (of :func:`worklist`, with ``entity``): for :func:`sinks.write_lines`."""
+    total = datasets.agg(F.count(F.lit(1)).alias("repos")).join(found.agg(F.count(F.lit(1)).alias("flags")))
+    keys = lambda *k: [x.alias(n) for x, n in zip(k, ("a", "repo", "collection", "b", "place"), strict=True)]
+    none, no = F.lit(""), F.lit(0).cast("long")
+    intro = F.array(
+        F.concat(F.lit("# unverified-report | repos="), "repos", F.lit(" | flags="), "flags"),
+        F.lit("rule: dateVerified:false, verified:false, or text matching (to verify)/to confirm/unverified"),
+        F.lit("fields: locator | entity | field | reason | value"),
+    )
+    head = total.select(F.posexplode(intro).alias("i", "line")).select(*keys(F.lit(0), none, none, F.col("i"), no), "line")
+    counts = datasets.join(found.groupBy("repo").agg(F.count(F.lit(1)).alias("n")), "repo", "left")
+    heading = F.array(none, F.concat(F.lit("## "), "repo", F.lit(" ("), "kind", F.lit(") — "), F.coalesce("n", F.lit(0))))
+    repos = counts.select("repo", F.posexplode(heading).alias("i", "line")).select(*keys(F.lit(1), F.col("repo"), none, F.col("i"), no), "line")
+    groups = found.groupBy("repo", "collection").agg(F.count(F.lit(1)).alias("n"))
+    parts = groups.select(*keys(F.lit(1), F.col("repo"), F.col("collection"), F.lit(0), no), F.concat(F.lit("### "), "collection", F.lit(" ("), "n", F.lit(")")).alias("line"))
+    shown = lambda c: F.coalesce(F.nullif(F.col(c), F.lit("")), F.lit("-"))
+    rows = found.select(*keys(F.lit(1), F.col("repo"), F.col("collection"), F.lit(1), F.col("place")), F.concat_ws(" | ", "locator", "entity", shown("path"), "reason", shown("value")).alias("line"))
+    lines = ordered.numbered(head.unionByName(repos).unionByName(parts).unionByName(rows), ["a", "repo", "collection", "b", "place"], "k")
+    return lines.select(F.lit(0).alias("part"), "k", "line")
 
 
 def stats(rows: DataFrame) -> DataFrame:

@@ -70,16 +70,54 @@ def p08(spark, sf):
 
 @query(
     "p09_flags",
-    f"""WITH n AS ({_N}) SELECT repo, 'events[' || i || ']' AS locator, 'dateVerified' AS path, 'flag' AS reason, 'false' AS value FROM n WHERE k % 2 <> 0
-UNION ALL SELECT repo, 'events[' || i || ']', 'text', 'text', 'Source to verify.' FROM n WHERE k % 3 = 0""",
+    f"""WITH n AS ({_N}) SELECT repo, 'events[' || i || ']' AS locator, 'dateVerified' AS path, 'dateVerified:false' AS reason, '' AS value FROM n WHERE k % 2 <> 0
+UNION ALL SELECT repo, 'events[' || i || ']', 'text', 'text:to verify', 'Source to verify.' FROM n WHERE k % 3 = 0""",
 )
 def p09(spark, sf):
     return records.flags(records.records(_dataset(spark, sf))).select("repo", "locator", "path", "reason", "value")
 
 
-@query("p10_worklist", f"WITH n AS ({_N}) SELECT repo, count(*) FILTER (k % 2 <> 0) + count(*) FILTER (k % 3 = 0) AS n FROM n GROUP BY 1")
+def _orders_dataset(spark, sf):
+    """Five chronologies of orders as JSON: lists of more than ten events, flags of both kinds, a long text."""
+    order = load(spark, sf, "orders").filter("o_custkey % 100 = 1")
+    key = F.col("o_orderkey")
+    text = F.when(key % 3 == 0, F.concat(F.lit("UNVERIFIED  \n note "), F.repeat(F.lit("of it "), (key % 40).cast("int")))).when(key % 3 == 1, F.lit("date (To Verify)")).otherwise(F.lit("well known"))
+    event = F.struct(key.cast("string").alias("id"), (key % 4 > 0).alias("verified"), text.alias("text"))
+    rows = order.groupBy(F.concat(F.lit("r"), F.pmod("o_orderkey", F.lit(5))).alias("repo")).agg(F.array_sort(F.collect_list(F.struct("o_orderkey", event.alias("e")))).alias("a"))
+    data = F.to_json(F.struct(F.transform("a", lambda x: x["e"]).alias("events")))
+    return rows.select("repo", F.parse_json(data).alias("v"))
+
+
+_FLAGS = """WITH o AS (SELECT o_orderkey AS k, 'r' || (o_orderkey % 5) AS repo FROM orders WHERE o_custkey % 100 = 1), e AS (SELECT *, row_number() OVER (PARTITION BY repo ORDER BY k) - 1 AS i FROM o),
+ t AS (SELECT *, trim(regexp_replace(CASE k % 3 WHEN 0 THEN 'UNVERIFIED  ' || chr(10) || ' note ' || repeat('of it ', CAST(k % 40 AS INTEGER)) WHEN 1 THEN 'date (To Verify)' ELSE 'well known' END, '\\s+', ' ', 'g')) AS text FROM e),
+ f AS (SELECT repo, i, k, 'text' AS path, 'text:' || lower(regexp_extract(text, '(?i)\\(to verify\\)|to verify|to confirm|unverified|\\(a verificar\\)|por verificar')) AS reason, CASE WHEN length(text) > 120 THEN substr(text, 1, 119) || '…' ELSE text END AS value FROM t WHERE k % 3 < 2
+       UNION ALL SELECT repo, i, k, 'verified', 'verified:false', '' FROM t WHERE k % 4 = 0),
+ p AS (SELECT *, 'events[' || i || ']' AS locator, row_number() OVER (ORDER BY repo, i, path) AS place FROM f)"""
+
+
+@query("p10_worklist", f"{_FLAGS} SELECT repo, locator, path, reason, value, place FROM p")
 def p10(spark, sf):
-    return records.worklist(records.records(_dataset(spark, sf))).groupBy("repo").agg(F.count(F.lit(1)).alias("n"))
+    return records.worklist(records.records(_orders_dataset(spark, sf))).select("repo", "locator", "path", "reason", "value", "place")
+
+
+@query(
+    "k05_worklist_report",
+    f"""{_FLAGS}, r AS (SELECT repo, count(p.place) AS n FROM (SELECT DISTINCT repo FROM o UNION SELECT 'r9') d LEFT JOIN p USING (repo) GROUP BY 1),
+ l AS (SELECT 0 AS a, '' AS repo, '' AS c, 0 AS b, 0 AS place, '# unverified-report | repos=' || (SELECT count(*) FROM r) || ' | flags=' || (SELECT count(*) FROM p) AS line
+       UNION ALL SELECT 0, '', '', 1, 0, 'rule: dateVerified:false, verified:false, or text matching (to verify)/to confirm/unverified' UNION ALL SELECT 0, '', '', 2, 0, 'fields: locator | entity | field | reason | value'
+       UNION ALL SELECT 1, repo, '', 0, 0, '' FROM r UNION ALL SELECT 1, repo, '', 1, 0, '## ' || repo || ' (chronology) — ' || n FROM r
+       UNION ALL SELECT 1, repo, 'events', 0, 0, '### events (' || count(*) || ')' FROM p GROUP BY repo
+       UNION ALL SELECT 1, repo, 'events', 1, place, concat_ws(' | ', locator, CAST(k AS VARCHAR), path, reason, CASE value WHEN '' THEN '-' ELSE value END) FROM p)
+SELECT row_number() OVER (ORDER BY a, repo, c, b, place) AS k, line FROM l""",
+)
+def k05(spark, sf):
+    """The report's lines; one dataset has no flags."""
+    data = _orders_dataset(spark, sf)
+    rows = records.records(data)
+    entities = rows.select("repo", "locator", records.record_id().alias("entity"))
+    found = records.worklist(rows).join(entities, ["repo", "locator"])
+    datasets = data.select("repo").union(spark.createDataFrame([("r9",)], "repo string")).withColumn("kind", F.lit("chronology"))
+    return records.worklist_report(datasets, found).select("k", "line")
 
 
 @query("a03_stats", f"WITH n AS ({_N}) SELECT repo, c AS collection, CASE WHEN c = 'disambiguation' THEN 1 ELSE count(*) END AS n FROM n, (VALUES ('events'), ('references'), ('figures'), ('disambiguation')) t(c) GROUP BY 1, 2")

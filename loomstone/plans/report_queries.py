@@ -419,3 +419,15 @@ def x29(spark, sf):
     )
     counts = validate.write_report(found, f"{Scratch(spark, 'issues').root}/issues")
     return spark.createDataFrame([(counts["errors"], counts["warnings"])], "errors long, warnings long")
+
+
+@query(
+    "s14_gazetteer_index",
+    """WITH n AS (SELECT n_nationkey AS place_id, unnest([n_name, 'Old ' || lower(n_name), CASE WHEN n_nationkey % 5 = 0 THEN 'Straße ' || (n_nationkey % 2) END]) AS name FROM nation)
+SELECT replace(lower(name), 'ß', 'ss') AS key, min(place_id) AS place_id FROM n WHERE name IS NOT NULL GROUP BY 1""",
+)
+def s14(spark, sf):
+    key = F.col("n_nationkey")
+    street = F.when(key % 5 == 0, F.concat(F.lit("Straße "), key % 2))
+    places = load(spark, sf, "nation").select(key.alias("place_id"), F.col("n_name").alias("name"), F.array(F.concat(F.lit("Old "), F.lower("n_name")), street).alias("variants"))
+    return readers.gazetteer_index(places)

@@ -97,6 +97,14 @@ def gazetteer(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.option("multiLine", True).schema(schema).json(path).select(F.explode("places").alias("p")).select(F.col("p.id").alias("place_id"), "p.name", "p.kind", "p.lat", "p.lon", "p.precision", "p.source", "p.variants", "p.note")
 
 
+def gazetteer_index(places: DataFrame) -> DataFrame:
+    """(key, place_id): names and variants of places without regard to case; of a key's places the one listed under the smallest id."""
+    named = places.select("place_id", F.explode(F.array_compact(F.concat(F.array("name"), F.coalesce("variants", F.expr("cast(array() as array<string>)"))))).alias("name"))
+    # Full case folding: the sharp s is two letters.
+    keyed = named.select("place_id", F.replace(F.lower("name"), F.lit("ß"), F.lit("ss")).alias("key")).filter("trim(key) <> ''")
+    return keyed.groupBy("key").agg(F.min("place_id").alias("place_id"))
+
+
 def dictionary(data: DataFrame) -> DataFrame:
     """(lang, source, target) of translation dictionaries."""
     lang = F.expr("try_variant_get(v, '$._meta.targetLang', 'string')")

@@ -251,7 +251,7 @@ def test_records_of_absent_sections_are_empty(spark):
     data = spark.createDataFrame([("r", '{"events": [{"title": "T", "year": 1990, "verified": false}], "facts": []}')], "repo string, j string").select("repo", F.parse_json("j").alias("v"))
     rows = records.records(data)
     assert [(r.locator,) for r in rows.select("locator").collect()] == [("events[0]",)]
-    assert [(r.path, r.reason) for r in records.flags(rows).select("path", "reason").collect()] == [("verified", "flag")]
+    assert [(r.path, r.reason) for r in records.flags(rows).select("path", "reason").collect()] == [("verified", "verified:false")]
 
 
 def test_nothing_checked_is_not_a_pass(spark):
