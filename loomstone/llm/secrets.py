@@ -51,7 +51,7 @@ CLASSES = [
 #: of letters, rulers, and strings marked as examples.
 ALLOWED = (
     r"^[0-9_+=/-]+$|^[0-9A-Fa-f]{8}(-[0-9A-Fa-f]{4}){3}-[0-9A-Fa-f]{12}$"
-    r"|^/?[A-Za-z]+([/_-]+[A-Za-z]+)+/?$|^(.)\2+$|(?i:example|placeholder|dummy)"
+    r"|^/?[A-Za-z]+([/_-]+[A-Za-z]+)+/?$|^(.)\3+$|(?i:example|placeholder|dummy)"
 )
 
 
@@ -131,7 +131,7 @@ def is_secret(candidate: Column) -> Column:
         mark = (mark if mark is not None else F).when(candidate.rlike(pattern), F.lit(bits))
     mark = mark.otherwise(F.lit(CLASSES[-1][2]))
     # 1e-9: the running sum may be off by rounding.
-    return ~candidate.rlike(ALLOWED.replace(r"\2", r"\4")) & (peak_entropy(candidate) >= mark - 1e-9)
+    return ~candidate.rlike(ALLOWED) & (peak_entropy(candidate) >= mark - 1e-9)
 
 
 def base_spans(text: Column) -> Column:
