@@ -4,11 +4,14 @@ Records are ordered by (text hash, id), so equal texts are neighbours. A
 size-weighted sample of keys gives quantile boundaries; records go to the
 ranges between them, ranges that came out overfull are subdivided, and the
 exact bytes per range fix where each shard begins. A hot text cannot overfill
-a range: its records differ in id, and boundaries fall inside it.
+a range: its records differ in id, and boundaries fall inside it; a range that
+is overfull all the same, by rows alike in text and id, is divided by a number
+of each row, into parts of about the bytes of a range.
 
 Defined results: a null text counts as no bytes and hashes like an empty one;
 null ids sort first; repeated rows each keep a place of their own; an empty
-table gives an empty result; other columns of the input are ignored.
+table gives an empty result; a very long text is a row like others, of which
+only size, checksum and hash go on; other columns of the input are ignored.
 """
 
 from __future__ import annotations
@@ -29,8 +32,6 @@ RANGE_BYTES = 32 << 20
 LEAST_RANGES, MOST_RANGES = 192, 16_384
 #: Sampled keys expected for each range.
 SAMPLES = 32
-#: Parts into which an overfull range is divided, by a hash of its keys.
-PARTS = 16
 
 
 def _ordered_bytes(h: np.ndarray, ident: np.ndarray) -> np.ndarray:
@@ -53,6 +54,8 @@ def shard_by_bytes(df: DataFrame, shards: int, id_col: str = "doc_id", text_col:
             F.crc32(text.cast("binary")).alias("text_crc32"),
             F.xxhash64(text).alias("h"),
             ident.alias("k"),
+            # Written with the rows, so that it stays: rows alike in all else can go to different parts.
+            F.xxhash64(F.monotonically_increasing_id()).alias("salt"),
         ),
         "keyed",
     )
@@ -70,30 +73,25 @@ def shard_by_bytes(df: DataFrame, shards: int, id_col: str = "doc_id", text_col:
     def range_of(h: pd.Series, k: pd.Series) -> pd.Series:
         return pd.Series(np.searchsorted(splitters, _ordered_bytes(h.to_numpy(np.int64), k.to_numpy(np.int64)), "right").astype(np.int32))
 
-    ranged = keyed.withColumn("range", range_of("h", "k")).withColumn("part", F.pmod(F.xxhash64(F.lit("part"), "k", "h"), F.lit(PARTS)).cast("int"))
-    counts = ranged.groupBy("range", "part").agg(F.sum("size").alias("bytes"), F.count(F.lit(1)).alias("rows")).collect()
-    of_range: dict[int, int] = {}
-    for r in counts:
-        of_range[r["range"]] = of_range.get(r["range"], 0) + r["bytes"]
-    overfull = {r for r, b in of_range.items() if b > 2 * max(total // ranges, 1)}
-    units: dict[tuple[int, int], list[int]] = {}
-    for r in counts:
-        unit = units.setdefault((r["range"], r["part"] if r["range"] in overfull else 0), [0, 0])
-        unit[0] += r["bytes"]
-        unit[1] += r["rows"]
+    ranged = keyed.withColumn("range", range_of("h", "k"))
+    most = max(total // ranges, 1)
+    heavy = ranged.groupBy("range").agg(F.sum("size").alias("bytes")).filter(F.col("bytes") > 2 * most).collect()
+    # At most as many rows as there are ranges; their parts add up to no more than the ranges.
+    plan = spark.createDataFrame([(r["range"], -(-r["bytes"] // most)) for r in heavy], "range int, parts long")
+    part = F.coalesce(F.pmod(F.xxhash64(F.lit("part"), "k", "h", "salt"), F.col("parts")), F.lit(0)).cast("int")
+    dealt = ranged.join(F.broadcast(plan), "range", "left").withColumn("part", part).drop("parts")
+    counts = dealt.groupBy("range", "part").agg(F.sum("size").alias("bytes"), F.count(F.lit(1)).alias("rows")).collect()
     rows, at_byte, at_row = [], 0, 0
-    for unit in sorted(units):
-        rows.append((*unit, at_byte, at_row))
-        at_byte, at_row = at_byte + units[unit][0], at_row + units[unit][1]
-    # At most MOST_RANGES * PARTS rows, whatever the input.
+    for r in sorted(counts, key=lambda r: (r["range"], r["part"])):
+        rows.append((r["range"], r["part"], at_byte, at_row))
+        at_byte, at_row = at_byte + r["bytes"], at_row + r["rows"]
+    # Two rows a range at most, whatever the input.
     offsets = spark.createDataFrame(rows, "range int, part int, at_byte long, at_row long")
 
-    split = F.col("range").isin(sorted(overfull)) if overfull else F.lit(False)
-    order = Window.partitionBy("range", "part").orderBy("h", "k")
+    order = Window.partitionBy("range", "part").orderBy("h", "k", "salt")
     middle = F.col("at_byte") + F.sum("size").over(order.rowsBetween(Window.unboundedPreceding, 0)) - (F.col("size") / 2).cast("long")
     placed = scratch.write(
-        ranged.withColumn("part", F.when(split, F.col("part")).otherwise(F.lit(0)))
-        .join(F.broadcast(offsets), ["range", "part"])
+        dealt.join(F.broadcast(offsets), ["range", "part"])
         .select(
             "doc_id",
             "size",
