@@ -3,9 +3,10 @@
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import reduce
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from loomstone.functions.dates import TEXT_YEAR
@@ -78,6 +79,19 @@ def subject_names(meta: DataFrame, suffix: str = "") -> DataFrame:
     return rows.select("repo", F.posexplode(F.transform(first, lambda i: F.element_at("names", i))).alias("pos", "name"))
 
 
+def bundle(sections: dict[str, DataFrame]) -> DataFrame:
+    """(repo, section, pos, value): all vocabulary of datasets in one table, each section's values (repo, pos, value) from 1 in their order, distinct.
+
+    Of a value that a section has twice, accents and case aside, the first place counts.
+    """
+    parts = [rows.select("repo", F.lit(name).alias("section"), F.col("pos").cast("long").alias("at"), F.col("value").cast("string").alias("value")) for name, rows in sections.items()]
+    every = reduce(lambda a, b: a.unionByName(b), parts).filter("trim(coalesce(value, '')) <> ''").withColumn("key", fold_key(F.col("value")))
+    first = every.groupBy("repo", "section", "key").agg(F.min(F.struct("at", "value")).alias("f")).select("repo", "section", "f.at", "f.value")
+    # A section of one dataset is one figure's, organization's or place's names: small.
+    place = F.row_number().over(Window.partitionBy("repo", "section").orderBy("at", "value"))
+    return first.select("repo", "section", place.cast("long").alias("pos"), "value")
+
+
 def slugs(html: Column) -> Column:
     """Sorted slugs of links to translated pages: ``/slug/en/`` and the like."""
     return F.array_sort(F.array_distinct(F.regexp_extract_all(html, F.lit(r'href="/([a-z0-9-]+)/(?:en|es|pt)/"'), F.lit(1))))

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from loomstone.functions import dates, fold, web
-from loomstone.operators import consistency, entities, graph, layout
+from loomstone.operators import consistency, entities, graph, layout, records
 from loomstone.operators.components import connected_components
 from loomstone.plans.base import query
 from loomstone.session import Scratch, load
@@ -281,6 +281,17 @@ def k07(spark, sf):
     return graph.dot_lines(nodes, edges)
 
 
+@query(
+    "k16_graph_json",
+    f"""{_GRAPH}, r AS (SELECT *, row_number() OVER (ORDER BY source, target) AS k FROM e)
+SELECT 0 AS part, CAST(0 AS BIGINT) AS k, '{{"repo":"lineitem","kind":"graph","subcommand":"edges","count":' || count(*) || ',"fields":["source","target","weight"],"rows":[' AS line FROM e
+UNION ALL SELECT 1, k, CASE WHEN k > 1 THEN ',' ELSE '' END || '{{"source":' || source || ',"target":' || target || ',"weight":' || weight || '}}' FROM r UNION ALL SELECT 2, 0, ']}}'""",
+)
+def k16(spark, sf):
+    """The graph's edges as one JSON document, by lines."""
+    return records.envelope(_edges(spark, sf, 3).select("source", "target", "weight"), "lineitem", "graph", "edges", ["source", "target"])
+
+
 # ---- across datasets ----
 
 

@@ -186,3 +186,19 @@ def k04(spark, sf):
     from loomstone.sources.sinks import markdown
 
     return markdown(load(spark, sf, "nation").select(F.col("n_regionkey").cast("string").alias("n_regionkey"), "n_name"), "n_regionkey", "n_name")
+
+
+@query(
+    "p23_vocabulary_bundle",
+    """WITH p AS (SELECT p_brand AS repo, 'names' AS section, p_partkey AS place, CASE WHEN p_partkey % 2 = 0 THEN upper(p_name) ELSE p_name END AS value FROM part UNION ALL SELECT p_brand, 'types', p_partkey, p_type FROM part
+       UNION ALL SELECT r_name, 'places', n_nationkey, n_name FROM region JOIN nation ON n_regionkey = r_regionkey UNION ALL SELECT r_name, 'places', n_nationkey + 50, lower(n_name) FROM region JOIN nation ON n_regionkey = r_regionkey UNION ALL SELECT r_name, 'names', 0, ' ' FROM region),
+ k AS (SELECT *, trim(regexp_replace(lower(strip_accents(value)), '[^a-z0-9]+', ' ', 'g')) AS key FROM p WHERE trim(value) <> ''), f AS (SELECT repo, section, key, min((place, value)) AS m FROM k GROUP BY ALL)
+SELECT repo, section, row_number() OVER (PARTITION BY repo, section ORDER BY m[1], m[2]) AS pos, m[2] AS value FROM f""",
+)
+def p23(spark, sf):
+    part, nation = load(spark, sf, "part"), load(spark, sf, "nation").join(load(spark, sf, "region"), F.col("n_regionkey") == F.col("r_regionkey"))
+    name = F.when(F.col("p_partkey") % 2 == 0, F.upper("p_name")).otherwise(F.col("p_name"))
+    section = lambda rows, repo, pos, value: rows.select(F.col(repo).alias("repo"), pos.alias("pos"), value.alias("value"))
+    names = section(part, "p_brand", F.col("p_partkey"), name).union(section(load(spark, sf, "region"), "r_name", F.lit(0), F.lit(" ")))
+    places = section(nation, "r_name", F.col("n_nationkey"), F.col("n_name")).union(section(nation, "r_name", F.col("n_nationkey") + 50, F.lower("n_name")))
+    return vocabulary.bundle({"names": names, "types": section(part, "p_brand", F.col("p_partkey"), F.col("p_type")), "places": places})
