@@ -156,6 +156,8 @@ def _firsts(g: np.ndarray, s: np.ndarray, doc: np.ndarray, copy: np.ndarray, lo:
 
 def _different(g: np.ndarray, first: np.ndarray) -> np.ndarray:
     """For rows sorted by g: how many rows with ``first`` their g has."""
+    if not len(g):
+        return np.empty(0, np.int64)
     fresh = np.concatenate([[True], g[1:] != g[:-1]])
     group = np.cumsum(fresh) - 1
     return np.bincount(group, weights=first)[group].astype(np.int64)
