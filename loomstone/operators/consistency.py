@@ -88,9 +88,9 @@ def neighbour_anomalies(seq: DataFrame, part: list[str] | None = None) -> DataFr
 
 
 def _around(part: list[str]) -> tuple[Window, Window]:
-    before = Window.partitionBy(*part).orderBy("n").rowsBetween(Window.unboundedPreceding, -1)
-    after = Window.partitionBy(*part).orderBy("n").rowsBetween(1, Window.unboundedFollowing)
-    return before, after
+    """The rows before each one, and those after it, by the opposite order: both frames only grow."""
+    frame = lambda *order: Window.partitionBy(*part).orderBy(*order).rowsBetween(Window.unboundedPreceding, -1)
+    return frame(F.asc_nulls_first("n"), F.asc_nulls_first("d")), frame(F.desc_nulls_last("n"), F.desc_nulls_last("d"))
 
 
 def nearest_dated(seq: DataFrame, part: list[str] | None = None) -> DataFrame:
@@ -98,7 +98,7 @@ def nearest_dated(seq: DataFrame, part: list[str] | None = None) -> DataFrame:
     if not part:
         return ordered.nearest(seq, ["n"], "d")
     before, after = _around(part)
-    return seq.withColumns({"lo": F.last("d", ignorenulls=True).over(before), "hi": F.first("d", ignorenulls=True).over(after)})
+    return seq.withColumns({"lo": F.last("d", ignorenulls=True).over(before), "hi": F.last("d", ignorenulls=True).over(after)})
 
 
 def fits(value: Column) -> Column:

@@ -28,6 +28,10 @@ def _within(order: list[str]) -> Window:
     return Window.partitionBy(RANGE).orderBy(*[F.asc_nulls_first(c) for c in order])
 
 
+def _backward(order: list[str]) -> Window:
+    return Window.partitionBy(RANGE).orderBy(*[F.desc_nulls_last(c) for c in order])
+
+
 def nearest(df: DataFrame, order: list[str], value: str, before: str = "lo", after: str = "hi") -> DataFrame:
     """``df`` with the nearest non-null ``value`` of the rows before and after each row, itself left out.
 
@@ -49,11 +53,9 @@ def nearest(df: DataFrame, order: list[str], value: str, before: str = "lo", aft
     kind = rows.schema[value].dataType
     schema = StructType([StructField(RANGE, IntegerType()), StructField("_lo", kind), StructField("_hi", kind)])
     carry = df.sparkSession.createDataFrame([tuple(c) for c in carried], schema)
-    own = _within(full)
-    found = {
-        before: F.coalesce(F.last(value, ignorenulls=True).over(own.rowsBetween(Window.unboundedPreceding, -1)), F.col("_lo")),
-        after: F.coalesce(F.first(value, ignorenulls=True).over(own.rowsBetween(1, Window.unboundedFollowing)), F.col("_hi")),
-    }
+    # What follows is what precedes in the opposite order: a frame that only grows takes each row once, one that shrinks is summed up anew for each row.
+    earlier = lambda own: F.last(value, ignorenulls=True).over(own.rowsBetween(Window.unboundedPreceding, -1))
+    found = {before: F.coalesce(earlier(_within(full)), F.col("_lo")), after: F.coalesce(earlier(_backward(full)), F.col("_hi"))}
     # A row a range.
     return rows.join(F.broadcast(carry), RANGE).withColumns(found).select(*df.columns, before, after)
 

@@ -50,3 +50,19 @@ def test_no_window_without_partition(spark):
         consistency.adjudicate(seq).explain("formatted")
         consistency.neighbour_anomalies(seq).explain("formatted")
     assert "Window" in text.getvalue() and "SinglePartition" not in text.getvalue()
+
+
+def test_frames_only_grow(spark):
+    rows = [(i % 3, i, None if i % 7 < 5 else i * 37 % 1000) for i in range(300)]
+    seq = spark.createDataFrame(rows, "g int, n int, v int").selectExpr("g", "n", "date_add(date'2001-01-06', v) as d", "date_add(date'2001-01-07', v) as index_d")
+    text = io.StringIO()
+    with redirect_stdout(text):
+        ordered.nearest(seq, ["n"], "d").explain()
+        consistency.nearest_dated(seq, ["g"]).explain()
+    # A frame that ends with the partition is summed up anew for each row.
+    assert "unboundedpreceding" in text.getvalue() and "unboundedfollowing" not in text.getvalue()
+    found = {x.n: (x.lo, x.hi) for x in consistency.nearest_dated(seq, ["g"]).collect()}
+    dates = {x.n: (x.g, x.d) for x in seq.collect()}
+    for n, (g, _) in dates.items():
+        own = [(m, d) for m, (h, d) in sorted(dates.items()) if h == g and d is not None]
+        assert found[n] == (next((d for m, d in reversed(own) if m < n), None), next((d for m, d in own if m > n), None))
