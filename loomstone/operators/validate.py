@@ -213,7 +213,11 @@ def publishers(rows: DataFrame) -> DataFrame:
 def corpus_shape(docs: DataFrame, least: int = 40, most_pairs: float = 0.5) -> DataFrame:
     """Documents of a derived corpus are whole: ended sentences, one row each, a least size, few doubled glyphs."""
     text = F.coalesce(F.col("text"), F.lit(""))
-    pairs = F.regexp_count(text, F.lit(r"(\p{L})\1")) * 2 / F.greatest(F.regexp_count(text, F.lit(r"\p{L}")), F.lit(1))
+    # The share of like pairs among the first and second character, the third and fourth and so on, without white space: all in a doubled text.
+    # Each pair becomes its character if both are like, else nothing; an odd last character stays.
+    glyphs = F.regexp_replace(text, r"(?U)\s+", "")
+    like = F.length(F.regexp_replace(glyphs, r"(?s)(.)\1|..", "$1")) - F.length(glyphs) % 2
+    pairs = like / F.greatest(F.floor(F.length(glyphs) / 2), F.lit(1))
     last = F.trim(text)
     return report(
         [

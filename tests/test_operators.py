@@ -431,3 +431,9 @@ def test_glossaries_and_witnesses_without_entries(spark):
     assert [tuple(r) for r in readers.glossary(data).collect()] == [("g", "a", "B", "x")]
     assert readers.witness(data).collect() == [] and readers.filename_witness(data).collect() == []
     assert readers.transcript_entries(data).collect() == []
+
+
+def test_doubled_glyphs(spark):
+    rows = [(1, "Y gaarra, ñcill ñrr."), (2, "TThhee ccaatt  ssaatt\n oonn tthhee mmaatt aanndd 𝒳𝒳 ssttaayyeedd.."), (3, "The committee agreed: all bookkeepers need good coffee."), (4, ""), (5, None), (6, "aa\nbbc")]
+    found = validate.corpus_shape(spark.createDataFrame(rows, "doc_id long, text string")).filter("message = 'doubled glyphs'")
+    assert sorted(x.locator for x in found.collect()) == ["2", "6"]
