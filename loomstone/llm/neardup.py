@@ -8,21 +8,19 @@ of ``DEPTH`` hashes is where they begin to count: a region of that prefix with
 up to ``REGION`` members gives all its pairs, a larger one its label
 neighbours. Links found so far make components.
 
-Regions too large for all pairs are then looked at again. Where up to ``BLOCK``
-members lie outside the main component, each of these meets all members, dealt
-into parts of about ``BLOCK``; a region with more of them is divided by the next
-hash of its order, again and again, so the depth adapts to each region; of
-members that share all eight hashes of a label, each outside the main component
-still meets all others. No pair of a region is lost so. A member takes two rows
-for each tree at most but in that last case. In a group that holds several
-components, members outside the main one are looked at by their whole signatures, and then by the ``SKETCH`` smallest shingle hashes,
+Regions too large for all pairs are then looked at again, whatever their size:
+each member outside the main component meets all members. Members are dealt
+into parts of about ``BLOCK``, those outside into chunks of as many, and each
+part stands beside each chunk in a group of its own; nothing is divided by
+further hashes, so that no pair of a region is lost. A region of m members with
+o of them outside makes m * o comparisons, and m * o / BLOCK rows of each kind:
+unlinked texts of one pattern are quadratic by nature, with bounded groups. Pairs are looked
+at by their whole signatures, and then by the ``SKETCH`` smallest shingle hashes,
 which are the whole set of most texts: near misses end there, and only pairs
 that may be links are confirmed. Groups of copies never give all their pairs.
 
 Two sets at a similarity of 0.75 miss each other in all 32 trees with a chance
-of 5 in a million at depth 4, 2 in 1000 at depth 6 and 3 in 100 at depth 8;
-depths beyond 4 are those of regions with more than 2048 members outside of the
-main component. Pairs beyond
+of 5 in a million. Pairs beyond
 the first few of a document, and those of large regions, are ruled out by an
 estimate ``ERRORS`` standard errors below 0.75: the signature drops a pair at
 0.75 with a chance of 1 in 100 million, the sketch of a longer text with less.
@@ -54,7 +52,7 @@ HASHES, TREES, DEPTH = 128, 32, 4
 REGION, NEAR = 8, 2
 #: Candidates of a document that are confirmed first: those met in most trees, and some by hash, which tie clusters together.
 FIRST, MIXED = 2, 4
-#: Members up to which a large region is one group, and members outside its main component up to which it isn't divided by its next hash.
+#: Members of a part of a large region, and members outside its main component in a chunk, about.
 BLOCK = 2048
 #: Standard errors below 0.75 at which an estimate rules a pair out.
 ERRORS = 6
@@ -269,43 +267,31 @@ def close(x: np.ndarray, nx: int, y: np.ndarray, ny: int) -> bool:
 
 
 def groups(members: DataFrame, scratch: Scratch) -> DataFrame:
-    """(tree, hi, sub, deep, part, chunk, rep, component): members of large regions in groups of some BLOCK at most that hold several components.
+    """(tree, hi, sub, deep, part, chunk, rep, component, own, asked): members of large regions that hold several components, in groups.
 
-    A region of more members whose main component leaves up to BLOCK others is
-    dealt into parts, each beside all of the others, so that every pair that may
-    be a link is in a group. With more others it is divided by the next hash of
-    its label; members that share all eight are dealt into parts, and their
-    others into chunks of about BLOCK, each part beside each chunk.
+    A region's members are dealt into parts of about BLOCK, and those outside
+    its main component into chunks of about as many. A group is a part (``own``)
+    beside a chunk (``asked``), so that every pair that may be a link is in a
+    group, one end of it asked and the other one own. ``sub`` and ``deep`` are 0:
+    no region is divided by further hashes.
     """
-    keys, done, rest = ["tree", "hi", "sub"], [], members
-    for deep in range(DEPTH + 1):
-        # The label's later half has the next hashes, from its lowest 16 bits on.
-        sub = F.lit(0).cast("long") if not deep else F.col("lo") if deep == DEPTH else F.col("lo").bitwiseAND(F.lit((1 << 16 * deep) - 1))
-        rest = rest.withColumn("sub", sub)
-        counts = rest.groupBy(*keys, "component").agg(F.count(F.lit(1)).alias("n"))
-        of = counts.groupBy(*keys).agg(F.sum("n").alias("m"), F.max("n").alias("most"), F.max_by("component", F.struct("n", "component")).alias("main"), F.count(F.lit(1)).alias("kinds"))
-        # A group of one component has nothing to compare, however large.
-        of = scratch.write(of.filter("kinds > 1").select(*keys, "m", "main", (F.col("m") - F.col("most")).alias("others")), f"groups{deep}")
-        fit = F.lit(True) if deep == DEPTH else (F.col("m") <= BLOCK) | (F.col("others") <= BLOCK)
-        known = rest.join(of, keys)
-        dealt = lambda name, n: F.pmod(F.xxhash64(F.lit(name), "tree", "rep"), F.ceil(F.col(n) / BLOCK)).cast("int")
-        every = lambda n: F.explode(F.sequence(F.lit(0), F.ceil(F.col(n) / BLOCK).cast("int") - 1))
-        out = [*keys, F.lit(deep).alias("deep"), "part", "chunk", "rep", "component"]
-        own = known.filter(fit).withColumn("part", dealt("part", "m")).withColumn("chunk", every("others"))
-        asked = known.filter(fit & (F.col("m") > BLOCK) & (F.col("component") != F.col("main"))).withColumn("chunk", dealt("chunk", "others")).withColumn("part", every("m"))
-        done += [own.select(*out), asked.select(*out)]
-        if deep == DEPTH or of.filter(~fit).isEmpty():
-            break
-        rest = known.filter(~fit).select(*members.columns)
-    out = done[0]
-    for x in done[1:]:
-        out = out.unionByName(x)
+    keys = ["tree", "hi"]
+    counts = members.groupBy(*keys, "component").agg(F.count(F.lit(1)).alias("n"))
+    of = counts.groupBy(*keys).agg(F.sum("n").alias("m"), F.max("n").alias("most"), F.max_by("component", F.struct("n", "component")).alias("main"), F.count(F.lit(1)).alias("kinds"))
+    # A group of one component has nothing to compare, however large.
+    of = scratch.write(of.filter("kinds > 1").select(*keys, "m", "main", (F.col("m") - F.col("most")).alias("others")), "groups")
+    known = members.join(of, keys)
+    dealt = lambda name, n: F.pmod(F.xxhash64(F.lit(name), "tree", "rep"), F.ceil(F.col(n) / BLOCK)).cast("int")
+    every = lambda n: F.explode(F.sequence(F.lit(0), F.ceil(F.col(n) / BLOCK).cast("int") - 1))
+    own = known.withColumn("part", dealt("part", "m")).withColumn("chunk", every("others")).withColumns({"own": F.lit(True), "asked": F.lit(False)})
+    asked = known.filter(F.col("component") != F.col("main")).withColumn("chunk", dealt("chunk", "others")).withColumn("part", every("m")).withColumns({"own": F.lit(False), "asked": F.lit(True)})
+    both = own.unionByName(asked).withColumns({"sub": F.lit(0).cast("long"), "deep": F.lit(0)})
     # One of the others may be dealt into the part that it is asked of.
-    return out.distinct()
+    return both.groupBy("tree", "hi", "sub", "deep", "part", "chunk", "rep", "component").agg(F.max("own").alias("own"), F.max("asked").alias("asked"))
 
 
 def _compare(table: pa.Table) -> pa.Table:
-    """Pairs of different components in one group that may be links: one end is not of the main component.
+    """Pairs of different components in one group that may be links: one end is asked, the other one own.
 
     A pair whose sketches are whole sets and similar beyond what some equal
     hashes could feign is a sure link. It joins two components here too, and no
@@ -313,19 +299,20 @@ def _compare(table: pa.Table) -> pa.Table:
     about as many pairs as it has members. Other pairs are all given.
     """
     rep, comp, size, tree = (table.column(c).to_numpy() for c in ("rep", "component", "n", "tree"))
-    _, of, many = np.unique(comp, return_inverse=True, return_counts=True)
+    kinds, of = np.unique(comp, return_inverse=True)
     out = [np.zeros((0, 2), np.int64)]
-    if len(many) > 1:
+    if len(kinds) > 1:
         sig = np.frombuffer(b"".join(table.column("sig").to_pylist()), "<u2").reshape(-1, HASHES)
         labels = np.ascontiguousarray(sig).view("<i8")
         sketch = [np.frombuffer(x, "<u4") for x in table.column("sketch").to_pylist()]
         start = np.cumsum([0, *(len(x) for x in sketch)])
         values, flat = np.unique(np.concatenate(sketch), return_inverse=True)
         flat = flat.astype(np.int32)
-        held, main, joined = np.zeros(len(values), bool), many.argmax(), of.copy()
-        for i in np.flatnonzero(of != main):
-            # A pair of two outsiders is looked at once, and a pair that meets in several trees in the first one.
-            other = (joined != joined[i]) & ((of == main) | (np.arange(len(rep)) < i)) & (100 * np.minimum(size, size[i]) >= LINKED * np.maximum(size, size[i]))
+        own, asked = (table.column(c).to_numpy(zero_copy_only=False).astype(bool) for c in ("own", "asked"))
+        held, joined = np.zeros(len(values), bool), of.copy()
+        for i in np.flatnonzero(asked):
+            # A pair whose ends are both asked and own is looked at once, and a pair that meets in several trees in the first one.
+            other = (joined != joined[i]) & own & (~(asked & own[i]) | (np.arange(len(rep)) < i)) & (100 * np.minimum(size, size[i]) >= LINKED * np.maximum(size, size[i]))
             hit = np.flatnonzero(other)
             hit = hit[_shares(sig[i], sig[hit]) >= LEAST_SHARE]
             hit = hit[(labels[hit, : tree[i]] != labels[i, : tree[i]]).all(axis=1)]

@@ -172,6 +172,19 @@ def test_groups_hold_every_pair_of_different_components(spark, monkeypatch, bloc
     assert met == want and all(len(own) <= 2 * block + 12 + (block < 15) * 30 for own in held.values())
 
 
+@pytest.mark.parametrize("block", [4, 15])
+def test_groups_divide_no_region_by_further_hashes(spark, monkeypatch, block):
+    """Members of many components whose labels differ beyond their prefix: all pairs meet, one end asked and the other own."""
+    monkeypatch.setattr(neardup, "BLOCK", block)
+    rows = [(k % 2, 3, (k * 7919) % 65536 + (k << 20), k, k // 3) for k in range(120)]
+    members = spark.createDataFrame(rows, "tree int, hi long, lo long, rep long, component long")
+    held = {}
+    for x in neardup.groups(members, Scratch(spark, "test")).collect():
+        held.setdefault((x.tree, x.hi, x.part, x.chunk), []).append((x.rep, x.component, x.own, x.asked))
+    met = {(k[0], min(a, b), max(a, b)) for k, rows in held.items() for a, c, _, asked in rows for b, d, own, _ in rows if asked and own and c != d}
+    assert met == {(t, a, b) for t, _, _, a, c in rows for u, _, _, b, d in rows if t == u and a < b and c != d}
+
+
 def test_filter_of_ids_passes_all_that_are_named(spark):
     docs = spark.createDataFrame([(i, "t") for i in range(-500, 500)] + [(None, "t")], "doc_id long, text string")
     ids = spark.createDataFrame([(i,) for i in range(-500, 500, 7)], "doc_id long")
