@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from loomstone.functions.fold import conjunction_parts, fold_key, initials_key
+from loomstone.session import PART, dealt
 
 #: Blocks of a token above this many entities make no pairs; a token of up to RARE is rare.
 BLOCK, RARE, MOST = 12, 3, 200
@@ -16,19 +17,21 @@ def postings(docs: DataFrame) -> DataFrame:
     return docs.select("doc", "surface").filter("surface is not null").distinct()
 
 
-def canonical_table(pairs: DataFrame, aliases: DataFrame | None = None) -> DataFrame:
+def canonical_table(pairs: DataFrame, aliases: DataFrame | None = None, rows: int | None = None) -> DataFrame:
     """Surfaces grouped by match key: (key, display, docs, variants, surfaces, merged_by).
 
     ``aliases`` has (key, target): recorded spellings that count as another
-    key. Grouping is in two steps, so that no list of documents is collected.
+    key. Pairs are dealt by document over as many tasks as they ask for (by
+    ``rows``, or as counted) and counted within each part, so that no list of
+    documents is collected and only counts are shuffled again.
     """
-    keyed = pairs.withColumn("own", fold_key(F.col("surface"))).filter("own <> ''")
+    keyed = dealt(pairs.select("doc", "surface"), "doc", rows).distinct().withColumn("own", fold_key(F.col("surface"))).filter("own <> ''")
     if aliases is not None:
         keyed = keyed.join(aliases.select(F.col("key").alias("own"), "target"), "own", "left").withColumn("key", F.coalesce("target", "own"))
     else:
         keyed = keyed.withColumn("key", F.col("own"))
-    docs = keyed.select("key", "doc").distinct().groupBy("key").agg(F.count(F.lit(1)).alias("docs"))
-    surfaces = keyed.groupBy("key", "own", "surface").agg(F.count_distinct("doc").alias("n"))
+    docs = keyed.select(PART, "key", "doc").distinct().groupBy(PART, "key").agg(F.count("doc").alias("n")).groupBy("key").agg(F.sum("n").alias("docs"))
+    surfaces = keyed.groupBy(PART, "key", "own", "surface").agg(F.count("doc").alias("n")).groupBy("key", "own", "surface").agg(F.sum("n").alias("n"))
     grouped = surfaces.groupBy("key").agg(
         F.min_by("surface", F.struct(-F.col("n"), "surface")).alias("display"),
         F.count(F.lit(1)).alias("variants"),

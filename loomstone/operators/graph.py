@@ -6,17 +6,24 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from loomstone.functions.web import escape_dot, escape_xml
+from loomstone.session import PART, dealt, spread
 
 
 def cooccurrence(pairs: DataFrame, least: int = 1) -> DataFrame:
     """(source, target, weight) of entities that share ``least`` documents, from (doc, entity).
 
-    A document's entities are few, so the pairs of each come from one row per
-    document; the join on ``doc`` never meets two large sides of one key.
+    Documents are dealt over as many tasks as the rows ask for. A document's
+    entities are few, so that its pairs come from one row of them; they are
+    counted within each part before these counts are summed up.
     """
-    own = pairs.select("doc", "entity").filter("entity is not null").distinct()
-    both = own.withColumnRenamed("entity", "source").join(own.withColumnRenamed("entity", "target"), "doc").filter("source < target")
-    return both.groupBy("source", "target").agg(F.count(F.lit(1)).alias("weight")).filter(F.col("weight") >= least)
+    rows = pairs.count()
+    own = dealt(pairs.select("doc", "entity").filter("doc is not null and entity is not null"), "doc", rows)
+    lists = own.groupBy(PART, "doc").agg(F.array_sort(F.collect_set("entity")).alias("all"))
+    first = lists.select(PART, "all", F.posexplode("all").alias("i", "source"))
+    both = first.select(PART, "source", F.explode(F.slice("all", F.col("i") + 2, F.size("all"))).alias("target"))
+    counts = both.groupBy(PART, "source", "target").agg(F.count(F.lit(1)).alias("n")).drop(PART)
+    # About two pairs a row.
+    return spread(counts, 2 * rows, "source", "target").groupBy("source", "target").agg(F.sum("n").alias("weight")).filter(F.col("weight") >= least)
 
 
 def degrees(nodes: DataFrame, edges: DataFrame) -> DataFrame:

@@ -7,6 +7,10 @@ import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+#: The column of :func:`dealt`, and rows that one of its tasks takes at most and at least, about.
+PART, MOST_ROWS, LEAST_ROWS = "_part", 250_000, 20_000
 
 
 def load(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -29,6 +33,30 @@ def shared_dir(spark: SparkSession) -> str:
     return context._jsc.sc().getCheckpointDir().get().rstrip("/")
 
 
+def tasks_for(spark: SparkSession, rows: int) -> int:
+    """The tasks that so many rows are dealt over: few for few rows, and more than the session's shuffle partitions for many."""
+    usual = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    return max(1, min(usual, -(-rows // LEAST_ROWS)), -(-rows // MOST_ROWS))
+
+
+def dealt(df: DataFrame, key: str, rows: int | None = None) -> DataFrame:
+    """``df`` dealt over tasks by ``key``, with a column PART that rows of one key share.
+
+    The number of tasks follows the number of rows (``rows``, or as counted),
+    so that a task's memory doesn't grow with them where the session's number
+    of shuffle partitions stays. Joins and groups whose keys include PART need
+    no further shuffle.
+    """
+    n = tasks_for(df.sparkSession, df.count() if rows is None else rows)
+    # More parts than tasks, so that these get about equally many.
+    return df.withColumn(PART, F.pmod(F.xxhash64(key), F.lit(16 * n)).cast("int")).repartition(n, PART)
+
+
+def spread(df: DataFrame, rows: int, *keys: str) -> DataFrame:
+    """``df`` dealt over tasks by ``keys``, as many as :func:`dealt` takes for ``rows``."""
+    return df.repartition(tasks_for(df.sparkSession, rows), *keys)
+
+
 class Scratch:
     """Written tables in the shared folder, for cutting lineage.
 

@@ -6,6 +6,7 @@ import json
 import pytest
 from pyspark.sql import functions as F
 
+from loomstone import session
 from loomstone.functions import dates, fold, web
 from loomstone.operators import consistency, entities, graph, index, layout, mining, records, search, textflow, validate, vocabulary
 from loomstone.operators.components import connected_components
@@ -437,3 +438,26 @@ def test_doubled_glyphs(spark):
     rows = [(1, "Y gaarra, ñcill ñrr."), (2, "TThhee ccaatt  ssaatt\n oonn tthhee mmaatt aanndd 𝒳𝒳 ssttaayyeedd.."), (3, "The committee agreed: all bookkeepers need good coffee."), (4, ""), (5, None), (6, "aa\nbbc")]
     found = validate.corpus_shape(spark.createDataFrame(rows, "doc_id long, text string")).filter("message = 'doubled glyphs'")
     assert sorted(x.locator for x in found.collect()) == ["2", "6"]
+
+
+def test_tasks_follow_the_rows(spark, monkeypatch):
+    """Pairs of entities and documents of surfaces are counted by more tasks than the session's partitions, with the same results."""
+    monkeypatch.setattr(session, "MOST_ROWS", 100)
+    rows = [(i // 4, i * 7919 % 97) for i in range(4000)] + [(None, 5), (None, 6), (3, None)]
+    pairs = spark.createDataFrame(rows, "doc int, entity int")
+    edges = graph.cooccurrence(pairs)
+    assert edges.rdd.getNumPartitions() == 81
+    docs, want = {}, {}
+    for d, e in rows:
+        if d is not None and e is not None:
+            docs.setdefault(d, set()).add(e)
+    for own in docs.values():
+        for a in own:
+            for b in own:
+                if a < b:
+                    want[a, b] = want.get((a, b), 0) + 1
+    assert {(x.source, x.target): x.weight for x in edges.collect()} == want
+    names = pairs.select("doc", F.concat(F.when(F.col("entity") % 2 == 0, "Ana ").otherwise("ANA "), F.col("entity").cast("string")).alias("surface"))
+    found = {x.key: (x.docs, x.variants) for x in entities.canonical_table(names.union(names.limit(9))).collect()}
+    assert found == {f"ana {e}": (sum(e in own for own in docs.values()), 1) for e in range(97)}
+    assert [session.tasks_for(spark, n) for n in (0, 50, 900)] == [1, 1, 9]
