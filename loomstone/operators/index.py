@@ -40,7 +40,8 @@ def phrase_counts(postings: DataFrame, wanted: list[Phrase], placed: set[Phrase]
     if all(p.columns is not None for p in wanted):
         rows = rows.filter(F.col("column").isin(*{c for p in wanted for c in p.columns}) if any(p.columns for p in wanted) else F.lit(False))
     roles = F.array_compact(F.array(*[F.when(_wanted(token, wanted[i], k) & allowed[i], F.struct(F.lit(i).alias("phrase"), F.lit(k).alias("k"), F.lit(1 << k).cast("long").alias("bit"))) for i, k in places]))
-    found = rows.select("chunk", "column", "pos", F.explode(roles).alias("role")).select("chunk", "column", "role.phrase", (F.col("pos") - F.col("role.k")).alias("start"), "role.bit")
+    found = rows.select("chunk", "column", "at", F.explode(roles).alias("role")).select("chunk", "column", "role", F.explode("at").alias("pos"))
+    found = found.select("chunk", "column", "role.phrase", (F.col("pos") - F.col("role.k")).alias("start"), "role.bit")
     size = F.element_at(F.array(*[F.lit(len(p.words)) for p in wanted]), F.col("phrase") + 1)
     first = F.element_at(F.array(*[F.lit(p.initial) for p in wanted]), F.col("phrase") + 1)
     # Sets of places as bits, so that the map side combines them.
@@ -128,8 +129,9 @@ class Search:
             inside = F.lit(True) if p.columns is None else F.col("column").isin(*p.columns) if p.columns else F.lit(False)
             pieces |= {f"w{i}_{k}": _wanted(token, p, k) & inside for k in range(len(p.words))}
         rows = self.index.blocks.filter(reduce(lambda x, y: x | y, pieces.values()))
-        held = rows.groupBy("block").agg(F.min("least").alias("least"), *[F.sum(F.when(test, F.col("most")).otherwise(F.lit(0))).alias(c) for c, test in pieces.items()])
+        held = rows.groupBy("block").agg(*[F.sum(F.when(test, F.col("most")).otherwise(F.lit(0))).alias(c) for c, test in pieces.items()])
         tf = {p: F.array_min(F.array(*[F.col(f"w{i}_{k}") for k in range(len(p.words))])) for i, p in enumerate(self.wanted)}
+        held = held.join(self.index.chunks.groupBy("block").agg(F.min("words").alias("least")), "block")
         # Any branch may match, so that each phrase counts.
         return held.join(F.broadcast(statistics)).select("block", self.score(tf, F.col("least"), lambda node: F.lit(True)).alias("bound"))
 

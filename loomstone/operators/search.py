@@ -3,10 +3,13 @@
 from __future__ import annotations
 
 import re
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass, field, replace
 from functools import reduce
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -178,9 +181,58 @@ def phrases(tree: Phrase | Node) -> list[Phrase]:
     return list(dict.fromkeys(p for part in tree.parts for p in phrases(part)))
 
 
-def postings(df: DataFrame, key: str | list[str], text: str = "text") -> DataFrame:
-    """(key, token, pos): one row for each word of each text."""
-    return df.select(*([key] if isinstance(key, str) else key), F.posexplode(tokens(F.coalesce(F.col(text), F.lit("")))).alias("pos", "token"))
+#: A word of a text: how often it stands there, its places in order; ``n`` and ``most`` are those of :func:`postings`.
+POSTING = "token string, tf int, at array<int>, n int, most int"
+
+
+def postings(df: DataFrame, text: str = "text") -> DataFrame:
+    """(chunk, block, column, and POSTING): a row for each different word of each text of ``df`` (chunk, block, column, text).
+
+    The rows of a block must come in one task, which holds and sorts its rows:
+    they leave it by token, then block, column and chunk. The first row of a
+    token, block and column has ``n``, how many of the texts hold the word, and
+    ``most``, how often it stands in one of them at most.
+    """
+    words = df.select("chunk", "block", "column", tokens(F.coalesce(F.col(text), F.lit(""))).alias("words"))
+    kinds = dict(words.dtypes)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held = list(batches)
+        if not held:
+            return
+        table = pa.Table.from_batches(held).combine_chunks()
+        if not table.num_rows or not len(flat := (lists := table["words"].chunk(0)).flatten()):
+            return
+        size = lists.value_lengths().to_numpy()
+        owner, pos = np.repeat(np.arange(len(size)), size), np.arange(len(flat)) - np.repeat(np.cumsum(size) - size, size)
+        coded = flat.dictionary_encode()
+        names = pc.array_sort_indices(coded.dictionary).to_numpy()
+        place = np.empty(len(names), np.int64)
+        place[names] = np.arange(len(names))
+        key = place[coded.indices.to_numpy()] * len(size) + owner
+        order = np.argsort(key, kind="stable")
+        key = key[order]
+        begins = np.flatnonzero(np.diff(key, prepend=-1))
+        word, row = np.divmod(key[begins], len(size))
+        tf = np.diff(np.append(begins, len(key)))
+        # Rows come by block and column, so that those of a word are runs.
+        block, column = table["block"].to_numpy(), table["column"].chunk(0).dictionary_encode().indices.to_numpy()
+        group = np.cumsum(np.append(0, (np.diff(block) != 0) | (np.diff(column) != 0)))
+        first = np.diff(word * len(size) + group[row], prepend=-1) != 0
+        heads = np.flatnonzero(first)
+        n, most = np.zeros(len(row), np.int32), np.zeros(len(row), np.int32)
+        n[heads], most[heads] = np.diff(np.append(heads, len(row))), np.maximum.reduceat(tf, heads)
+        pos = pos[order]
+        for k in range(0, len(row), 1 << 16):
+            part = slice(k, k + (1 << 16))
+            stops = np.append(begins[part], begins[part][-1] + tf[part][-1])
+            at = pa.ListArray.from_arrays(pa.array(stops - stops[0], pa.int32()), pa.array(pos[stops[0] : stops[-1]], pa.int32()))
+            own = [table[c].chunk(0).take(pa.array(row[part])) for c in ("chunk", "block", "column")]
+            later = ~first[part]
+            made = [coded.dictionary.take(pa.array(names[word[part]])), pa.array(tf[part], pa.int32()), at, pa.array(n[part], mask=later), pa.array(most[part], mask=later)]
+            yield pa.RecordBatch.from_arrays([*own, *made], ["chunk", "block", "column", "token", "tf", "at", "n", "most"])
+
+    return words.sortWithinPartitions("block", "column", "chunk").mapInArrow(run, f"chunk {kinds['chunk']}, block {kinds['block']}, column {kinds['column']}, {POSTING}")
 
 
 def phrase_positions(text: Column, phrase: Phrase) -> Column:

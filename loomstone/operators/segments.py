@@ -18,7 +18,7 @@ from pyspark.sql import functions as F
 
 from loomstone.operators.index import Index
 from loomstone.sources.files import delete, exists, names
-from loomstone.sources.sinks import BLOCK, guard, write_index, write_postings
+from loomstone.sources.sinks import guard, index_tasks, write_chunks, write_index
 
 #: Segments of one size class that are merged into one; a class reaches to so many times its least number of chunks.
 FANOUT = 4
@@ -140,8 +140,8 @@ def _rows(spark: SparkSession, path: str, live: list) -> DataFrame:
 def merge(spark: SparkSession, path: str, collection: str = "collection", fanout: int = FANOUT) -> int | None:
     """Merge the segments of the lowest size class that has ``fanout`` of them, and give the version; None if no class has.
 
-    Struck rows are left behind. Chunks and postings are copied: no text is cut
-    into words again.
+    Struck rows are left behind. Chunks are copied, and their postings written
+    anew, as that shuffles less than to sort the old ones out.
     """
     live = entries(spark, path)
     tiers: dict[int, list] = {}
@@ -154,10 +154,9 @@ def merge(spark: SparkSession, path: str, collection: str = "collection", fanout
     target = f"{path}/segments/{number}"
     part = _opened_parts(spark, path, full)
     part["docs"].write.mode("overwrite").partitionBy(collection).parquet(f"{target}/docs")
-    ordered = part["chunks"].drop("block").repartitionByRange("doc_id", "offset").sortWithinPartitions("doc_id", "offset")
-    ordered.withColumn("block", F.floor(F.monotonically_increasing_id() / BLOCK)).write.mode("overwrite").parquet(f"{target}/chunks")
-    chunks = spark.read.parquet(f"{target}/chunks")
-    write_postings(part["postings"].drop("block").join(chunks.select("chunk", "block"), "chunk"), chunks, target)
+    chars = part["chunks"].agg(F.sum(F.length("body"))).first()[0] or 0
+    ordered = part["chunks"].drop("block").repartition(index_tasks(chars), "doc_id").sortWithinPartitions("doc_id", "offset")
+    write_chunks(ordered, chars, target)
     gone = {e["segment"] for e in full}
     entry = (number, sum(e["chunks"] for e in full), sum(e["words"] for e in full), 0, None)
     _commit(spark, path, number, [*[tuple(e) for e in live if e["segment"] not in gone], entry])
@@ -167,11 +166,11 @@ def merge(spark: SparkSession, path: str, collection: str = "collection", fanout
 def _opened_parts(spark: SparkSession, path: str, some: list) -> dict[str, DataFrame]:
     """The live rows of some segments."""
     dead = _struck(spark, path, some)
-    out = {t: _table(spark, path, some, t) for t in ("docs", "chunks", "postings")}
+    out = {t: _table(spark, path, some, t) for t in ("docs", "chunks")}
     if dead is not None:
         out["docs"] = out["docs"].join(dead.select("segment", "doc_id").distinct(), ["segment", "doc_id"], "left_anti")
         gone = dead.filter("chunk is not null").select("segment", "chunk")
-        out |= {t: out[t].join(gone, ["segment", "chunk"], "left_anti") for t in ("chunks", "postings")}
+        out["chunks"] = out["chunks"].join(gone, ["segment", "chunk"], "left_anti")
     return {t: rows.drop("segment") for t, rows in out.items()}
 
 

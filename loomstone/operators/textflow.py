@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -20,17 +22,18 @@ def squeeze(c: Column) -> Column:
 def dedup_runs(c: Column, keep: int = KEEP) -> Column:
     """The text with at most ``keep`` equal sentences in a row.
 
-    A fold over the sentences of a text, so that no sentence is shuffled; it
-    holds the last sentence, the length of its run, and the kept text.
+    A sentence goes if it equals each of the ``keep`` before it, so that a text
+    costs in proportion to its sentences and none is shuffled.
     """
     sentences = F.split(c, r"(?<=[.!?])\s+")
-    zero = F.struct(F.lit(None).cast("string").alias("last"), F.lit(0).alias("run"), F.expr("cast(array() as array<string>)").alias("out"))
 
-    def step(state: Column, s: Column) -> Column:
-        run = F.when(s.eqNullSafe(state["last"]), state["run"] + 1).otherwise(F.lit(1))
-        return F.struct(s.alias("last"), run.alias("run"), F.when(run <= keep, F.array_append(state["out"], s)).otherwise(state["out"]).alias("out"))
+    def kept(all_: Column) -> Column:
+        def stays(s: Column, i: Column) -> Column:
+            return ~F.coalesce(reduce(lambda x, y: x & y, [F.get(all_, i - k) == s for k in range(1, keep + 1)]), F.lit(False))
+
+        return F.filter(all_, stays)
 
-    return F.aggregate(sentences, zero, step, lambda s: F.array_join(s["out"], " "))
+    return F.array_join(F.element_at(F.transform(F.array(sentences), kept), 1), " ")
 
 
 def normalise(c: Column) -> Column:

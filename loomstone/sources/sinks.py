@@ -17,6 +17,8 @@ PROTECTED = re.compile(r"(^|/)(data|corpus)(/|$)|chronology[^/]*\.json$|glossary
 
 #: Chunks of a block.
 BLOCK = 128
+#: Characters of texts whose chunks and postings one task writes, about.
+PART_CHARS = 12_000_000
 
 
 class WriteRefused(ValueError):
@@ -30,38 +32,53 @@ def guard(path: str) -> str:
 
 
 def write_index(docs: DataFrame, path: str, collection: str = "collection", title: str | None = None) -> None:
-    """docs, chunks and postings of a corpus as Parquet, rebuilt from nothing.
+    """docs, chunks, postings and blocks of a corpus as Parquet, rebuilt from nothing.
 
     Words of ``title``, a column of ``docs``, are indexed with each chunk of
     their document, as a column of their own. Rows without a title have none.
 
-    Chunks are clustered by document and know their number of words, so that
-    statistics read no text; BLOCK of them in a row share a block. Postings are
-    clustered by token, then block and chunk: a search reads the row groups of
-    its words, and a frequent word is spread over as many files as it fills.
-    ``blocks`` has for each token, column and block the chunks that hold it, the
-    most occurrences in one of them, and the fewest words of the block's chunks.
+    Chunks of a document stand in a row and know their number of words, so that
+    statistics read no text; BLOCK of them in a row share a block. Documents are
+    dealt over tasks by the characters of all of them, PART_CHARS each, however
+    many shuffle partitions the session has.
     """
     guard(path)
+    spark = docs.sparkSession
     clean = docs.withColumn("text", normalise(F.coalesce("text", F.lit("")))).withColumn("chars", F.length("text"))
     clean.drop("text").write.mode("overwrite").partitionBy(collection).parquet(f"{path}/docs")
-    named = clean.select("doc_id", "text", *([F.coalesce(title, F.lit("")).alias("title")] if title else []))
-    parts = chunks(named).withColumn("chunk", F.concat_ws(":", "doc_id", "offset")).withColumn("words", F.size(tokens(F.col("body"))) + (F.size(tokens(F.col("title"))) if title else F.lit(0)))
-    parts.repartitionByRange("doc_id", "offset").sortWithinPartitions("doc_id", "offset").withColumn("block", F.floor(F.monotonically_increasing_id() / BLOCK)).write.mode("overwrite").parquet(f"{path}/chunks")
-    written = docs.sparkSession.read.parquet(f"{path}/chunks")
-    listed = postings(written, ["chunk", "block"], "body").withColumn("column", F.lit("body"))
-    if title:
-        listed = listed.unionByName(postings(written, ["chunk", "block"], "title").withColumn("column", F.lit("title")))
-    write_postings(listed, written, path)
-
-
-def write_postings(listed: DataFrame, chunks: DataFrame, path: str) -> None:
-    """The tables ``postings`` and ``blocks`` of an index from (chunk, block, column, token, pos) and its chunks."""
-    listed.repartitionByRange("token", "block", "chunk").sortWithinPartitions("token", "block", "chunk").write.mode("overwrite").parquet(f"{path}/postings")
-    rows = listed.sparkSession.read.parquet(f"{path}/postings")
-    most = rows.groupBy("token", "column", "block", "chunk").agg(F.count(F.lit(1)).alias("tf")).groupBy("token", "column", "block").agg(F.count(F.lit(1)).alias("n"), F.max("tf").alias("most"))
-    least = chunks.groupBy("block").agg(F.min("words").alias("least"))
-    most.join(least, "block").repartitionByRange("token", "block").sortWithinPartitions("token", "block").write.mode("overwrite").parquet(f"{path}/blocks")
+    chars = spark.read.parquet(f"{path}/docs").agg(F.sum("chars")).first()[0] or 0
+    raw = docs.select("doc_id", "text", *([F.coalesce(title, F.lit("")).alias("title")] if title else []))
+    dealt = raw.repartition(index_tasks(chars), "doc_id").sortWithinPartitions("doc_id")
+    parts = chunks(dealt.withColumn("text", normalise(F.coalesce("text", F.lit("")))))
+    words = F.size(tokens(F.col("body"))) + (F.size(tokens(F.col("title"))) if title else F.lit(0))
+    parts = parts.withColumn("chunk", F.concat_ws(":", "doc_id", "offset")).withColumn("words", words)
+    write_chunks(parts, chars, path)
+
+
+def index_tasks(chars: int) -> int:
+    """Tasks that texts of so many characters are dealt over."""
+    return max(1, -(-chars // PART_CHARS))
+
+
+def write_chunks(parts: DataFrame, chars: int, path: str) -> None:
+    """The tables ``chunks``, ``postings`` and ``blocks`` of an index from chunks in order, whose texts have ``chars`` characters.
+
+    A block's chunks come into one task, which sorts their postings by token,
+    then block, column and chunk: each file of postings is an index of its blocks, of
+    which a search reads the row groups of its words, and no posting is shuffled.
+    ``blocks`` has for each token, column and block the number of chunks that
+    hold it, and the most occurrences in one of them.
+    """
+    spark, n = parts.sparkSession, index_tasks(chars)
+    parts.withColumn("block", F.floor(F.monotonically_increasing_id() / BLOCK)).write.mode("overwrite").parquet(f"{path}/chunks")
+    written = spark.read.parquet(f"{path}/chunks")
+    named = [c for c in ("body", "title") if c in written.columns]
+    dealt = written.select("chunk", "block", *named).repartition(n, "block")
+    texts = F.explode(F.array(*[F.struct(F.lit(c).alias("column"), F.col(c).alias("text")) for c in named])).alias("_text")
+    listed = postings(dealt.select("chunk", "block", texts).select("chunk", "block", "_text.*"))
+    listed.write.mode("overwrite").parquet(f"{path}/postings")
+    most = spark.read.parquet(f"{path}/postings").filter("most is not null").select("token", "column", "block", "n", "most")
+    most.sortWithinPartitions("token", "block").write.mode("overwrite").parquet(f"{path}/blocks")
 
 
 def write_lines(lines: DataFrame, path: str) -> None:

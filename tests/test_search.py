@@ -5,8 +5,9 @@ import random
 import sqlite3
 
 import pytest
+from pyspark.sql import functions as F
 
-from loomstone.operators import index, search
+from loomstone.operators import index, search, textflow
 from loomstone.sources import sinks
 
 QUERIES = [
@@ -90,3 +91,44 @@ def test_blocks_are_skipped(spark, tmp_path, monkeypatch):
     top, report = index.top_hits(spark, f"{tmp_path}/i", "rare", most=2)
     assert [x.doc_id for x in top.collect()] == [5, 70] and report["read"] < report["blocks"] / 4
     assert index.top_hits(spark, f"{tmp_path}/i", "absent")[0].count() == 0
+
+
+def test_an_index_is_dealt_by_its_texts(spark, tmp_path, monkeypatch):
+    """However few shuffle partitions there are, tasks follow the texts; a block's postings lie sorted in one file and know its statistics."""
+    monkeypatch.setattr(sinks, "PART_CHARS", 500, raising=False)
+    monkeypatch.setattr(sinks, "BLOCK", 4)
+    r = random.Random(4)
+    rows = [(i, " ".join(r.choices("abcdefgh", k=r.randint(0, 40))), "ab"[i % 2], "x") for i in range(300)]
+    sinks.write_index(spark.createDataFrame(rows, "doc_id long, text string, name string, collection string"), f"{tmp_path}/i", title="name")
+    chunks, got, blocks = (spark.read.parquet(f"{tmp_path}/i/{t}") for t in ("chunks", "postings", "blocks"))
+    files = got.select("token", "block", "chunk", F.input_file_name().alias("f")).collect()
+    per_block = {}
+    for x in files:
+        per_block.setdefault(x.block, set()).add(x.f)
+    assert len({x.f for x in files}) > int(spark.conf.get("spark.sql.shuffle.partitions")) and all(len(f) == 1 for f in per_block.values())
+    want, texts = {}, {i: {"body": t, "title": n} for i, t, n, _ in rows}
+    for c in chunks.collect():
+        for column, text in texts[c.doc_id].items():
+            for k, w in enumerate(text.split()):
+                want.setdefault((c.chunk, c.block, column, w), []).append(k)
+    assert {(x.chunk, x.block, x.column, x.token): (x.tf, list(x.at)) for x in got.collect()} == {k: (len(v), v) for k, v in want.items()}
+    held = {}
+    for (_, block, column, w), v in want.items():
+        held.setdefault((w, column, block), []).append(len(v))
+    assert sorted((x.token, x.column, x.block, x.n, x.most) for x in blocks.collect()) == sorted((*k, len(v), max(v)) for k, v in held.items())
+
+
+def test_runs_of_sentences_in_one_pass(spark):
+    r = random.Random(5)
+    texts = [" ".join(r.choices(["A.", "B!", "c?"], weights=[6, 1, 1], k=n)) for n in (0, 1, 3, 4, 40, 200)] + [None, "A. " * 9 + "A", " ".join(["A.", "B."] * 100_000)]
+
+    def brute(t):
+        out = []
+        for s in t.split(" "):
+            if out[-3:] != [s] * 3:
+                out.append(s)
+        return " ".join(out)
+
+    df = spark.createDataFrame(list(enumerate(texts)), "i int, t string")
+    got = [x.d for x in df.select("i", textflow.dedup_runs(F.col("t")).alias("d")).orderBy("i").collect()]
+    assert got == [None if t is None else brute(t) for t in texts]
