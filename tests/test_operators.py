@@ -2,6 +2,8 @@
 
 import datetime
 import json
+import random
+import re
 
 import pytest
 from pyspark.sql import functions as F
@@ -461,3 +463,12 @@ def test_tasks_follow_the_rows(spark, monkeypatch):
     found = {x.key: (x.docs, x.variants) for x in entities.canonical_table(names.union(names.limit(9))).collect()}
     assert found == {f"ana {e}": (sum(e in own for own in docs.values()), 1) for e in range(97)}
     assert [session.tasks_for(spark, n) for n in (0, 50, 900)] == [1, 1, 9]
+
+
+def test_numbers_are_tried_where_they_can_begin():
+    r = random.Random(9)
+    pieces = "12 1.200 3,5 ٣ 77% 9 % R$ r$ US$ uſ$ $ € £ 40 mil MİL milhões Milhão milhares bilhões bilhão thousand THOUSANDS million billion hundred millón millones miles de anos people priests por cento per cent x ab mi bil th ١٢% 1834".split()
+    texts = ["".join(p + r.choice(["", " ", "  ", "\n"]) for p in r.choices(pieces, k=60)) for _ in range(3000)]
+    pattern = re.compile(mining.numbers_pattern(), re.IGNORECASE)
+    assert all([(m.start(), m[0]) for m in mining.number_matches(pattern, t)] == [(m.start(), m[0]) for m in pattern.finditer(t)] for t in texts)
+    assert sum(1 for t in texts for _ in pattern.finditer(t)) > 10_000
