@@ -472,3 +472,10 @@ def test_numbers_are_tried_where_they_can_begin():
     pattern = re.compile(mining.numbers_pattern(), re.IGNORECASE)
     assert all([(m.start(), m[0]) for m in mining.number_matches(pattern, t)] == [(m.start(), m[0]) for m in pattern.finditer(t)] for t in texts)
     assert sum(1 for t in texts for _ in pattern.finditer(t)) > 10_000
+
+
+def test_each_different_word_is_folded_once(monkeypatch):
+    calls, plain = [], mining._plain
+    monkeypatch.setattr(mining, "_plain", lambda s: calls.append(s) or plain(s))
+    found = mining.found_names(mining.Joined("we know Pedro and pedro pédro " + "word " * 1000))
+    assert [(x[3], x[7]) for x in found] == [("Pedro", 2)] and len(calls) < 20
