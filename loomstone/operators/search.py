@@ -14,7 +14,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from loomstone.functions.fold import deaccent, fold_key
-from loomstone.operators.textflow import tokens
+from loomstone.operators.textflow import joined, joined_size, tokens
 
 #: BM25 constants, and the least inverse document frequency.
 K1, B, LEAST_IDF = 1.2, 0.75, 1e-6
@@ -193,7 +193,7 @@ def postings(df: DataFrame, text: str = "text") -> DataFrame:
     token, block and column has ``n``, how many of the texts hold the word, and
     ``most``, how often it stands in one of them at most.
     """
-    words = df.select("chunk", "block", "column", tokens(F.coalesce(F.col(text), F.lit(""))).alias("words"))
+    words = df.select("chunk", "block", "column", joined(F.coalesce(F.col(text), F.lit(""))).alias("words")).filter("words <> ''")
     kinds = dict(words.dtypes)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -201,8 +201,10 @@ def postings(df: DataFrame, text: str = "text") -> DataFrame:
         if not held:
             return
         table = pa.Table.from_batches(held).combine_chunks()
-        if not table.num_rows or not len(flat := (lists := table["words"].chunk(0)).flatten()):
+        if not table.num_rows:
             return
+        lists = pc.split_pattern(table["words"].chunk(0), " ")
+        flat = lists.flatten()
         size = lists.value_lengths().to_numpy()
         owner, pos = np.repeat(np.arange(len(size)), size), np.arange(len(flat)) - np.repeat(np.cumsum(size) - size, size)
         coded = flat.dictionary_encode()
@@ -236,11 +238,15 @@ def postings(df: DataFrame, text: str = "text") -> DataFrame:
 
 
 def phrase_positions(text: Column, phrase: Phrase) -> Column:
-    """How often a phrase occurs in a text, as a count over its words joined by blanks."""
-    padded = F.concat(F.lit(" "), F.regexp_replace(F.array_join(tokens(text), "  "), "$", " "))
-    body = "  ".join(map(re.escape, phrase.words))
-    pattern = ("^" if phrase.initial else "") + f" {body}" + ("[^ ]* " if phrase.prefix else " ")
-    return F.regexp_count(padded, F.lit(pattern))
+    """How often a phrase occurs in a text: words and what lies between them are matched in the folded text itself, without a list of its words.
+
+    The pattern begins with the first word, so that most places are passed over;
+    what precedes it is looked at afterwards.
+    """
+    word, (first, *rest) = r"[\p{L}\p{N}\p{Co}]", map(re.escape, phrase.words)
+    begin = rf"^[^\p{{L}}\p{{N}}\p{{Co}}]*+{first}" if phrase.initial else f"{first}(?<!{word}{first})"
+    pattern = begin + "".join(rf"[^\p{{L}}\p{{N}}\p{{Co}}]++{w}" for w in rest) + (f"{word}*+" if phrase.prefix else f"(?!{word})")
+    return F.regexp_count(F.lower(deaccent(text)), F.lit(pattern))
 
 
 def phrase_starts(words: Column, phrase: Phrase) -> Column:
@@ -348,7 +354,7 @@ def bm25(df: DataFrame, tree: Phrase | Node | str, text: str | list[str] = "text
     texts = {c: F.coalesce(F.col(c), F.lit("")) for c in columns}
     total = lambda parts: reduce(lambda x, y: x + y, parts, F.lit(0))
     counts = {f"_tf{i}": total([phrase_positions(t, p) for c, t in texts.items() if p.within(c)]) for i, p in enumerate(wanted)}
-    counted = df.withColumns(counts | {"_len": total([F.size(tokens(t)) for t in texts.values()])})
+    counted = df.withColumns(counts | {"_len": total([joined_size(joined(t)) for t in texts.values()])})
     stats = counted.agg(F.count(F.lit(1)).alias("_n"), F.avg("_len").alias("_avg"), *[F.count_if(F.col(f"_tf{i}") > 0).alias(f"_df{i}") for i in range(len(wanted))])
 
     found = {p: F.col(f"_tf{i}") for i, p in enumerate(wanted)}
@@ -414,37 +420,72 @@ def trust_stamp(date: Column, verified: Column, review: Column, coverage: Column
     return F.concat_ws(" | ", dated, F.coalesce(review, F.lit("—")), partial)
 
 
+def _bound(value: Column, body: Callable[[Column], Column]) -> Column:
+    """``body`` of a value that is evaluated once."""
+    return F.element_at(F.transform(F.array(value), body), 1)
+
+
+def _words(text: Column) -> Column:
+    """(shown, folded): the words of a text as they stand there, and folded in a row, a blank on both sides of each."""
+    shown = F.array_remove(F.split(text, r"[^\p{L}\p{N}\p{Co}]+"), "")
+    # Words have no blanks, so that they can be folded as one text.
+    return _bound(shown, lambda w: F.struct(w.alias("shown"), F.concat(F.lit(" "), F.lower(deaccent(F.array_join(w, " "))), F.lit(" ")).alias("folded")))
+
+
+def _blanks(c: Column) -> Column:
+    return F.length(c) - F.length(F.replace(c, F.lit(" "), F.lit("")))
+
+
 def snippet(text: Column, phrase: Phrase, width: int = SNIPPET) -> Column:
     """``width`` words around a phrase's first occurrence, each occurrence in brackets as a whole, and dots where words are left out.
 
-    Of a phrase that ends in a prefix its last word need only begin so.
+    Of a phrase that ends in a prefix its last word need only begin so. The
+    first occurrence is found in the text as a whole, and only words near to it
+    are looked at one by one.
     """
     n = len(phrase.words)
+    sought = " " + " ".join(phrase.words) + ("" if phrase.prefix else " ")
 
     def shown(x: Column) -> Column:
-        folded = F.transform(x["shown"], lambda w: F.lower(deaccent(w)))
+        first = _bound(F.substring(x["folded"], F.lit(1), F.instr(x["folded"], sought)), _blanks)
+        return _bound(first, lambda first: F.when(first > 0, _bound(F.greatest(first - width // 2, F.lit(1)).cast("int"), lambda start: drawn(x["shown"], x["folded"], start))))
+
+    def drawn(raw: Column, folded: Column, start: Column) -> Column:
+        # The words from which an occurrence reaches into the window, and those that it may need.
+        begin = F.greatest(start - (n - 1), F.lit(1)).cast("int")
+        near = F.slice(F.split(folded, " "), begin + 1, F.lit(width + 2 * (n - 1)))
 
         def marked(y: Column) -> Column:
             def here(i: Column) -> Column:
-                parts = [F.try_element_at(y, i + k) == w if k < n - 1 or not phrase.prefix else F.try_element_at(y, i + k).startswith(w) for k, w in enumerate(phrase.words)]
-                test = F.coalesce(parts[0], F.lit(False))
-                for p in parts[1:]:
-                    test = test & F.coalesce(p, F.lit(False))
-                return test
+                at = [F.try_element_at(y, (i - begin + 1 + k).cast("int")) for k in range(n)]
+                tests = [a == w if k < n - 1 or not phrase.prefix else a.startswith(w) for k, (a, w) in enumerate(zip(at, phrase.words, strict=True))]
+                return reduce(lambda p, q: p & q, [F.coalesce(t, F.lit(False)) for t in tests])
+
+            def placed(hits: Column) -> Column:
+                opens = lambda i: F.when(F.array_contains(hits, i), "[").otherwise("")
+                closes = lambda i: F.when(F.array_contains(hits, i - (n - 1)), "]").otherwise("")
+                words = F.transform(F.slice(raw, start, width), lambda w, k: F.concat(opens(start + k), w, closes(start + k)))
+                dots = lambda test: F.when(test, F.lit("…"))
+                return F.concat_ws(" ", dots(start > 1), F.array_join(words, " "), dots(start + width <= F.size(raw)))
+
+            return _bound(F.filter(F.sequence(begin, start + width - 1), here), placed)
+
+        return _bound(near, marked)
 
-            hits = F.filter(F.sequence(F.lit(1), F.greatest(F.size(y), F.lit(1))), here)
-            first = F.try_element_at(hits, F.lit(1))
-            start = F.greatest(first - width // 2, F.lit(1)).cast("int")
-            opens = lambda i: F.when(F.array_contains(hits, i), "[").otherwise("")
-            closes = lambda i: F.when(F.array_contains(hits, i - (n - 1)), "]").otherwise("")
-            words = F.transform(F.slice(x["shown"], start, width), lambda w, k: F.concat(opens(start + k), w, closes(start + k)))
-            dots = lambda test: F.when(test, F.lit("…"))
-            return F.when(first.isNotNull(), F.concat_ws(" ", dots(start > 1), F.array_join(words, " "), dots(start + width <= F.size(y))))
+    return _bound(_words(text), shown)
 
-        return F.element_at(F.transform(F.array(folded), marked), 1)
 
-    words = F.filter(F.split(text, r"[^\p{L}\p{N}\p{Co}]+"), lambda w: w != "")
-    return F.element_at(F.transform(F.array(F.struct(words.alias("shown"))), shown), 1)
+def _starts(folded: Column, phrase: Phrase) -> Column:
+    """Places, from 0, at which a phrase starts in folded words with a blank on both sides of each.
+
+    The text is cut before each occurrence, overlapping ones too; a piece has
+    as many words as blanks.
+    """
+    first = r"(?<=^\.)" if phrase.initial else ""
+    body = " " + " ".join(map(re.escape, phrase.words)) + ("" if phrase.prefix else " ")
+    pieces = F.split(F.concat(F.lit("."), folded), f"{first}(?={body})")
+    sums = F.aggregate(pieces, F.array(F.lit(0)), lambda out, p: F.array_append(out, F.element_at(out, -1) + _blanks(p)))
+    return _bound(sums, lambda a: F.slice(a, F.lit(2), F.size(a) - 2))
 
 
 def best_snippet(text: Column, wanted: list[Phrase], width: int = SNIPPET) -> Column:
@@ -455,13 +496,10 @@ def best_snippet(text: Column, wanted: list[Phrase], width: int = SNIPPET) -> Co
     brackets; a text without any gives its beginning.
     """
 
-    def shown(x: Column) -> Column:
-        return F.element_at(F.transform(F.array(F.transform(x["shown"], lambda w: F.lower(deaccent(w)))), lambda y: placed(x["shown"], y)), 1)
-
-    def placed(raw: Column, folded: Column) -> Column:
-        own = [F.transform(phrase_starts(folded, p), lambda i: F.struct(i.cast("int").alias("at"), F.lit(k).alias("phrase"), F.lit(len(p.words)).alias("size"))) for k, p in enumerate(wanted)]  # noqa: B023
+    def placed(x: Column) -> Column:
+        own = [F.transform(_starts(x["folded"], p), lambda i: F.struct(i.alias("at"), F.lit(k).alias("phrase"), F.lit(len(p.words)).alias("size"))) for k, p in enumerate(wanted)]  # noqa: B023
         none = F.expr("cast(array() as array<struct<at: int, phrase: int, size: int>>)")
-        return F.element_at(F.transform(F.array(F.array_sort(F.concat(none, *own))), lambda hits: window(raw, hits)), 1)
+        return _bound(F.array_sort(F.concat(none, *own)), lambda hits: window(x["shown"], hits))
 
     def window(raw: Column, hits: Column) -> Column:
         def rated(h: Column) -> Column:
@@ -473,7 +511,7 @@ def best_snippet(text: Column, wanted: list[Phrase], width: int = SNIPPET) -> Co
         best = F.array_max(F.transform(hits, rated))
         middle = F.coalesce(-best["first"] - F.floor((width - (best["last"] + best["first"])) / 2), F.lit(0))
         start = F.greatest(F.least(middle, F.size(raw) - width), F.lit(0)).cast("int")
-        return F.element_at(F.transform(F.array(start), lambda s: drawn(raw, hits, s)), 1)
+        return _bound(start, lambda s: drawn(raw, hits, s))
 
     def drawn(raw: Column, hits: Column, start: Column) -> Column:
         def word(w: Column, k: Column) -> Column:
@@ -486,5 +524,4 @@ def best_snippet(text: Column, wanted: list[Phrase], width: int = SNIPPET) -> Co
         words = F.array_join(F.transform(F.slice(raw, start + 1, F.lit(width)), word), " ")
         return F.concat_ws(" ", dots(start > 0), words, dots(start + width < F.size(raw)))
 
-    words = F.filter(F.split(text, r"[^\p{L}\p{N}\p{Co}]+"), lambda w: w != "")
-    return F.element_at(F.transform(F.array(F.struct(words.alias("shown"))), shown), 1)
+    return _bound(_words(text), placed)

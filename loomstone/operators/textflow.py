@@ -16,7 +16,8 @@ KEEP = 3
 
 
 def squeeze(c: Column) -> Column:
-    return F.trim(F.regexp_replace(c, r"(?U)\s+", " "))
+    # A blank by itself stays as it is and is passed over.
+    return F.trim(F.regexp_replace(c, r"(?U)[\s&&[^ ]]\s*| \s+", " "))
 
 
 def dedup_runs(c: Column, keep: int = KEEP) -> Column:
@@ -53,6 +54,17 @@ def tokens(c: Column) -> Column:
     return F.filter(F.split(F.lower(deaccent(c)), r"[^\p{L}\p{N}\p{Co}]+"), lambda w: w != "")
 
 
+def joined(c: Column) -> Column:
+    """The words of :func:`tokens` with a blank between each two, as one text: cheaper where no list is needed."""
+    # A blank by itself stays as it is and is passed over.
+    return F.trim(F.regexp_replace(F.lower(deaccent(c)), r"[^\p{L}\p{N}\p{Co} ][^\p{L}\p{N}\p{Co}]*| [^\p{L}\p{N}\p{Co}]+", " "))
+
+
+def joined_size(words: Column) -> Column:
+    """The number of words of a text of :func:`joined`."""
+    return F.length(words) - F.length(F.replace(words, F.lit(" "), F.lit(""))) + (words != "").cast("int")
+
+
 def caption_lines(lines: Column) -> Column:
     """Caption lines without those that the line kept before equals or ends with."""
 

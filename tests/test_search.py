@@ -132,3 +132,39 @@ def test_runs_of_sentences_in_one_pass(spark):
     df = spark.createDataFrame(list(enumerate(texts)), "i int, t string")
     got = [x.d for x in df.select("i", textflow.dedup_runs(F.col("t")).alias("d")).orderBy("i").collect()]
     assert got == [None if t is None else brute(t) for t in texts]
+
+
+def test_phrases_are_found_without_lists_of_words(spark):
+    """Counts and snippets of a phrase against brute force; counting makes no list of words."""
+    r = random.Random(6)
+    texts = [r.choice(["", " ", "-"]) + "".join(w + r.choice([" ", ", ", " — "]) for w in r.choices(["a", "b", "Á", "ab", "a\u0301b", "Σας", "1"], k=r.choice([0, 1, 3, 30, 80]))) for _ in range(60)]
+    df = spark.createDataFrame([(None,), *[(t,) for t in texts]], "t string")
+    plain = df.select("t", textflow.tokens(F.col("t")).alias("w"), F.filter(F.split("t", r"[^\p{L}\p{N}\p{Co}]+"), lambda x: x != "").alias("raw"))
+    rows = plain.select("t", "w", "raw", F.transform("raw", lambda x: F.array_join(textflow.tokens(x), "")).alias("folded"), textflow.joined(F.col("t")).alias("j"), textflow.joined_size(textflow.joined(F.col("t"))).alias("n")).collect()
+    assert all(x.t is None or (x.j, x.n) == (" ".join(x.w), len(x.w)) for x in rows)
+
+    def starts(words, p):
+        n = len(p.words)
+        return [i for i in range(len(words) - n + 1) if all(words[i + k].startswith(w) if p.prefix and k == n - 1 else words[i + k] == w for k, w in enumerate(p.words))]
+
+    def count(words, p):
+        found, free = 0, 0
+        for i in starts(words, p):
+            if i >= free and (i == 0 or not p.initial):
+                found, free = found + 1, i + len(p.words)
+        return found
+
+    def cut(raw, folded, p, width):
+        at, n = starts(folded, p), len(p.words)
+        if not at:
+            return None
+        begin = max(at[0] - width // 2, 0)
+        shown = " ".join("[" * (i in at) + raw[i] + "]" * (i - n + 1 in at) for i in range(begin, min(begin + width, len(raw))))
+        return "… " * (begin > 0) + shown + " …" * (begin + width < len(raw))
+
+    for p in (search.Phrase(("a",)), search.Phrase(("a",), prefix=True), search.Phrase(("a", "a")), search.Phrase(("b", "a"), True), search.Phrase(("a", "b"), initial=True), search.Phrase(("σας",)), search.Phrase(("a", "a", "b"))):
+        counted = df.select("t", search.phrase_positions(F.col("t"), p).alias("n"), search.snippet(F.col("t"), p, 6).alias("s"))
+        got = {x.t: (x.n, x.s) for x in counted.collect()}
+        assert got == {x.t: (None, None) if x.t is None else (count(x.w, p), cut(x.raw, x.folded, p, 6)) for x in rows}
+    plan = df.select(search.phrase_positions(F.col("t"), p))._jdf.queryExecution().optimizedPlan().toString()
+    assert "lambda" not in plan and "split(" not in plan
