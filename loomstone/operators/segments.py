@@ -97,11 +97,12 @@ def _next(spark: SparkSession, path: str) -> int:
     return max(used, default=0) + 1
 
 
-def apply(changes: DataFrame, path: str, collection: str = "collection", title: str | None = None, batch: int | None = None) -> int:
+def apply(changes: DataFrame, path: str, collection: str = "collection", title: str | None = None, batch: int | None = None, texts: DataFrame | None = None) -> int:
     """Add, replace and remove documents, and give the version that has them.
 
     ``changes`` has a row a document: ``doc_id``, its columns, and if it has a
-    column ``deleted``, true for those to go. Statistics of what is struck out
+    column ``deleted``, true for those to go; ``texts``, of those that stay, are
+    as for :func:`write_index`. Statistics of what is struck out
     come from the older segments' chunks, without their texts.
     """
     guard(path)
@@ -111,7 +112,7 @@ def apply(changes: DataFrame, path: str, collection: str = "collection", title:
     fresh = changes.filter(~F.coalesce("deleted", F.lit(False))).drop("deleted") if "deleted" in changes.columns else changes
     new = []
     if not fresh.isEmpty():
-        write_index(fresh, f"{path}/segments/{number}", collection, title)
+        write_index(fresh, f"{path}/segments/{number}", collection, title, texts)
         chunks, words = spark.read.parquet(f"{path}/segments/{number}/chunks").agg(F.count(F.lit(1)), F.coalesce(F.sum("words"), F.lit(0))).first()
         new = [(number, chunks, words, 0, batch)]
     lost: dict[int, list[int]] = {}

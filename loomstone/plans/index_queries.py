@@ -38,6 +38,11 @@ def _ranked(wanted: list[str], where: str, most: int) -> str:
 SELECT doc_id, CAST("offset" AS BIGINT) AS "offset", lang, review, round({score}, 9) AS score FROM c JOIN d USING (doc_id), z WHERE {where} ORDER BY {score} DESC, doc_id, "offset" LIMIT {most}"""
 
 
+def texts(spark, sf):
+    """The texts of the documents, and a title: the first four words."""
+    return load(spark, sf, "documents").select("doc_id", "text", F.substring_index("text", " ", 4).alias("name"))
+
+
 def documents(spark, sf):
     """The documents with their language and review."""
     review = F.when(F.col("quality") == 1, F.lit("reviewed")).when(F.col("quality") == 0, F.lit("rejected"))
@@ -49,9 +54,9 @@ def build(spark, sf, title: bool = False) -> str:
     docs = documents(spark, sf)
     path = Scratch(spark, "index").root
     if title:
-        write_index(docs.withColumn("name", F.substring_index("text", " ", 4)), path, "lang", "name")
+        write_index(docs.withColumn("name", F.substring_index("text", " ", 4)), path, "lang", "name", texts(spark, sf))
     else:
-        write_index(docs, path, "lang")
+        write_index(docs, path, "lang", texts=texts(spark, sf))
     return path
 
 

@@ -6,17 +6,18 @@ from pyspark.sql import functions as F
 
 from loomstone.operators import index, segments
 from loomstone.plans.base import query
-from loomstone.plans.index_queries import _ranked, _shown, documents
+from loomstone.plans.index_queries import _ranked, _shown, documents, texts
 from loomstone.session import Scratch
 
 
 def _changed(spark, sf) -> str:
     """An index in four changes: all documents but a part; that part; every seventh with another text; every eleventh removed."""
-    docs = documents(spark, sf)
+    docs, own = documents(spark, sf), texts(spark, sf)
     path = Scratch(spark, "segments").root
-    segments.apply(docs.filter("doc_id % 3 > 0").withColumn("deleted", F.lit(False)), path, "lang")
-    segments.apply(docs.filter("doc_id % 3 = 0").withColumn("deleted", F.lit(False)), path, "lang")
-    segments.apply(docs.filter("doc_id % 7 = 0").withColumn("text", F.concat(F.lit("The that. "), "text")).withColumn("deleted", F.lit(False)), path, "lang")
+    other = lambda rows: rows.filter("doc_id % 7 = 0").withColumn("text", F.concat(F.lit("The that. "), "text"))
+    segments.apply(docs.filter("doc_id % 3 > 0").withColumn("deleted", F.lit(False)), path, "lang", texts=own.filter("doc_id % 3 > 0"))
+    segments.apply(docs.filter("doc_id % 3 = 0").withColumn("deleted", F.lit(False)), path, "lang", texts=own.filter("doc_id % 3 = 0"))
+    segments.apply(other(docs).withColumn("deleted", F.lit(False)), path, "lang", texts=other(own))
     segments.apply(docs.filter("doc_id % 11 = 0").withColumn("deleted", F.lit(True)), path, "lang")
     return path
 

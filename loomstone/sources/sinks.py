@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from loomstone.functions.web import text_digest
 from loomstone.operators.consistency import sync_plan
 from loomstone.operators.search import postings
-from loomstone.operators.textflow import chunks, normalise, tokens
+from loomstone.operators.textflow import chunks, joined, joined_size, normalise
 
 #: Folders and files that belong to a dataset, which no report may overwrite.
 PROTECTED = re.compile(r"(^|/)(data|corpus)(/|$)|chronology[^/]*\.json$|glossary[^/]*\.json$")
@@ -31,11 +31,13 @@ def guard(path: str) -> str:
     return path
 
 
-def write_index(docs: DataFrame, path: str, collection: str = "collection", title: str | None = None) -> None:
+def write_index(docs: DataFrame, path: str, collection: str = "collection", title: str | None = None, texts: DataFrame | None = None) -> None:
     """docs, chunks, postings and blocks of a corpus as Parquet, rebuilt from nothing.
 
     Words of ``title``, a column of ``docs``, are indexed with each chunk of
     their document, as a column of their own. Rows without a title have none.
+    ``texts`` are ``doc_id``, ``text`` and the title of the same rows, for docs
+    that are joined from several tables: their texts take no part in that join.
 
     Chunks of a document stand in a row and know their number of words, so that
     statistics read no text; BLOCK of them in a row share a block. Documents are
@@ -44,15 +46,19 @@ def write_index(docs: DataFrame, path: str, collection: str = "collection", titl
     """
     guard(path)
     spark = docs.sparkSession
-    clean = docs.withColumn("text", normalise(F.coalesce("text", F.lit("")))).withColumn("chars", F.length("text"))
-    clean.drop("text").write.mode("overwrite").partitionBy(collection).parquet(f"{path}/docs")
-    chars = spark.read.parquet(f"{path}/docs").agg(F.sum("chars")).first()[0] or 0
-    raw = docs.select("doc_id", "text", *([F.coalesce(title, F.lit("")).alias("title")] if title else []))
+    texts = docs if texts is None else texts
+    chars = texts.agg(F.sum(F.length("text"))).first()[0] or 0
+    raw = texts.select("doc_id", "text", *([F.coalesce(title, F.lit("")).alias("title")] if title else []))
     dealt = raw.repartition(index_tasks(chars), "doc_id").sortWithinPartitions("doc_id")
     parts = chunks(dealt.withColumn("text", normalise(F.coalesce("text", F.lit("")))))
-    words = F.size(tokens(F.col("body"))) + (F.size(tokens(F.col("title"))) if title else F.lit(0))
-    parts = parts.withColumn("chunk", F.concat_ws(":", "doc_id", "offset")).withColumn("words", words)
+    parts = parts.withColumn("chunk", F.concat_ws(":", "doc_id", "offset")).withColumn("words", joined_size(joined(F.col("body"))))
+    if title:
+        parts = parts.withColumn("words", F.col("words") + joined_size(joined(F.col("title"))))
     write_chunks(parts, chars, path)
+    # The last chunk of a text ends where the text does.
+    ends = spark.read.parquet(f"{path}/chunks").groupBy(F.col("doc_id").alias("_id")).agg(F.max(F.col("offset") + F.length("body")).alias("_end"))
+    own = docs.drop("text").join(ends, F.col("doc_id").eqNullSafe(F.col("_id")), "left").withColumn("chars", F.coalesce("_end", F.lit(0)))
+    own.drop("_id", "_end").write.mode("overwrite").partitionBy(collection).parquet(f"{path}/docs")
 
 
 def index_tasks(chars: int) -> int:
@@ -78,7 +84,8 @@ def write_chunks(parts: DataFrame, chars: int, path: str) -> None:
     listed = postings(dealt.select("chunk", "block", texts).select("chunk", "block", "_text.*"))
     listed.write.mode("overwrite").parquet(f"{path}/postings")
     most = spark.read.parquet(f"{path}/postings").filter("most is not null").select("token", "column", "block", "n", "most")
-    most.sortWithinPartitions("token", "block").write.mode("overwrite").parquet(f"{path}/blocks")
+    # They come in the order of the files that they are read from: a page of them holds words in a row.
+    most.write.mode("overwrite").parquet(f"{path}/blocks")
 
 
 def write_lines(lines: DataFrame, path: str) -> None:

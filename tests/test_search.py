@@ -168,3 +168,20 @@ def test_phrases_are_found_without_lists_of_words(spark):
         assert got == {x.t: (None, None) if x.t is None else (count(x.w, p), cut(x.raw, x.folded, p, 6)) for x in rows}
     plan = df.select(search.phrase_positions(F.col("t"), p))._jdf.queryExecution().optimizedPlan().toString()
     assert "lambda" not in plan and "split(" not in plan
+
+
+def test_texts_take_no_part_in_the_join_of_docs(spark, tmp_path):
+    """An index of docs and texts apart equals that of both in one table; doubled labels double no chunk, and a document knows its characters."""
+    r = random.Random(7)
+    rows = [(i, None if i == 3 else "" if i == 4 else "A.  B " * 900 if i == 5 else "q. " * 2000 if i == 6 else " ".join(r.choices("abcd", k=r.randint(0, 30))), "xy"[i % 2]) for i in range(30)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, collection string")
+    sinks.write_index(docs, f"{tmp_path}/one")
+    labels = spark.createDataFrame([(i, "l") for i in (1, 1, 2)], "doc_id long, review string")
+    sinks.write_index(docs.join(labels, "doc_id", "left"), f"{tmp_path}/two", texts=docs.select("doc_id", "text"))
+    one, two = ({t: spark.read.parquet(f"{tmp_path}/{k}/{t}") for t in ("docs", "chunks", "postings", "blocks")} for k in ("one", "two"))
+    for t, columns in (("chunks", ["chunk", "body", "words"]), ("postings", ["chunk", "token", "tf", "at"]), ("docs", ["doc_id", "collection", "chars"])):
+        got = [sorted(map(repr, x[t].select(*columns).distinct().collect())) for x in (one, two)]
+        assert got[0] == got[1]
+    assert two["docs"].count() == 31 and two["chunks"].count() == one["chunks"].count()
+    chars = docs.select("doc_id", F.length(textflow.normalise(F.coalesce("text", F.lit("")))).alias("chars"))
+    assert {tuple(x) for x in one["docs"].select("doc_id", "chars").collect()} == {tuple(x) for x in chars.collect()}
