@@ -36,11 +36,19 @@ def _bases() -> tuple[str, str]:
     return "".join(a for a, _ in pairs), "".join(b for _, b in pairs)
 
 
+def unmarked(c: Column) -> Column:
+    """:func:`deaccent` of texts that aren't plain ASCII."""
+    letters, bases = _bases()
+    return F.regexp_replace(F.translate(c, letters, bases), r"[\x{300}-\x{10FFFF}&&\p{Mn}]", "")
+
+
+def not_ascii(c: Column) -> Column:
+    return c.rlike(r"[^\x00-\x7F]")
+
+
 def deaccent(c: Column) -> Column:
     """Text in decomposed form without its combining marks. Texts of plain ASCII skip the work."""
-    letters, bases = _bases()
-    folded = F.regexp_replace(F.translate(c, letters, bases), r"\p{Mn}", "")
-    return F.when(c.rlike(r"[^\x00-\x7F]"), folded).otherwise(c)
+    return F.when(not_ascii(c), unmarked(c)).otherwise(c)
 
 
 def fold_key(c: Column) -> Column:

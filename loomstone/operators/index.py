@@ -51,7 +51,8 @@ def phrase_counts(postings: DataFrame, wanted: list[Phrase], placed: set[Phrase]
     place = F.col("start") + F.lit(COLUMN_STEP) * sum((F.when(F.col("column") == c, k).otherwise(0) for k, c in enumerate(COLUMNS)), F.lit(0))
     # A chunk's words are few.
     at = [F.collect_list(F.when(F.col("phrase") == i, place)).alias(f"at{i}") for i, p in enumerate(wanted) if p in placed]
-    return whole.groupBy("chunk").agg(*tf, *at)
+    # No chunk is null. Said here, a join by chunk adds nothing that keeps the steps up to here from being shared by two uses.
+    return whole.filter(F.col("chunk").isNotNull()).groupBy("chunk").agg(*tf, *at)
 
 
 @dataclass

@@ -14,7 +14,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from loomstone.functions.fold import deaccent, fold_key
-from loomstone.operators.textflow import joined, joined_size, tokens
+from loomstone.operators.textflow import ended, half_folded, joined, joined_size, tokens
 
 #: BM25 constants, and the least inverse document frequency.
 K1, B, LEAST_IDF = 1.2, 0.75, 1e-6
@@ -193,7 +193,8 @@ def postings(df: DataFrame, text: str = "text") -> DataFrame:
     token, block and column has ``n``, how many of the texts hold the word, and
     ``most``, how often it stands in one of them at most.
     """
-    words = df.select("chunk", "block", "column", joined(F.coalesce(F.col(text), F.lit(""))).alias("words")).filter("words <> ''")
+    # No filter here: it would fold each text a second time.
+    words = df.select("chunk", "block", "column", half_folded(F.coalesce(F.col(text), F.lit(""))).alias("words"))
     kinds = dict(words.dtypes)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -203,17 +204,29 @@ def postings(df: DataFrame, text: str = "text") -> DataFrame:
         table = pa.Table.from_batches(held).combine_chunks()
         if not table.num_rows:
             return
-        lists = pc.split_pattern(table["words"].chunk(0), " ")
+        given = table["words"].chunk(0)
+        lists = pc.ascii_split_whitespace(ended(given))
         flat = lists.flatten()
-        size = lists.value_lengths().to_numpy()
-        owner, pos = np.repeat(np.arange(len(size)), size), np.arange(len(flat)) - np.repeat(np.cumsum(size) - size, size)
+        # Blanks at the ends of a text leave an empty word.
+        filled = pc.not_equal(flat, "")
+        owner = np.repeat(np.arange(len(given)), lists.value_lengths().to_numpy())[filled.to_numpy(zero_copy_only=False)]
+        flat, size = flat.filter(filled), np.bincount(owner, minlength=len(given))
+        if not len(flat):
+            return
+        pos = np.arange(len(flat)) - np.repeat(np.cumsum(size) - size, size)
         coded = flat.dictionary_encode()
         names = pc.array_sort_indices(coded.dictionary).to_numpy()
         place = np.empty(len(names), np.int64)
         place[names] = np.arange(len(names))
         key = place[coded.indices.to_numpy()] * len(size) + owner
-        order = np.argsort(key, kind="stable")
-        key = key[order]
+        bits = len(key).bit_length()
+        if int(key.max()).bit_length() + bits < 63:
+            # Keys and places as one number: to sort numbers is cheaper than to sort places by keys.
+            both = np.sort(key << bits | np.arange(len(key)))
+            key, order = both >> bits, both & ((1 << bits) - 1)
+        else:
+            order = np.argsort(key, kind="stable")
+            key = key[order]
         begins = np.flatnonzero(np.diff(key, prepend=-1))
         word, row = np.divmod(key[begins], len(size))
         tf = np.diff(np.append(begins, len(key)))

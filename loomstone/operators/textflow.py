@@ -4,10 +4,13 @@ from __future__ import annotations
 
 from functools import reduce
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import IntegerType
 
-from loomstone.functions.fold import deaccent
+from loomstone.functions.fold import deaccent, not_ascii, unmarked
 
 #: Characters of a chunk, and from one chunk's start to the next.
 CHUNK, STRIDE = 1500, 1100
@@ -60,6 +63,47 @@ def joined(c: Column) -> Column:
     return F.trim(F.regexp_replace(F.lower(deaccent(c)), r"[^\p{L}\p{N}\p{Co} ][^\p{L}\p{N}\p{Co}]*| [^\p{L}\p{N}\p{Co}]+", " "))
 
 
+def half_folded(c: Column) -> Column:
+    """A text whose words are those of :func:`tokens` once its ASCII letters are lower case and all other ASCII but numbers is blank.
+
+    That rest is one look at a table for each byte, which Arrow functions do for
+    all their texts at once; plain ASCII goes to them as it is.
+    """
+    return F.when(not_ascii(c), F.regexp_replace(F.lower(unmarked(c)), r"[\x{80}-\x{10FFFF}&&[^\p{L}\p{N}\p{Co}]]", " ")).otherwise(c)
+
+
+#: What :func:`half_folded` leaves to do, for each byte.
+ENDED = np.array([k if k > 127 else ord(chr(k).lower()) if chr(k).isalnum() else 32 for k in range(256)], np.uint8)
+
+
+def ended(texts: pa.Array) -> pa.Array:
+    """Texts of :func:`half_folded`, none of them null, with nothing but words and blanks."""
+    offsets, data = texts.buffers()[1:]
+    if data is None:
+        return texts
+    return pa.Array.from_buffers(texts.type, len(texts), [None, offsets, pa.py_buffer(ENDED[np.frombuffer(data, np.uint8)])], 0, texts.offset)
+
+
+@F.arrow_udf(IntegerType())
+def _words(texts: pa.Array) -> pa.Array:
+    texts = ended(texts)
+    offsets, data = texts.buffers()[1:]
+    at = np.frombuffer(offsets, np.int64 if pa.types.is_large_string(texts.type) else np.int32)[texts.offset : texts.offset + len(texts) + 1].astype(np.int64)
+    if at[0] == at[-1]:
+        return pa.array(np.zeros(len(texts), np.int32))
+    word = np.frombuffer(data, np.uint8)[at[0] : at[-1]] != 32
+    begins, at = word.copy(), at - at[0]
+    begins[1:] &= ~word[:-1]
+    firsts = at[:-1][np.diff(at) > 0]
+    begins[firsts] = word[firsts]
+    return pa.array(np.diff(np.append(0, np.cumsum(begins))[at]).astype(np.int32))
+
+
+def word_count(c: Column) -> Column:
+    """The number of words of :func:`tokens`, without a pass of a pattern over texts of plain ASCII."""
+    return _words(half_folded(F.coalesce(c, F.lit(""))))
+
+
 def joined_size(words: Column) -> Column:
     """The number of words of a text of :func:`joined`."""
     return F.length(words) - F.length(F.replace(words, F.lit(" "), F.lit(""))) + (words != "").cast("int")

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from loomstone.functions.web import text_digest
 from loomstone.operators.consistency import sync_plan
 from loomstone.operators.search import postings
-from loomstone.operators.textflow import chunks, joined, joined_size, normalise
+from loomstone.operators.textflow import chunks, normalise, word_count
 
 #: Folders and files that belong to a dataset, which no report may overwrite.
 PROTECTED = re.compile(r"(^|/)(data|corpus)(/|$)|chronology[^/]*\.json$|glossary[^/]*\.json$")
@@ -51,9 +51,9 @@ def write_index(docs: DataFrame, path: str, collection: str = "collection", titl
     raw = texts.select("doc_id", "text", *([F.coalesce(title, F.lit("")).alias("title")] if title else []))
     dealt = raw.repartition(index_tasks(chars), "doc_id").sortWithinPartitions("doc_id")
     parts = chunks(dealt.withColumn("text", normalise(F.coalesce("text", F.lit("")))))
-    parts = parts.withColumn("chunk", F.concat_ws(":", "doc_id", "offset")).withColumn("words", joined_size(joined(F.col("body"))))
+    parts = parts.withColumn("chunk", F.concat_ws(":", "doc_id", "offset")).withColumn("words", word_count(F.col("body")))
     if title:
-        parts = parts.withColumn("words", F.col("words") + joined_size(joined(F.col("title"))))
+        parts = parts.withColumn("words", F.col("words") + word_count(F.col("title")))
     write_chunks(parts, chars, path)
     # The last chunk of a text ends where the text does.
     ends = spark.read.parquet(f"{path}/chunks").groupBy(F.col("doc_id").alias("_id")).agg(F.max(F.col("offset") + F.length("body")).alias("_end"))

@@ -185,3 +185,28 @@ def test_texts_take_no_part_in_the_join_of_docs(spark, tmp_path):
     assert two["docs"].count() == 31 and two["chunks"].count() == one["chunks"].count()
     chars = docs.select("doc_id", F.length(textflow.normalise(F.coalesce("text", F.lit("")))).alias("chars"))
     assert {tuple(x) for x in one["docs"].select("doc_id", "chars").collect()} == {tuple(x) for x in chars.collect()}
+
+
+def test_texts_are_folded_once_for_postings_and_counts(spark):
+    """Words and their places are those of ``tokens`` for any letters, and no text is folded a second time by a filter."""
+    odd = ["", "!!!", " a ", "Plain ASCII_text\t2\x0bb\x00c--d", "İstanbul Kelvin éa ̇x", "a b’c…d", "٣٤ xy � z", "ﬁn ǅ ß ΣΑΣ", "\U0001d54f\U0001f600q \U000e0100r", "a̸b ́", "é", None]
+    df = spark.createDataFrame([(str(i), i // 4, "body", t) for i, t in enumerate(odd)], "chunk string, block long, column string, text string").coalesce(1)
+    words = {x.chunk: x.w for x in df.select("chunk", textflow.tokens(F.coalesce("text", F.lit(""))).alias("w")).collect()}
+    counted = df.select("chunk", textflow.word_count(F.col("text")).alias("n")).collect()
+    assert {x.chunk: x.n for x in counted} == {k: len(w) for k, w in words.items()}
+    found = search.postings(df)
+    got = {(x.chunk, x.token): list(x["at"]) for x in found.collect()}
+    want = {}
+    for c, listed in words.items():
+        for k, w in enumerate(listed):
+            want.setdefault((c, w), []).append(k)
+    assert got == want
+    assert found._jdf.queryExecution().optimizedPlan().toString().count("translate(") == 1
+
+
+def test_hits_and_their_statistics_read_postings_once(spark, corpus):
+    """The search for a phrase's chunks is one step, which the number of chunks that hold it and the hits themselves share."""
+    found = index.hits(spark, corpus[2], '"a b" OR c')
+    found.collect()
+    plan = found._jdf.queryExecution().executedPlan().toString()
+    assert "ReusedExchange" in plan
