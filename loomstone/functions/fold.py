@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import functools
+import re
 import sys
 import unicodedata
 
@@ -88,6 +89,22 @@ def name_key(c: Column) -> Column:
     return F.array_join(F.filter(F.transform(words, rewritten), lambda w: w != ""), " ")
 
 
+_PHONETIC = [(re.compile(pattern), to.replace("$1", r"\1")) for pattern, to in PHONETIC]
+
+
+def key_of_name(name: str) -> str:
+    """:func:`name_key` of a string."""
+    plain = name if name.isascii() else "".join(c for c in unicodedata.normalize("NFD", name) if unicodedata.category(c) != "Mn")
+    out = []
+    for w in plain.lower().replace("-", " ").split():
+        w = w.strip(".,;:'’\"")
+        if w and w not in TITLES and w not in CONNECTORS:
+            for pattern, to in _PHONETIC:
+                w = pattern.sub(to, w)
+            out.append(w)
+    return " ".join(w for w in out if w)
+
+
 def is_notable(key: Column) -> Column:
     """A key that may anchor a match across repositories: six characters and two words at least."""
     return (F.length(key) >= 6) & (F.size(F.split(key, " ")) >= 2)

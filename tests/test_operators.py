@@ -479,3 +479,55 @@ def test_each_different_word_is_folded_once(monkeypatch):
     monkeypatch.setattr(mining, "_plain", lambda s: calls.append(s) or plain(s))
     found = mining.found_names(mining.Joined("we know Pedro and pedro pédro " + "word " * 1000))
     assert [(x[3], x[7]) for x in found] == [("Pedro", 2)] and len(calls) < 20
+
+
+def test_dates_and_quotes_are_tried_where_they_can_begin():
+    r = random.Random(4)
+    words = "12 1834 1999 '88 '62 62 ٣ em Em até ATÉ ate desde ano De de anos 1/2/2003 3-4-99 junho June JULHO may mar March sept 1990s 80s 19th 3rd century século Siglo XIX in since of until by January março Enero disse Disse afirmou segundo acordo com according to SAYS claimed told eu vi me lembro I saw yo recuerdo según Negou na minha experiência my experience when left quando saí . , x ab"
+    texts = ["".join(p + r.choice(["", " ", " ", "  ", "\n", "-"]) for p in r.choices(words.split(), k=60)) for _ in range(600)]
+    texts += ["uſ dıſse eu vi, ſaid in 1850", "İ said in 1850", ""]
+    for make, kind in ((mining.dated_pattern, "dated"), (mining.quotes_pattern, "quote")):
+        for lang in ("pt", "es", "en", "xx"):
+            pattern, n = re.compile(make(lang), re.IGNORECASE), 0
+            for t in texts:
+                wanted = [(m.start(), m[0]) for m in pattern.finditer(t)]
+                assert [(m.start(), m[0]) for m in mining.matches(pattern, t, mining.begins(kind, lang, t))] == wanted
+                n += len(wanted)
+            assert n > 200
+    # Few places of a long text without such words are tried.
+    assert len(mining.begins("dated", "en", "They went home and came back in winter. " * 500 + "in 1834")) <= 4
+
+
+def test_sheet_reads_its_texts_once_and_deals_them(spark):
+    df = spark.createDataFrame([("x", TALK, "pt")], "doc_id string, text string, lang string").coalesce(1)
+    plan = mining.sheet(df)._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("Scan ") == 1 and re.search(r"hashpartitioning\(k#\d+, t#\d+", plan)
+
+
+def test_sheet_puts_rows_of_a_key_together(spark):
+    r = random.Random(8)
+    first, last = "Ana Rui Écio Marcel Mons Pedro pedro d'Arc X-Ray".split(), "Souza de Souza, Lefebvre Lefevre Lefébvre of Rome [Music] Costa. 'Lima".split()
+    talk = lambda: ". ".join(f"{r.choice(first)} {r.choice(last)} said {r.randint(2, 99)}% left in {r.randint(1800, 1999)}" + " of them" * r.randint(0, 9) for _ in range(60))
+    same = talk()
+    rows = [(1, talk()), (1, talk()), (None, talk()), (None, talk()), (2, same), (2, same), (3, None), (4, "Ana and Ana")]
+    df = spark.createDataFrame([(k, t, "en") for k, t in rows], "doc_id long, text string, lang string").repartition(4)
+    found = {(x.doc_id, x.section): (x.total, [tuple(i) for i in x["items"]]) for x in mining.sheet(df, most=12).collect()}
+    item = F.struct("line", "char", "match", "context")
+    others = mining.mine(df).filter("kind <> 'name'").groupBy("doc_id", "kind").agg(F.array_sort(F.collect_list(item)).alias("a"))
+    wanted = {(x.doc_id, x.kind): (x.n, [tuple(i) for i in x.s]) for x in others.select("doc_id", "kind", F.size("a").alias("n"), textflow.even_sample(F.col("a"), 12).alias("s")).collect()}
+    names = {}
+    for x in mining.clusters(mining.mine(df, ("name",)), "doc_id").collect():
+        names.setdefault(x.doc_id, []).append((-x.n, x["name"], (x.line, x.char, x["name"], f"n={x.n} spellings: {', '.join(x.spellings[:5])}")))
+    wanted |= {(k, "name"): (len(v), [i for _, _, i in sorted(v)][:12]) for k, v in names.items()}
+    assert found == wanted and {k for k, _ in found} == {1, None, 2, 4} and len(found) == 13
+    lists = spark.range(1, 90).select("id", F.sequence(F.lit(1), F.col("id")).alias("a"))
+    for most in (0, 1, 2, 7, 40):
+        assert all(mining.evenly(x.a, most) == x.s for x in lists.select("a", textflow.even_sample(F.col("a"), most).alias("s")).collect())
+
+
+def test_keys_of_names_are_those_of_the_column(spark):
+    r = random.Random(6)
+    letters = "abcdefghijklmnopqrstuvwxyzçéÉQckhbvwsszphthßÞKſ'’-_9"
+    names = ["".join(r.choice("ABCÉÇÀ") + "".join(r.choices(letters, k=r.randint(0, 9))) + r.choice([" ", " de ", " Dr "]) for _ in range(r.randint(1, 3))).strip() for _ in range(2000)]
+    rows = spark.createDataFrame([(n,) for n in names], "n string").select("n", fold.name_key(F.col("n")).alias("k")).collect()
+    assert all(fold.key_of_name(x.n) == x.k for x in rows)
